@@ -17,6 +17,7 @@ from siftbook.functions.layout import is_stop_section, is_top_level, table_text
 from siftbook.functions.text import clean, collapse, provenance_header, slug
 from siftbook.operators.packing import BODY, pack_elements
 from siftbook.operators.ranking import first_per_key
+from siftbook.session import stage
 
 JATS_ROOTS = ("article", "pmc-articleset")
 # element names per dialect
@@ -115,8 +116,11 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def article_parts(articles: DataFrame) -> DataFrame:
-    """Parts of (stem, xml) rows. A malformed article is one 'error' part."""
-    return articles.lateralJoin(_ArticleParts(F.col("xml").outer())).drop("xml")
+    """Parts of (stem, xml) rows, staged so that each article is walked once.
+
+    A malformed article is one 'error' part.
+    """
+    return stage(articles.lateralJoin(_ArticleParts(F.col("xml").outer())).drop("xml"), "parts")
 
 
 def parse_report(parts: DataFrame) -> DataFrame:
