@@ -105,9 +105,13 @@ def _nearest_distinct(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k
     routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
     # queries of a busy cell are spread as well: each group takes one share of them
     busy = routed.groupBy("cell", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))
-    stored = placed.withColumn("part", F.pmod(F.xxhash64("id"), blocks[F.col("cell")]).cast("int"))
-    stored = stored.join(busy, ["cell", "part"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    routed = routed.join(busy, ["cell", "part"]).withColumn("share", F.pmod(F.xxhash64("qid"), F.col("shares")).cast("int"))
+    cell_part = F.pmod(F.xxhash64("id"), blocks[F.col("cell")]).cast("int")
+    copies = busy.select(F.col("cell").alias("_c"), F.col("part").alias("_p"), F.col("shares").alias("_n"))
+    stored = placed.select("id", "v", "cell", cell_part.alias("part"))
+    stored = stored.join(copies, (stored["cell"] == F.col("_c")) & (stored["part"] == F.col("_p")))
+    stored = stored.select("id", "v", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("share"))
+    routed = routed.join(busy, ["cell", "part"])
+    routed = routed.select("qid", "qv", "cell", "part", F.pmod(F.xxhash64("qid"), F.col("shares")).cast("int").alias("share"))
 
     def search(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         out = []

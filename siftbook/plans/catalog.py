@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from siftbook.plans import projections, scans  # noqa: F401
+from siftbook.plans import joins, projections, scans  # noqa: F401
 from siftbook.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -12,7 +12,7 @@ from siftbook.operators.lookups import unfinished
 from siftbook.plans import inputs as I
 from siftbook.plans.inputs import q, sql_collapse, sql_rank, sql_title_key, with_
 from siftbook.plans.registry import Tables, query
-from siftbook.session import scratch_path
+from siftbook.session import scratch_path, stage
 from siftbook.sources import articles as A
 from siftbook.sources import files as S
 from siftbook.sources import landed as L
@@ -333,7 +333,7 @@ def responses(t: Tables) -> DataFrame:
     content = F.when(key == 1, F.left(scores, F.length(scores) - 3)).otherwise(scores)
     body = F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices"))
     line = F.struct(F.col("id").alias("custom_id"), F.when(key == 0, "rate limit").alias("error"), F.when(key != 0, F.struct(body.alias("body"))).alias("response"))
-    return s.select(F.to_json(line).alias("value"))
+    return stage(s.select(F.to_json(line).alias("value")), "responses")
 
 
 _RESPONSE_KEY = I.sql_digit("'r' || id")
