@@ -67,9 +67,9 @@ def unique_names(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
 
 def upsert_view(log: DataFrame, key: str, order: str, keep: list[str], replace: list[str]) -> DataFrame:
     """State behind an upsert log: first values of ``keep``, last values of ``replace``."""
-    first = F.min_by(F.struct(*keep), F.col(order))
-    last = F.max_by(F.struct(*replace), F.col(order))
-    return log.groupBy(key).agg(first.alias("_f"), last.alias("_l")).select(key, "_f.*", "_l.*")
+    ends = {"_f": (F.min_by, keep), "_l": (F.max_by, replace)}
+    used = {name: pick(F.struct(*cols), F.col(order)).alias(name) for name, (pick, cols) in ends.items() if cols}
+    return log.groupBy(key).agg(*used.values()).select(key, *[f"{name}.*" for name in used])
 
 
 def patch(records: DataFrame, patches: DataFrame, key: str, replace: list[str], fragments: dict[str, tuple[str, str]] | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from siftbook.plans import aggregates, joins, projections, scans  # noqa: F401
+from siftbook.plans import aggregates, increments, joins, projections, scans, selection  # noqa: F401
 from siftbook.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
