@@ -11,8 +11,8 @@ from siftbook.functions.text import blank_to_null, strip
 
 def answer_letter(raw: Column) -> Column:
     """Letter of the first pattern that matches, null when none does."""
-    # (?d) keeps ^ and $ at \n only, as the patterns expect
-    found = [blank_to_null(F.regexp_extract(raw, f"(?imd){p}", 1)) for p in fixed.ANSWER_PATTERNS]
+    # ^ and $ at \n only, word borders for any script
+    found = [blank_to_null(F.regexp_extract(raw, f"(?imdU){p}", 1)) for p in fixed.ANSWER_PATTERNS]
     return F.upper(F.coalesce(*found))
 
 

@@ -20,12 +20,12 @@ def blank_to_null(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove whitespace at both ends."""
-    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    return F.regexp_replace(c, rf"\A[{fixed.SPACE}]+|[{fixed.SPACE}]+\z", "")
 
 
 def collapse(c: Column) -> Column:
     """One space between words, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"[{fixed.SPACE}]+", " "))
 
 
 def keep_indent(c: Column) -> Column:
@@ -126,7 +126,7 @@ def page_range(first: Column, last: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"\S+")).cast("long")
+    return F.regexp_count(c, F.lit(f"[^{fixed.SPACE}]+")).cast("long")
 
 
 def mentions(c: Column, pattern: str = fixed.TOPIC) -> Column:
@@ -139,12 +139,12 @@ def token_set(c: Column) -> Column:
 
 def entities(c: Column, stop: tuple[str, ...] = fixed.STOP_ENTITIES) -> Column:
     """Distinct entity names in a text without the ones that never count."""
-    found = F.regexp_extract_all(c, F.lit(f"({fixed.ENTITY})"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(f"(?U)({fixed.ENTITY})"), F.lit(1))
     return F.array_distinct(F.filter(found, lambda e: ~F.upper(e).isin(*stop)))
 
 
 def meta_leak(c: Column) -> Column:
-    return c.rlike(fixed.META_LEAK)
+    return c.rlike("(?U)" + fixed.META_LEAK)
 
 
 def contains_any(c: Column, needles: tuple[str, ...]) -> Column:

@@ -82,8 +82,8 @@ def claim_summary(claims: DataFrame, pair: str, verdict: str) -> DataFrame:
 def audit_flags(instruction: Column, extra: Column, output: Column, category: Column) -> dict[str, Column]:
     """Problem flags of an instruction record."""
     facts = (
-        instruction.rlike(fixed.AUDIT_GENE) | instruction.rlike(fixed.AUDIT_MEASURE)
-        | F.contains(instruction, F.lit("Passage:")) | instruction.rlike(fixed.AUDIT_FIRST_PERSON)
+        instruction.rlike("(?U)" + fixed.AUDIT_GENE) | instruction.rlike(fixed.AUDIT_MEASURE)
+        | F.contains(instruction, F.lit("Passage:")) | instruction.rlike("(?U)" + fixed.AUDIT_FIRST_PERSON)
     )
     fits = (word_count(output) >= fixed.AUDIT_MIN_WORDS) & output.rlike(fixed.AUDIT_ALTERNATIVE) & output.rlike(fixed.AUDIT_ACTION)
     return {

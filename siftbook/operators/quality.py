@@ -24,20 +24,18 @@ def regroup(df: DataFrame, document: str, order: str, text: str, sep: str = " ")
 def opening(df: DataFrame, document: str, order: str, text: str, size: int, sep: str = " ", salts: int = 32) -> DataFrame:
     """First ``size`` characters of each regrouped document without regrouping it.
 
-    A part that starts beyond ``size`` inside a salted share of the document starts beyond it in
-    the document too, so each share drops those before anything of a document meets in one task.
+    Only lengths are shuffled to find the parts that begin inside the opening. A part that begins
+    beyond ``size`` in a salted share of the document begins beyond it in the document too, so each
+    share drops those before the parts of a document meet. Texts are joined for the rest.
     """
-    cut = df.select(
-        document, order, F.left(F.col(text), F.lit(size)).alias("_t"),
-        (F.length(text) + F.lit(len(sep))).alias("_len"),
-        F.pmod(F.xxhash64(order), F.lit(salts)).alias("_salt"),
-    )
+    starts = df.select(document, order, (F.length(text) + F.lit(len(sep))).alias("_len"), F.pmod(F.xxhash64(order), F.lit(salts)).alias("_salt"))
     for keys in ([document, "_salt"], [document]):
         before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        cut = cut.withColumn("_start", F.coalesce(F.sum("_len").over(before), F.lit(0))).filter(F.col("_start") < size)
+        starts = starts.withColumn("_start", F.coalesce(F.sum("_len").over(before), F.lit(0))).filter(F.col("_start") < size)
+    heads = df.select(document, order, F.left(F.col(text), F.lit(size)).alias("_t")).join(starts.select(document, order), [document, order])
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_t").alias("t"))))
     joined = F.array_join(F.transform(parts, lambda p: p["t"]), sep)
-    return cut.groupBy(document).agg(F.left(joined, F.lit(size)).alias("opening"))
+    return heads.groupBy(document).agg(F.left(joined, F.lit(size)).alias("opening"))
 
 
 def detect_language(c: Column, stop_words: dict[str, tuple[str, ...]] | None = None) -> Column:

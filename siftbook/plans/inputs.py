@@ -187,11 +187,11 @@ def with_(*names: str, **extra: str) -> str:
 
 # SQL forms of the text expressions
 def sql_strip(c: str) -> str:
-    return f"regexp_replace({c}, '\\A\\s+|\\s+\\z', '', 'g')"
+    return f"regexp_replace({c}, '\\A[{fixed.SPACE}]+|[{fixed.SPACE}]+\\z', '', 'g')"
 
 
 def sql_collapse(c: str) -> str:
-    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({c}, '[{fixed.SPACE}]+', ' ', 'g'))"
 
 
 def sql_strip_header(c: str) -> str:
@@ -203,7 +203,7 @@ def sql_cut_header(c: str) -> str:
 
 
 def sql_words(c: str) -> str:
-    return f"len(regexp_extract_all({c}, '\\S+'))"
+    return f"len(regexp_extract_all({c}, '[^{fixed.SPACE}]+'))"
 
 
 def sql_mentions(c: str, pattern: str = TOPIC_WORDS) -> str:

@@ -236,7 +236,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("h3_drop_copies", f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {sql_title_key('text')}")
 def _(t: Tables) -> DataFrame:
-    return dedup.drop_copies(t.documents.select("doc_id", "text"), "doc_id", F.sha2(X.title_key(F.col("text")), 256)).select("doc_id")
+    keyed = t.documents.select("doc_id", F.sha2(X.title_key(F.col("text")), 256).alias("key"))
+    return dedup.drop_copies(keyed, "doc_id", F.col("key")).select("doc_id")
 
 
 @query("h4_content_copies", "SELECT doc_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) THEN 'accepted' ELSE 'DUPLICATE' END AS status FROM documents")

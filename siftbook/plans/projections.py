@@ -381,7 +381,7 @@ def entity_pairs(t: Tables) -> DataFrame:
 ENTITY_PAIRS_SQL = """SELECT * REPLACE (assistant || ' The DNA of ' || gene || ' and katG, ESX-' || conv_id || ' and HIV PknB' AS assistant),
     "user" || ' see ' || lower(gene) || CASE WHEN length("user") % 2 = 0 THEN ' KATG' ELSE '' END AS passage FROM (SELECT *, 'Rv' || lpad((conv_id % 97)::VARCHAR, 4, '0') AS gene FROM pairs)"""
 # RE2 knows only ASCII word borders: accented letters are masked for it first
-_MASKED = "regexp_replace({c}, '[^\\x00-\\x7f]', 'e', 'g')"
+_MASKED = "regexp_replace({c}, '[^\\x00-\\x7f]', '_', 'g')"
 _STOP = sql_in(fixed.STOP_ENTITIES)
 
 
