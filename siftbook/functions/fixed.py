@@ -4,8 +4,11 @@ Patterns, word lists and thresholds that decide results. They are stated in the
 RE2 regular expressions accept, so that a DuckDB check can use the same text.
 """
 
-# Members of a character class for whitespace in any script, not only ASCII.
-SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Whitespace in any script: what trimming removes.
+SPACE = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Chunk size and input limits, in characters.
 MAX_SECTION_CHARS = 4000

@@ -20,12 +20,12 @@ def blank_to_null(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove whitespace at both ends."""
-    return F.regexp_replace(c, rf"\A[{fixed.SPACE}]+|[{fixed.SPACE}]+\z", "")
+    return F.trim(c, F.lit(fixed.SPACE))
 
 
 def collapse(c: Column) -> Column:
     """One space between words, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"[{fixed.SPACE}]+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def keep_indent(c: Column) -> Column:
@@ -126,7 +126,7 @@ def page_range(first: Column, last: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{fixed.SPACE}]+")).cast("long")
+    return F.regexp_count(c, F.lit(r"(?U)[^\s\x1c-\x1f]+")).cast("long")
 
 
 def mentions(c: Column, pattern: str = fixed.TOPIC) -> Column:

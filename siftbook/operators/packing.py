@@ -42,8 +42,8 @@ def section_of_page(elements: DataFrame, document: str, page: str, order: str) -
     return elements.groupBy(document, page).agg(F.max_by("section_title", order).alias("section_title"))
 
 
-def chunk_starts(sizes: Column, fresh: Column, alone: Column, limit: int = fixed.MAX_SECTION_CHARS) -> Column:
-    """Positions at which the chunks of an array of elements begin.
+def chunk_starts(marks: Column, limit: int = fixed.MAX_SECTION_CHARS) -> Column:
+    """Positions at which the chunks of an array of (size, fresh, alone) begin.
 
     A chunk closes before an element that is ``fresh`` (new section) or ``alone`` (a table), after
     one that is alone, and where it would grow beyond ``limit``; an oversized element is a chunk.
@@ -62,35 +62,45 @@ def chunk_starts(sizes: Column, fresh: Column, alone: Column, limit: int = fixed
             F.when(opens, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"),
         )
 
-    items = F.arrays_zip(sizes.alias("size"), fresh.alias("fresh"), alone.alias("alone"))
-    return F.aggregate(items, start, step, lambda s: s["starts"])
+    return F.aggregate(marks, start, step, lambda s: s["starts"])
+
+
+def pack_arrays(df: DataFrame, elements: str, limit: int = fixed.MAX_SECTION_CHARS) -> DataFrame:
+    """Adds ``chunks`` for an array of (kind, content, chapter, section_title) in document order."""
+    e = F.col(elements)
+
+    def mark(x: Column, i: Column) -> Column:
+        before = F.get(e, i - 1)
+        same = x["chapter"].eqNullSafe(before["chapter"]) & x["section_title"].eqNullSafe(before["section_title"])
+        return F.struct(F.length(x["content"]).cast("long").alias("size"), ((i > 0) & ~same).alias("fresh"), (x["kind"] == "table").alias("alone"))
+
+    def chunk(start: Column, i: Column) -> Column:
+        until = F.coalesce(F.get("_starts", i + 1), F.size(e) + 1)
+        part, first = F.slice(e, start, until - start), F.element_at(e, start)
+        return F.struct(
+            (i + 1).cast("long").alias("chunk"), first["kind"].alias("content_type"), first["chapter"].alias("chapter"),
+            first["section_title"].alias("section_title"), F.array_join(F.transform(part, lambda p: p["content"]), "\n\n").alias("text"),
+            F.size(part).cast("long").alias("n_elements"),
+        )
+
+    marked = df.withColumn("_marks", F.transform(e, mark))
+    started = marked.withColumn("_starts", chunk_starts(F.col("_marks"), limit))
+    return started.withColumn("chunks", F.transform("_starts", chunk)).drop("_starts", "_marks")
 
 
 def pack_elements(elements: DataFrame, document: str, order: str, content: str, kind: str,
                   limit: int = fixed.MAX_SECTION_CHARS) -> DataFrame:
-    """Section-aware chunks of rows (document, order, kind, content, chapter, section_title).
+    """Section-aware chunks of rows (document, order, kind, content, chapter, section_title)."""
+    row = F.struct(F.col(order).alias("o"), F.col(kind).alias("kind"), F.col(content).alias("content"), "chapter", "section_title")
+    gathered = elements.groupBy(document).agg(F.array_sort(F.collect_list(row)).alias("_items"))
+    return unnest(pack_arrays(gathered, "_items", limit), "chunks", [document])
+
+
+def unnest(df: DataFrame, items: str, keep: list[str]) -> DataFrame:
+    """One row per struct of a computed array.
 
-    Only lengths and section changes are gathered per document to number the chunks; the texts
-    stay in their rows until they meet inside a chunk of about ``limit`` characters.
+    The outer form is used because the plain one lets the optimizer copy the array's whole
+    expression into a size filter below it.
     """
-    along = W.partitionBy(document).orderBy(order)
-    same = F.col("chapter").eqNullSafe(F.lag("chapter").over(along)) & F.col("section_title").eqNullSafe(F.lag("section_title").over(along))
-    marks = elements.select(
-        document, order, F.length(content).cast("long").alias("size"), (~same).alias("fresh"),
-        (F.col(kind) == "table").alias("alone"),
-    )
-    gathered = marks.groupBy(document).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "size", "fresh", "alone"))).alias("e"))
-    starts = gathered.select(document, "e", chunk_starts(F.col("e.size"), F.col("e.fresh"), F.col("e.alone"), limit).alias("s"))
-    chunks = starts.select(document, "e", "s", F.posexplode("s").alias("i", "from"))
-    until = F.coalesce(F.get("s", F.col("i") + 1), F.size("e") + 1)
-    numbered = chunks.select(
-        document, (F.col("i") + 1).cast("long").alias("chunk"),
-        F.explode(F.slice("e.o", F.col("from"), until - F.col("from"))).alias(order),
-    )
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(content).alias("t"))))
-    return elements.join(numbered, [document, order]).groupBy(document, "chunk").agg(
-        F.first(kind).alias("content_type"), F.first("chapter").alias("chapter"),
-        F.first("section_title").alias("section_title"),
-        F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("text"),
-        F.count("*").alias("n_elements"),
-    )
+    rows = df.select(*keep, F.explode_outer(items).alias("_x"))
+    return rows.filter(F.col("_x").isNotNull()).select(*keep, "_x.*")

@@ -42,17 +42,16 @@ def detect_language(c: Column, stop_words: dict[str, tuple[str, ...]] | None = N
     """Language with most stop words in the first characters; short or unmatched text is 'unknown'."""
     words = stop_words or fixed.STOP_WORDS
     head = F.lower(F.left(c, F.lit(fixed.LANGUAGE_CHARS)))
-    tokens = F.regexp_extract_all(head, F.lit(r"[a-zà-öø-ÿ]+"), F.lit(0))
+    letters = "a-zà-öø-ÿ"
 
-    def vote(lang: str) -> Column:
-        listed = F.array(*[F.lit(w) for w in words[lang]])
-        return F.size(F.filter(tokens, lambda t: F.array_contains(listed, t)))
+    def ballot(lang: str) -> Column:
+        votes = F.regexp_count(head, F.lit(rf"(?<![{letters}])(?:{'|'.join(words[lang])})(?![{letters}])"))
+        return F.struct((-votes).cast("double").alias("v"), F.lit(lang).alias("lang"))
 
-    # more votes first, then the earlier name
-    ballots = F.array(*[F.struct((-vote(x)).alias("v"), F.lit(x).alias("lang")) for x in sorted(words)])
-    best = F.array_min(ballots)
-    known = (F.length(F.trim(c)) > 20) & (best["v"] < 0)
-    return F.when(known, best["lang"]).otherwise("unknown")
+    # most votes first, then the earlier name; 'unknown' stands between one vote and none
+    nobody = F.struct(F.lit(-0.5).alias("v"), F.lit("unknown").alias("lang"))
+    best = F.array_min(F.array(nobody, *[ballot(x) for x in sorted(words)]))
+    return F.when(F.length(F.trim(c)) > 20, best["lang"]).otherwise("unknown")
 
 
 def decide_documents(chunks: DataFrame, document: str, order: str, text: str, language: str = "en",

@@ -19,6 +19,8 @@ CONDITIONS = ("base", "retrieval", "tuned")
 CATEGORIES = ("mechanism", "methodology_critique", "premise_correction", "result_interpretation")
 LINES_PER_PAGE = 40
 TOPIC_WORDS = r"(?i)tion"
+# whitespace as members of an RE2 character class
+SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def q(text: str) -> str:
@@ -187,11 +189,11 @@ def with_(*names: str, **extra: str) -> str:
 
 # SQL forms of the text expressions
 def sql_strip(c: str) -> str:
-    return f"regexp_replace({c}, '\\A[{fixed.SPACE}]+|[{fixed.SPACE}]+\\z', '', 'g')"
+    return f"regexp_replace({c}, '\\A[{SPACE}]+|[{SPACE}]+\\z', '', 'g')"
 
 
 def sql_collapse(c: str) -> str:
-    return f"trim(regexp_replace({c}, '[{fixed.SPACE}]+', ' ', 'g'))"
+    return f"trim(regexp_replace({c}, '[{SPACE}]+', ' ', 'g'))"
 
 
 def sql_strip_header(c: str) -> str:
@@ -203,7 +205,7 @@ def sql_cut_header(c: str) -> str:
 
 
 def sql_words(c: str) -> str:
-    return f"len(regexp_extract_all({c}, '[^{fixed.SPACE}]+'))"
+    return f"len(regexp_extract_all({c}, '[^{SPACE}]+'))"
 
 
 def sql_mentions(c: str, pattern: str = TOPIC_WORDS) -> str:

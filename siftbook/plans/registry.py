@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftbook.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -19,6 +21,9 @@ def widened(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").cast(_WIDE.get(type(f.dataType), f.dataType)).alias(f.name) for f in df.schema.fields])
 
 
+TEXTS = ("documents", "pages", "conversations")  # much work per row
+
+
 class Tables:
     """The given tables of one folder."""
 
@@ -26,7 +31,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in TEXTS else df
 
 
 def query(name: str, sql: str | None = None):

@@ -234,8 +234,7 @@ def _(t: Tables) -> DataFrame:
     FROM lines JOIN (SELECT doc_id, {I.sql_strip("split_part(text, chr(10), 1)")} AS abstract FROM documents) USING (doc_id)
     WHERE no >= 2 AND {I.sql_strip('line')} <> '' GROUP BY doc_id, (no - 2) // 3""")
 def _(t: Tables) -> DataFrame:
-    parts = A.article_parts(_articles(t, _jats()))
-    return A.section_texts(parts).join(A.plain_abstract(parts), "stem")
+    return A.section_texts(A.article_parts(_articles(t, _jats())))
 
 
 def _pages(t: Tables) -> DataFrame:

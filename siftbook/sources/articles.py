@@ -1,23 +1,21 @@
 """Article XML.
 
-A small table function walks one article and returns its parts with the titles of the sections
-around them. What the parts mean (stop sections, chapters, tables as text, chunks) is decided on
-DataFrames, the same way for both dialects.
+A small function walks one article and returns its parts with the titles of the sections around
+them. What the parts mean (stop sections, chapters, tables as text, chunks) is decided with array
+expressions on the article's row, the same way for both dialects.
 """
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftbook.functions import fixed
 from siftbook.functions.layout import is_stop_section, is_top_level, table_text
-from siftbook.functions.text import clean, collapse, provenance_header, slug
-from siftbook.operators.packing import BODY, pack_elements
-from siftbook.operators.ranking import first_per_key
-from siftbook.session import stage
+from siftbook.functions.text import blank_to_null, clean, collapse, provenance_header, slug
+from siftbook.operators.packing import BODY, pack_arrays, unnest
 
 JATS_ROOTS = ("article", "pmc-articleset")
 # element names per dialect
@@ -26,7 +24,7 @@ JATS = {"title": "article-title", "abstract": "abstract", "body": "body", "secti
 ELSEVIER = {"title": "title", "abstract": "description", "body": "sections", "section": "section", "heading": "section-title",
             "text": ("para", "simple-para"), "table": "table", "row": "row", "cell": ("entry",)}
 
-PARTS = "no int, kind string, value string, attr string, titles array<string>, section int, label string, caption string, cells array<array<string>>"
+PARTS = "array<struct<kind:string,value:string,attr:string,titles:array<string>,section:int,label:string,caption:string,cells:array<array<string>>>>"
 
 
 def _local(el) -> str:
@@ -45,62 +43,54 @@ def _first(el, name):
     return next((e for e in el.iter() if _local(e) == name), None)
 
 
-@F.udtf(returnType=PARTS)
-class _ArticleParts:
-    """Title, abstract, years, paragraphs and tables of one article in document order."""
+class _Walk:
+    """Collects the parts of one article in document order."""
 
-    def eval(self, xml: str):
-        self.rows, self.sections = [], 0
-        try:
-            self._read(ET.fromstring(xml))
-        except ET.ParseError as error:
-            self.rows = []
-            self._add("error", str(error))
-        for no, row in enumerate(self.rows):
-            yield (no, *row)
+    def __init__(self):
+        self.parts, self.sections = [], 0
 
-    def _add(self, kind, value, attr=None, titles=(), section=0, table=(None, None, None)):
-        self.rows.append((kind, value, attr, list(titles), section, *table))
+    def add(self, kind, value, attr=None, titles=(), section=0, table=(None, None, None)):
+        self.parts.append((kind, value, attr, list(titles), section, *table))
 
-    def _read(self, root):
+    def article(self, root):
         kind = _local(root)
         names = JATS if kind in JATS_ROOTS else ELSEVIER
-        self._add("root", kind)
+        self.add("root", kind)
         article = _first(root, "article") if kind == "pmc-articleset" else root
         if article is None:
             return
         for part in ("title", "abstract"):
             found = _first(article, names[part])
             if found is not None:
-                self._add(part, _text(found))
+                self.add(part, _text(found))
         years = {}
         for date in (e for e in article.iter() if _local(e) == "pub-date"):
             year = next((_text(c) for c in date if _local(c) == "year"), "")
             if year.isdigit():
                 years[date.get("pub-type", "")] = year
         for when, year in years.items():
-            self._add("year", year, attr=when)
+            self.add("year", year, attr=when)
         body = _first(article, names["body"])
         if body is not None:
-            self._walk(body, names, (), 0, tables=False)
+            self.section(body, names, (), 0, tables=False)
         elif names is ELSEVIER:
             for e in article.iter():
                 if _local(e) == "simple-para" and _text(e):
-                    self._add("loose", _text(e))
+                    self.add("loose", _text(e))
 
-    def _walk(self, el, names, titles, section, tables):
+    def section(self, el, names, titles, number, tables):
         for child in el:
             name = _local(child)
             if name in names["text"] and _text(child):
-                self._add("text", _text(child), titles=titles, section=section)
+                self.add("text", _text(child), titles=titles, section=number)
             elif name == names["table"] and tables:
-                self._add("table", "", titles=titles, section=section, table=self._table(child, names))
+                self.add("table", "", titles=titles, section=number, table=self.table(child, names))
             elif name == names["section"]:
                 self.sections += 1
                 heading = next((c for c in child if _local(c) == names["heading"]), None)
-                self._walk(child, names, (*titles, _words(heading)), self.sections, tables=True)
+                self.section(child, names, (*titles, _words(heading)), self.sections, tables=True)
 
-    def _table(self, el, names):
+    def table(self, el, names):
         label = next((c.text for c in el if _local(c) == "label"), None)
         caption = next((t for t in (_words(c) for c in el.iter() if _local(c) == "caption") if t), None)
         rows = [[_words(c) for c in r if _local(c) in names["cell"]] for r in el.iter() if _local(r) == names["row"]]
@@ -108,6 +98,15 @@ class _ArticleParts:
         return label, caption, [r for r in rows if keep(r)]
 
 
+def _parse(xml: str) -> list[tuple]:
+    walk = _Walk()
+    try:
+        walk.article(ET.fromstring(xml))
+    except ET.ParseError as error:
+        return [("error", str(error), None, [], 0, None, None, None)]
+    return walk.parts
+
+
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """(stem, xml) of each file; unreadable files are skipped."""
     files = spark.read.option("ignoreCorruptFiles", True).text(path, wholetext=True)
@@ -116,67 +115,94 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def article_parts(articles: DataFrame) -> DataFrame:
-    """Parts of (stem, xml) rows, staged so that each article is walked once.
+    """(stem, parts) of (stem, xml) rows. A malformed article has one 'error' part."""
+    # without Arrow rows travel in batches of 100, so that a batch of long articles fits a worker;
+    # nondeterministic keeps filters on the parts from being pushed below and parsing twice
+    parse = F.udf(_parse, PARTS, useArrow=False).asNondeterministic()
+    return articles.select("stem", parse("xml").alias("parts"))
+
+
+def _of_kind(kind: str) -> Column:
+    return F.filter("parts", lambda p: p["kind"] == kind)
 
-    A malformed article is one 'error' part.
-    """
-    return stage(articles.lateralJoin(_ArticleParts(F.col("xml").outer())).drop("xml"), "parts")
+
+def _value(kind: str) -> Column:
+    return F.get(_of_kind(kind), 0)["value"]
+
+
+def _with_head(parts: DataFrame) -> DataFrame:
+    root = _value("root")
+    years = _of_kind("year")
+    year = lambda when: F.get(F.filter(years, lambda p: p["attr"] == when), 0)["value"]
+    return parts.withColumns({
+        "format": F.when(root.isin(*JATS_ROOTS), "jats").when(root.isNotNull(), "elsevier"),
+        "document_name": F.coalesce(blank_to_null(collapse(_value("title"))), F.col("stem")),
+        "abstract": F.coalesce(collapse(_value("abstract")), F.lit("")),
+        "pub_year": F.coalesce(year("epub"), year("ppub"), year("collection"), F.get(years, 0)["value"]),
+    })
 
 
 def parse_report(parts: DataFrame) -> DataFrame:
-    """One row per article: format by root tag and whether it could be read."""
-    root = F.max(F.when(F.col("kind") == "root", F.col("value")))
-    form = F.when(root.isin(*JATS_ROOTS), "jats").when(root.isNotNull(), "elsevier")
-    return parts.groupBy("stem").agg(form.alias("format"), F.max(F.when(F.col("kind") == "error", F.col("value"))).alias("error"))
+    """One row per article: format by root tag and the error of the ones that could not be read."""
+    return _with_head(parts).select("stem", "format", _value("error").alias("error"))
 
 
 def article_head(parts: DataFrame) -> DataFrame:
     """(stem, format, document_name, abstract, pub_year). An article without title has its stem."""
-    value = lambda kind: F.max(F.when(F.col("kind") == kind, collapse(F.col("value"))))
-    year = lambda when: F.max(F.when((F.col("kind") == "year") & (F.col("attr") == when), F.col("value")))
-    other = F.min_by(F.when(F.col("kind") == "year", F.col("value")), F.when(F.col("kind") == "year", F.col("no")))
-    root = value("root")
-    return parts.groupBy("stem").agg(
-        F.when(root.isin(*JATS_ROOTS), "jats").otherwise("elsevier").alias("format"), root.alias("root"),
-        F.coalesce(F.nullif(value("title"), F.lit("")), F.first("stem")).alias("document_name"),
-        F.coalesce(value("abstract"), F.lit("")).alias("abstract"),
-        F.coalesce(year("epub"), year("ppub"), year("collection"), other).alias("pub_year"),
-    ).filter(F.col("root").isNotNull()).drop("root")
+    head = _with_head(parts).select("stem", "format", "document_name", "abstract", "pub_year")
+    return head.filter(F.col("format").isNotNull())
+
+
+def _with_items(parts: DataFrame) -> DataFrame:
+    """Adds ``items``: (kind, content, chapter, section_title) of paragraphs and tables."""
+    head = _with_head(parts).filter(F.col("format").isNotNull())
+    jats = F.col("format") == "jats"
+
+    def opens(title: Column) -> Column:
+        return F.when(jats, is_top_level(title, False)).otherwise(is_top_level(title, True))
+
+    def item(p: Column) -> Column:
+        named = F.filter(p["titles"], lambda t: t != "")
+        table = p["kind"] == "table"
+        content = F.when(table, table_text(p["cells"], p["label"], p["caption"])).otherwise(collapse(p["value"]))
+        last = lambda titles: F.coalesce(F.try_element_at(titles, F.lit(-1)), F.lit(BODY))
+        return F.struct(
+            F.when(table, "table").otherwise("text").alias("kind"), content.alias("content"),
+            last(F.filter(named, opens)).alias("chapter"), last(named).alias("section_title"), (p["kind"] == "loose").alias("loose"),
+        )
+
+    body = F.filter("parts", lambda p: p["kind"].isin("text", "table", "loose") & ~F.exists(p["titles"], is_stop_section))
+    items = head.withColumn("items", F.transform(body, item))
+    # paragraphs outside sections may repeat the abstract
+    wanted = F.filter("items", lambda i: (i["content"] != "") & ~(i["loose"] & (i["content"] == F.col("abstract"))))
+    return items.withColumn("items", wanted).drop("parts")
 
 
 def article_items(parts: DataFrame) -> DataFrame:
     """Paragraphs and tables with chapter and section; stop sections and empty tables are gone."""
-    head = article_head(parts).select("stem", "format", "abstract")
-    items = parts.filter(F.col("kind").isin("text", "table", "loose")).join(head, "stem")
-    named = F.filter("titles", lambda t: t != "")
-    items = items.filter(~F.exists(named, is_stop_section))
-    opened = F.when(F.col("format") == "jats", F.filter(named, lambda t: is_top_level(t, False))).otherwise(F.filter(named, lambda t: is_top_level(t, True)))
-    content = F.when(F.col("kind") == "table", table_text(F.col("cells"), F.col("label"), F.col("caption"))).otherwise(collapse(F.col("value")))
-    out = items.select(
-        "stem", "no", "section", F.when(F.col("kind") == "table", "table").otherwise("text").alias("kind"), content.alias("content"),
-        F.coalesce(F.try_element_at(opened, F.lit(-1)), F.lit(BODY)).alias("chapter"),
-        F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit(BODY)).alias("section_title"),
-        (F.col("kind") == "loose").alias("_loose"), "abstract",
-    )
-    return out.filter((F.col("content") != "") & ~(F.col("_loose") & (F.col("content") == F.col("abstract")))).drop("_loose", "abstract")
+    return unnest(_with_items(parts), "items", ["stem"]).drop("loose")
 
 
 def article_chunks(parts: DataFrame) -> DataFrame:
-    """Corpus chunks of articles: the abstract first, then packed sections and tables."""
-    head = article_head(parts)
-    packed = pack_elements(article_items(parts), "stem", "no", "content", "kind")
-    abstract = head.filter(F.col("abstract") != "").select(
-        "stem", F.lit(0).cast("long").alias("chunk"), F.lit("text").alias("content_type"), F.lit("Abstract").alias("chapter"),
+    """Corpus chunks of articles: the abstract first, then packed sections and tables.
+
+    Everything happens inside the article's row, so no article is shuffled.
+    """
+    packed = pack_arrays(_with_items(parts), "items")
+    has_abstract = F.col("abstract") != ""
+    abstract = F.struct(
+        F.lit(0).cast("long").alias("chunk"), F.lit("text").alias("content_type"), F.lit("Abstract").alias("chapter"),
         F.lit("Abstract").alias("section_title"), F.col("abstract").alias("text"), F.lit(1).cast("long").alias("n_elements"),
     )
-    rows = abstract.unionByName(packed).join(head.drop("abstract"), "stem")
-    has_abstract = head.select("stem", (F.col("abstract") != "").cast("long").alias("_a"))
-    rows = rows.join(has_abstract, "stem").withColumn("number", F.col("chunk") + F.col("_a"))
+    every = F.when(has_abstract, F.concat(F.array(abstract), F.col("chunks"))).otherwise(F.col("chunks"))
+    rows = unnest(packed.withColumn("chunks", every), "chunks", ["stem", "format", "document_name", "pub_year", "abstract"])
+    number = F.col("chunk") + (F.col("abstract") != "").cast("long")
+    table = F.col("content_type") == "table"
     prefix = F.when(F.col("format") == "jats", "pmc").otherwise("xml")
-    kind = F.when(F.col("content_type") == "table", "tbl").otherwise("chunk")
-    body = F.when(F.col("content_type") == "table", F.concat(F.lit("[TABLE]\n"), F.col("text"))).otherwise(F.col("text"))
+    kind = F.when(table, "tbl").otherwise("chunk")
+    body = F.when(table, F.concat(F.lit("[TABLE]\n"), F.col("text"))).otherwise(F.col("text"))
     return rows.select(
-        "stem", "content_type", F.concat_ws("_", prefix, slug(F.col("stem")), kind, F.format_string("%04d", F.col("number"))).alias("id"),
+        "stem", "content_type", F.concat_ws("_", prefix, slug(F.col("stem")), kind, F.format_string("%04d", number)).alias("id"),
         "document_name", F.when(F.col("format") == "jats", F.col("pub_year")).alias("pub_year"), "chapter", "section_title",
         F.lit(None).cast("int").alias("page_number"), F.lit("N/A").alias("page_range"),
         F.concat(provenance_header(F.col("document_name"), F.col("chapter"), F.col("section_title")), body).alias("text"),
@@ -184,17 +210,17 @@ def article_chunks(parts: DataFrame) -> DataFrame:
 
 
 def section_texts(parts: DataFrame) -> DataFrame:
-    """(stem, section, title, text) of each section with paragraphs; nothing is left out."""
-    texts = parts.filter((F.col("kind") == "text") & (F.col("section") > 0))
-    ordered = F.array_sort(F.collect_list(F.struct("no", "value")))
-    joined = F.array_join(F.transform(ordered, lambda p: p["value"]), "\n\n")
-    return texts.groupBy("stem", "section").agg(F.element_at(F.first("titles"), -1).alias("title"), joined.alias("text"))
-
+    """(stem, section, title, text, abstract) of each section with paragraphs; nothing is left out.
 
-def plain_abstract(parts: DataFrame) -> DataFrame:
-    """Abstract without a leading 'ABSTRACT' label."""
-    label = F.regexp_replace("value", r"(?i)\A\s*ABSTRACT\s*", "")
-    return parts.filter(F.col("kind") == "abstract").select("stem", label.alias("abstract"))
+    The abstract loses a leading 'ABSTRACT' label.
+    """
+    texts = F.filter("parts", lambda p: (p["kind"] == "text") & (p["section"] > 0))
+    abstract = F.regexp_replace(_value("abstract"), r"(?i)\A\s*ABSTRACT\s*", "")
+    rows = parts.select("stem", abstract.alias("abstract"), texts.alias("texts"))
+    rows = rows.withColumn("number", F.explode_outer(F.array_distinct(F.col("texts.section")))).filter(F.col("number").isNotNull())
+    own = rows.withColumn("own", F.filter("texts", lambda p: p["section"] == F.col("number")))
+    title = F.element_at(F.get("own", 0)["titles"], -1)
+    return own.select("stem", F.col("number").alias("section"), title.alias("title"), F.array_join(F.col("own.value"), "\n\n").alias("text"), "abstract")
 
 
 def abstract_by_pattern(articles: DataFrame, patterns: tuple[str, ...] = (r"(?s)<dc:description>(.*?)</dc:description>", r"(?s)<abstract[^>]*>(.*?)</abstract>"),
@@ -209,6 +235,3 @@ def title_by_pattern(articles: DataFrame, patterns: tuple[str, ...] = (r"(?s)<dc
     found = F.coalesce(*[F.when(F.col("xml").rlike(p), F.regexp_extract("xml", p, 1)) for p in patterns])
     return articles.select("stem", found.alias("title"))
 
-
-def unique_articles(articles: DataFrame, key: str, order: str) -> DataFrame:
-    return first_per_key(articles, [key], [order])
