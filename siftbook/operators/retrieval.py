@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siftbook.functions import fixed
 from siftbook.operators.ranking import hash_order, top_per_group
-from siftbook.session import scratch_path
+from siftbook.session import stage
 
 MAX_PIVOTS = 1024
 SLACK = 1e-6  # room for rounding in the pruning bounds
@@ -60,106 +60,124 @@ def index_table(vectors: DataFrame, key: str, vector: str, n_cells: int, payload
     return vectors.select(F.col(key).alias("id"), *payload).join(cells, "id")
 
 
-def collapse_copies(vectors: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """Equal vectors once, under their lowest id, and the ``k`` lowest ids behind each."""
-    lows = vectors.groupBy(vector).agg(F.min(key).alias("rep"))
-    tagged = vectors.select(key, vector).withColumn("_x", F.xxhash64(vector))
-    ids = top_per_group(tagged.select(key, vector), [vector], [F.col(key)], k, bound=k)
-    members = ids.groupBy(vector).agg(F.array_sort(F.collect_list(key)).alias("ids")).join(lows, vector).select("rep", "ids")
-    return lows.select(F.col("rep").alias("id"), F.col(vector).alias("v")), members
+def _keyed(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v, h1, h2): two independent 64-bit hashes stand for the vector in joins and groups."""
+    v = F.col(vector)
+    return vectors.select(F.col(key).alias("id"), v.alias("v"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"))
 
 
-def _nearest_distinct(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int, block: int) -> DataFrame:
+def _distinct(keyed: DataFrame) -> DataFrame:
+    """Equal vectors once, under their lowest id."""
+    return keyed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("v").alias("v"))
+
+
+def _nearest_distinct(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int, block: int, share: int, total: int) -> DataFrame:
     """(qid, id, distance) of the ``k`` nearest base rows per query; ids are unique on both sides."""
-    spark = base.sparkSession
-    path = scratch_path(spark, "cells")
-    assign_cells(base, "id", "v", pivots).write.parquet(path)  # read twice below, kept once
-    placed = spark.read.parquet(path)
+    if len(pivots) == 1:
+        # one cell: every query looks into all of it
+        placed = base.select("id", "v", F.lit(0).alias("cell"))
+        routed = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.lit(0).alias("cell"))
+        sizes = {0: total}
+    else:
+        placed, routed, sizes = _route(queries, base, pivots, k)
+    blocks = {c: max(1, -(-n // block)) for c, n in sizes.items()}
+    n_blocks = F.create_map(*[F.lit(x) for item in blocks.items() for x in item])[F.col("cell")]
+    stored = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("part"))
+    # the queries of a busy cell are split as well; its blocks are repeated for each share of them
+    busy = routed.groupBy("cell").agg(F.ceil(F.count("*") / share).cast("int").alias("n"))
+    copies = busy.select(F.col("cell").alias("_c"), F.col("n").alias("_n"))
+    stored = stored.join(copies, stored["cell"] == F.col("_c"))
+    stored = stored.select("id", "v", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("share"))
+    routed = routed.join(busy, "cell").select(
+        "qid", "qv", "cell", F.pmod(F.xxhash64("qid"), F.col("n")).cast("int").alias("share"),
+        F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("part"),
+    )
+
+    def search(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(s):
+            return pd.DataFrame({"qid": [], "id": [], "distance": []}).astype({"qid": "int64", "id": "int64", "distance": "float64"})
+        s = s.sort_values("id", ignore_index=True)
+        ids, sv, out = s["id"].to_numpy(), _stack(s["v"]), []
+        norms = (sv * sv).sum(1)
+        for lo in range(0, len(q), 256):
+            part = q.iloc[lo:lo + 256]
+            qv = _stack(part["qv"])
+            d = (qv * qv).sum(1)[:, None] + norms[None, :] - 2.0 * qv @ sv.T
+            d = np.round(np.maximum(d, 0.0), DIGITS) + 0.0
+            # everything within the n-th smallest distance, in order, equals by lower id
+            n = min(k, d.shape[1])
+            rows, cols = np.nonzero(d <= np.partition(d, n - 1, axis=1)[:, n - 1:n])
+            order = np.lexsort((cols, d[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            first = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(part)))[rows] < n
+            rows, cols = rows[first], cols[first]
+            out.append((part["qid"].to_numpy()[rows], ids[cols], d[rows, cols]))
+        return pd.DataFrame({name: np.concatenate(column) for name, column in zip(("qid", "id", "distance"), zip(*out))})
+
+    keys = ["cell", "part", "share"]
+    found = routed.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(search, "qid long, id long, distance double")
+    by = W.partitionBy("qid").orderBy("distance", "id")
+    return found.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
+
+
+def _route(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """Base rows by cell, queries by the cells they have to visit, and the size of each cell."""
+    placed = stage(assign_cells(base, "id", "v", pivots), "cells")
     # per cell: size, radius and the k members closest to the pivot; at most MAX_PIVOTS rows
     near = top_per_group(placed.select("cell", "to_pivot", "id"), ["cell"], [F.col("to_pivot"), F.col("id")], k, bound=k)
     near = near.groupBy("cell").agg(F.array_sort(F.collect_list("to_pivot")).alias("near"))
     shape = placed.groupBy("cell").agg(F.max("to_pivot").alias("radius"), F.count("*").alias("n")).join(near, "cell").collect()
     cells = np.array([r["cell"] for r in shape])
     radius = np.array([r["radius"] for r in shape])
-    n_blocks = {int(r["cell"]): max(1, -(-int(r["n"]) // block)) for r in shape}
     owner = np.concatenate([np.full(len(r["near"]), i) for i, r in enumerate(shape)])
     reach = np.concatenate([np.array(r["near"]) for r in shape])
     centres = pivots[cells]
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cells a query has to look into: those nearer than a sure bound on its k-th distance."""
+        """Cells nearer to a query than a sure bound on its k-th distance."""
         for pdf in batches:
             if not len(pdf):
                 continue
             d = _distances(_stack(pdf["v"]), centres)
             upper = d[:, owner] + reach
-            at = min(k, upper.shape[1]) - 1
-            bound = np.partition(upper, at, axis=1)[:, at]
-            if upper.shape[1] < k:
-                bound[:] = np.inf
+            bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(d), np.inf)
             q, c = np.nonzero(d - radius <= bound[:, None] + SLACK)
             yield pd.DataFrame({"qid": pdf["id"].to_numpy()[q], "qv": pdf["v"].to_numpy()[q], "cell": cells[c]})
 
-    routed = queries.mapInPandas(visits, "qid long, qv array<float>, cell int")
-    blocks = F.create_map(*[F.lit(x) for item in n_blocks.items() for x in item])
-    routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
-    # queries of a busy cell are spread as well: each group takes one share of them
-    busy = routed.groupBy("cell", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))
-    cell_part = F.pmod(F.xxhash64("id"), blocks[F.col("cell")]).cast("int")
-    copies = busy.select(F.col("cell").alias("_c"), F.col("part").alias("_p"), F.col("shares").alias("_n"))
-    stored = placed.select("id", "v", "cell", cell_part.alias("part"))
-    stored = stored.join(copies, (stored["cell"] == F.col("_c")) & (stored["part"] == F.col("_p")))
-    stored = stored.select("id", "v", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("share"))
-    routed = routed.join(busy, ["cell", "part"])
-    routed = routed.select("qid", "qv", "cell", "part", F.pmod(F.xxhash64("qid"), F.col("shares")).cast("int").alias("share"))
-
-    def search(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(s):
-            s = s.sort_values("id", ignore_index=True)
-            ids, sv = s["id"].to_numpy(), _stack(s["v"])
-            for lo in range(0, len(q), 1024):
-                part = q.iloc[lo:lo + 1024]
-                qv = _stack(part["qv"])
-                # squared distance of unit vectors and others alike, rounded for stable ties
-                d = (qv * qv).sum(1)[:, None] + (sv * sv).sum(1)[None, :] - 2.0 * qv @ sv.T
-                d = np.round(np.maximum(d, 0.0), DIGITS) + 0.0
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                rows = np.arange(len(part))[:, None]
-                out.append(pd.DataFrame({
-                    "qid": np.repeat(part["qid"].to_numpy(), best.shape[1]), "id": ids[best].ravel(), "distance": d[rows, best].ravel(),
-                }))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "distance": []}).astype({"qid": "int64", "id": "int64", "distance": "float64"})
-
-    keys = ["cell", "part", "share"]
-    found = routed.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(search, "qid long, id long, distance double")
-    by = W.partitionBy("qid").orderBy("distance", "id")
-    return found.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
+    routed = queries.select("id", "v").mapInPandas(visits, "qid long, qv array<float>, cell int")
+    return placed, routed, {int(r["cell"]): int(r["n"]) for r in shape}
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False,
-            n_pivots: int | None = None, block: int = 4096, seed: int = 42) -> DataFrame:
+            n_pivots: int | None = None, block: int = 32768, share: int = 4096, seed: int = 42) -> DataFrame:
     """(query_id, neighbour_id, distance, place): the ``k`` nearest base rows of each query.
 
     Distance is squared L2, rounded to nine digits; ties go to the lower id. Equal vectors are
     searched once and expanded at the end. ``exclude_self`` drops a row as its own neighbour.
+    ``block`` base rows and ``share`` queries meet in one task at a time.
     """
     need = k + 1 if exclude_self else k
+    stored = _keyed(base, key, vector)
+    distinct = _distinct(stored)
+    total = base.count()
     if n_pivots is None:
-        n_pivots = int(min(MAX_PIVOTS, max(1, base.count() ** 0.5 // 2)))
-    pivots = choose_pivots(base, key, vector, n_pivots, seed)
-    distinct, members = collapse_copies(base, key, vector, need)
-    q_rep = queries.groupBy(vector).agg(F.min(key).alias("rep"))
-    found = _nearest_distinct(q_rep.select(F.col("rep").alias("id"), F.col(vector).alias("v")), distinct, pivots, need, block)
-    found = found.join(members, found["id"] == members["rep"]).select("qid", "distance", F.explode("ids").alias("neighbour_id"))
-    asked = queries.select(F.col(key).alias("query_id"), vector).join(q_rep, vector).select("query_id", F.col("rep").alias("qid"))
-    best = W.partitionBy("qid").orderBy("distance", "neighbour_id")
-    found = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= need).drop("_r")
-    hits = asked.join(found, "qid").drop("qid")
+        n_pivots = min(MAX_PIVOTS, -(-total // block))
+    pivots = choose_pivots(base, key, vector, n_pivots, seed) if n_pivots > 1 else np.zeros((1, 1))
+    asked = stored if queries is base else _keyed(queries, key, vector)
+    wanted = distinct if queries is base else _distinct(asked)
+    found = _nearest_distinct(wanted, distinct, pivots, need, block, share, total)
+    # the lowest ids behind each distinct vector
+    ids = top_per_group(stored.select("h1", "h2", "id"), ["h1", "h2"], [F.col("id")], need, bound=need)
+    members = ids.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    members = members.select(F.element_at("ids", 1).alias("id"), "ids")
+    expanded = found.join(members, "id").select("qid", F.transform("ids", lambda i: F.struct(F.col("distance").alias("distance"), i.alias("id"))).alias("hits"))
+    hits = expanded.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, need).alias("hits"))
+    owners = asked.select(F.col("id").alias("query_id"), "h1", "h2").join(wanted.select("h1", "h2", F.col("id").alias("qid")), ["h1", "h2"])
+    answered = owners.join(hits, "qid")
     if exclude_self:
-        hits = hits.filter(F.col("query_id") != F.col("neighbour_id"))
-    by = W.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    return hits.withColumn("place", F.row_number().over(by).cast("long")).filter(F.col("place") <= k).select("query_id", "neighbour_id", "distance", "place")
+        answered = answered.withColumn("hits", F.filter("hits", lambda h: h["id"] != F.col("query_id")))
+    rows = answered.select("query_id", F.posexplode_outer(F.slice("hits", 1, k)).alias("at", "h")).filter(F.col("h").isNotNull())
+    return rows.select("query_id", F.col("h.id").alias("neighbour_id"), F.col("h.distance").alias("distance"), (F.col("at") + 1).cast("long").alias("place"))
 
 
 def build_context(hits: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -129,8 +129,8 @@ def test_opening_equals_start_of_regrouped_text(spark):
     assert pairs(quality.opening(df, "d", "o", "t", 100), "d", "opening") == pairs(full, "d", "opening")
 
 
-@pytest.mark.parametrize("exclude, block", [(True, 4096), (False, 16)])
-def test_nearest_equals_brute_force(spark, exclude, block):
+@pytest.mark.parametrize("exclude, pivots, block", [(True, 8, 4096), (False, 8, 16), (True, 1, 50)])
+def test_nearest_equals_brute_force(spark, exclude, pivots, block):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(120, 6)).astype(np.float32)
     v[::3] = v[0]  # a third are copies
@@ -140,7 +140,7 @@ def test_nearest_equals_brute_force(spark, exclude, block):
     for i in range(len(v)):
         best = sorted((d[i, j], j) for j in range(len(v)) if not (exclude and i == j))[:5]
         expected += [(i, p + 1, j) for p, (_, j) in enumerate(best)]
-    got = retrieval.nearest(df, df, "id", "v", 5, exclude_self=exclude, n_pivots=8, block=block)
+    got = retrieval.nearest(df, df, "id", "v", 5, exclude_self=exclude, n_pivots=pivots, block=block, share=20)
     assert pairs(got, "query_id", "place", "neighbour_id") == sorted(expected)
 
 
