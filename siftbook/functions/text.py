@@ -14,6 +14,11 @@ from siftbook.functions import fixed
 BLANK_LINE = "\n\n"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -158,9 +163,9 @@ def contains_any(c: Column, needles: tuple[str, ...]) -> Column:
 
 def shares_substring(a: Column, b: Column, width: int = 40, stride: int = 20) -> Column:
     """True where a slice of ``a`` taken every ``stride`` characters occurs in ``b``."""
-    low_a, low_b = F.lower(a), F.lower(b)
     starts = F.when(F.length(a) >= width, F.sequence(F.lit(1), F.length(a) - F.lit(width - 1), F.lit(stride)))
-    hit = F.exists(starts, lambda i: F.contains(low_b, F.substring(low_a, i, F.lit(width))))
+    low = F.struct(F.lower(a).alias("a"), F.lower(b).alias("b"))
+    hit = let(low, lambda s: F.exists(starts, lambda i: F.contains(s["b"], F.substring(s["a"], i, F.lit(width)))))
     return F.coalesce(hit, F.lit(False))
 
 

@@ -38,19 +38,22 @@ def verify_order(results: DataFrame, questions: DataFrame, seed: int = 42) -> Da
     question. Its replayed order is only trusted where the recorded letter agrees; otherwise the
     order is null. A condition that was not shuffled shows the choices as they are.
     """
-    keyed = questions.select("id", "correct", shuffled_letters(F.col("id"), seed).alias("_order"))
-    joined = results.join(keyed, "id")
+    return _replayed(results, questions.select("id", "correct"), seed).drop("correct")
+
+
+def _replayed(results: DataFrame, questions: DataFrame, seed: int) -> DataFrame:
+    joined = results.join(questions, "id").withColumn("_order", shuffled_letters(F.col("id"), seed))
     moved = joined.groupBy("cond").agg(F.bool_or(F.col("correct_presented") != F.col("correct")).alias("randomised"))
     agrees = F.col("correct_presented") == letter_at(F.col("_order"), F.col("correct"))
     order = F.when(~F.col("randomised"), "ABCD").when(agrees, F.col("_order"))
-    return joined.join(moved, "cond").withColumn("letter_order", order).drop("_order", "correct")
+    return joined.join(moved, "cond").withColumn("letter_order", order).drop("_order")
 
 
 def condition_view(scored: DataFrame, questions: DataFrame, raw: DataFrame, seed: int = 42) -> DataFrame:
     """Each answer with the text it picked, that text's original letter and the raw output."""
-    seen = verify_order(scored, questions, seed)
+    seen = _replayed(scored, questions.select("id", "correct", "choices"), seed)
     picked = original_letter(F.col("letter_order"), F.col("predicted"))
-    joined = seen.join(questions.select("id", "choices", "correct"), "id").join(raw.select("cond", "id", "raw_output"), ["cond", "id"], "left")
+    joined = seen.join(raw.select("cond", "id", "raw_output"), ["cond", "id"], "left")
     view = joined.withColumn("_slot", picked).withColumn("picked_text", F.try_element_at("choices", "_slot"))
     # the first letter that carries the picked text
     same = F.filter(F.array(*[F.lit(x) for x in fixed.LETTERS]), lambda x: F.try_element_at(F.col("choices"), x) == F.col("picked_text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftbook.functions import fixed
-from siftbook.functions.text import blank_to_null, entities, meta_leak, shares_substring, strip, word_count
+from siftbook.functions.text import blank_to_null, entities, let, meta_leak, shares_substring, strip, word_count
 
 
 def parse_numbered(df: DataFrame, text: str) -> DataFrame:
@@ -46,7 +46,7 @@ def to_messages(turns: DataFrame, key: str, order: str, role: str, text: str) ->
 def auto_checks(answer: Column, passage: Column) -> dict[str, Column]:
     """Quality columns of an answer against its passage."""
     found = entities(answer)
-    grounded = F.filter(found, lambda e: F.contains(F.lower(passage), F.lower(e)))
+    grounded = let(F.lower(passage), lambda p: F.filter(found, lambda e: F.contains(p, F.lower(e))))
     ratio = F.round(F.size(grounded) / F.size(found), 2)
     return {
         "words": word_count(answer),

@@ -21,7 +21,7 @@ def regroup(df: DataFrame, document: str, order: str, text: str, sep: str = " ")
     return df.groupBy(document).agg(joined.alias("full_text"), F.count("*").alias("n_chunks"))
 
 
-def opening(df: DataFrame, document: str, order: str, text: str, size: int, sep: str = " ", salts: int = 32) -> DataFrame:
+def opening(df: DataFrame, document: str, order: str, text: str, size: int, sep: str = " ", salts: int = 1024) -> DataFrame:
     """First ``size`` characters of each regrouped document without regrouping it.
 
     Only lengths are shuffled to find the parts that begin inside the opening. A part that begins

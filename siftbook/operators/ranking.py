@@ -73,13 +73,15 @@ def ordered_rank(df: DataFrame, order: list[Column], within: Keys = (), name: st
     return placed.join(runs, cond).select(*[placed[c] for c in df.columns], rank.cast("long").alias(name))
 
 
-def top_per_group(df: DataFrame, group: Keys, order: list[Column], k: int | Column, bound: int, salts: int = 64) -> DataFrame:
+def top_per_group(df: DataFrame, group: Keys, order: list[Column], k: int | Column, bound: int, salts: int = 1024) -> DataFrame:
     """First ``k`` rows of each group; ``bound`` is the largest ``k`` can be.
 
     Two steps: the best ``bound`` rows of each salted part, then of the group. No task sees more
-    than ``salts * bound`` rows of one group at the end.
+    than ``salts * bound`` rows of one group at the end, and a bound up to 1000 is already applied
+    before the first shuffle.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    hashable = [c for c, kind in df.dtypes if "map<" not in kind]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)))
     part = salted.withColumn("_r", F.row_number().over(W.partitionBy(*group, "_salt").orderBy(*order)))
     part = part.filter(F.col("_r") <= bound)
     best = part.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(*order)))

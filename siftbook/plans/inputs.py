@@ -56,7 +56,7 @@ def chunks(t: Tables) -> DataFrame:
         F.col("doc_id").alias("ord"), tag("chunk_", "doc_id").alias("id"),
         F.when(F.col("lang") == "es", "table").otherwise("text").alias("content_type"),
         F.col("source").alias("document_name"), section.alias("section_title"),
-        F.when(F.col("lang") == "fr", F.col("text")).otherwise(F.concat(header, F.col("text"))).alias("text"),
+        F.when(F.col("lang") == "fr", F.col("text")).otherwise(F.concat(header, F.col("text"))).alias("text"), "lang",
     )
 
 

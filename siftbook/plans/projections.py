@@ -459,11 +459,12 @@ _over_lines("c34_abstract_label", "regexp_replace(CASE WHEN no % 2 = 0 THEN ' Ab
             lambda c: F.regexp_replace(F.when(F.col("no") % 2 == 0, F.concat(F.lit(" Abstract "), c)).otherwise(c), r"(?i)\A\s*ABSTRACT\s*", ""))
 
 
-@query("c35_table_text", """SELECT CAST(n_regionkey AS BIGINT) AS r, 'Table ' || n_regionkey || ' | Nations' || chr(10) || string_agg(n_nationkey || chr(9) || n_name, chr(10) ORDER BY n_nationkey) AS v FROM nation GROUP BY n_regionkey""")
+@query("c35_table_text", """SELECT l_orderkey, 'Order ' || l_orderkey || ' | Lines' || chr(10) || string_agg(l_linenumber || chr(9) || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey) AS v FROM lineitem GROUP BY l_orderkey""")
 def _(t: Tables) -> DataFrame:
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.array(r["n_nationkey"].cast("string"), r["n_name"]))
-    return t.nation.groupBy("n_regionkey").agg(cells.alias("cells")).select(
-        F.col("n_regionkey").alias("r"), layout.table_text(F.col("cells"), F.concat(F.lit("Table "), F.col("n_regionkey")), F.lit("Nations")).alias("v")
+    line = F.struct("l_linenumber", "l_partkey")
+    cells = F.transform(F.array_sort(F.collect_list(line)), lambda r: F.array(r["l_linenumber"].cast("string"), r["l_partkey"].cast("string")))
+    return t.lineitem.groupBy("l_orderkey").agg(cells.alias("cells")).select(
+        "l_orderkey", layout.table_text(F.col("cells"), F.concat(F.lit("Order "), F.col("l_orderkey")), F.lit("Lines")).alias("v")
     )
 
 

@@ -54,13 +54,14 @@ def _(t: Tables) -> DataFrame:
     return read.select("source_chunk_id", "category", F.md5(read.messages[0].content).alias("u"), F.md5(read.messages[1].content).alias("a"))
 
 
-@query("a4_json_array_scan", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+@query("a4_json_array_scan", "SELECT conv_id, turn, role, conv_id // 64 AS file FROM conversations")
 def _(t: Tables) -> DataFrame:
-    # a seed file is one short array; one file per region
+    # a file is one short array: the turns of 64 conversations
     path = scratch_path(t.spark, "a4")
-    one = t.nation.groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value"))
-    one.write.partitionBy("n_regionkey").text(path)
-    return S.read_json_array(t.spark, path, "n_nationkey long, n_name string, n_regionkey long")
+    file = F.floor(F.col("conv_id") / 64).alias("file")
+    one = t.conversations.groupBy(file).agg(F.to_json(F.collect_list(F.struct("conv_id", "turn", "role"))).alias("value"))
+    one.write.partitionBy("file").text(path)
+    return S.read_json_array(t.spark, path, "conv_id long, turn long, role string, file long")
 
 
 @query("a5_shard_glob_scan", "SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
