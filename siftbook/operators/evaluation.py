@@ -43,10 +43,13 @@ def verify_order(results: DataFrame, questions: DataFrame, seed: int = 42) -> Da
 
 def _replayed(results: DataFrame, questions: DataFrame, seed: int) -> DataFrame:
     joined = results.join(questions, "id").withColumn("_order", shuffled_letters(F.col("id"), seed))
-    moved = joined.groupBy("cond").agg(F.bool_or(F.col("correct_presented") != F.col("correct")).alias("randomised"))
+    # a set of condition names, so the answers are not shuffled by a handful of keys
+    moved = F.collect_set(F.when(F.col("correct_presented") != F.col("correct"), F.col("cond")))
+    randomised = F.array_contains(joined.agg(moved.alias("conds")).scalar(), F.col("cond"))
+    joined = joined.withColumn("randomised", randomised)
     agrees = F.col("correct_presented") == letter_at(F.col("_order"), F.col("correct"))
     order = F.when(~F.col("randomised"), "ABCD").when(agrees, F.col("_order"))
-    return joined.join(moved, "cond").withColumn("letter_order", order).drop("_order")
+    return joined.withColumn("letter_order", order).drop("_order")
 
 
 def condition_view(scored: DataFrame, questions: DataFrame, raw: DataFrame, seed: int = 42) -> DataFrame:

@@ -218,10 +218,11 @@ def few_shot(records: DataFrame, seeds: DataFrame, record_key: str, seed_key: st
     circle from a hashed start, so each record meets ``n`` seeds and not its whole category.
     """
     numbered = hash_rank(seeds, [seed_key], seed, within=[category], name="_at")
-    sizes = seeds.groupBy(category).agg(F.count("*").alias("_m"))
+    # one entry per category
+    sizes = seeds.groupBy(category).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct(category, "n"))).alias("m")).scalar()
     start = F.conv(F.substring(hash_order(f"{seed}-start", record_key), 1, 8), 16, 10).cast("long")
     wanted = (
-        records.join(sizes, category)
+        records.withColumn("_m", F.try_element_at(sizes, F.col(category)))
         .withColumn("_i", F.explode(F.sequence(F.lit(1), F.least(F.lit(n).cast("long"), F.col("_m")))))
         .withColumn("_at", F.pmod(start + F.col("_i") - 1, F.col("_m")) + 1)
     )

@@ -71,26 +71,27 @@ def _distinct(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("v").alias("v"))
 
 
-def _nearest_distinct(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int, block: int, share: int, total: int) -> DataFrame:
+def _nearest_distinct(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int, block: int, share: int, total: int, asked: int) -> DataFrame:
     """(qid, id, distance) of the ``k`` nearest base rows per query; ids are unique on both sides."""
     if len(pivots) == 1:
         # one cell: every query looks into all of it
         placed = base.select("id", "v", F.lit(0).alias("cell"))
         routed = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.lit(0).alias("cell"))
-        sizes = {0: total}
+        sizes, busy = {0: total}, {0: asked}
     else:
-        placed, routed, sizes = _route(queries, base, pivots, k)
-    blocks = {c: max(1, -(-n // block)) for c, n in sizes.items()}
-    n_blocks = F.create_map(*[F.lit(x) for item in blocks.items() for x in item])[F.col("cell")]
-    stored = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("part"))
-    # the queries of a busy cell are split as well; its blocks are repeated for each share of them
-    busy = routed.groupBy("cell").agg(F.ceil(F.count("*") / share).cast("int").alias("n"))
-    copies = busy.select(F.col("cell").alias("_c"), F.col("n").alias("_n"))
-    stored = stored.join(copies, stored["cell"] == F.col("_c"))
-    stored = stored.select("id", "v", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("share"))
-    routed = routed.join(busy, "cell").select(
-        "qid", "qv", "cell", F.pmod(F.xxhash64("qid"), F.col("n")).cast("int").alias("share"),
-        F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("part"),
+        placed, routed, sizes, busy = _route(queries, base, pivots, k)
+
+    def pieces(counts: dict[int, int], size: int) -> Column:
+        """Number of pieces of at most about ``size`` rows a cell is cut into."""
+        return F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, max(1, -(-n // size)))])[F.col("cell")]
+
+    # the queries of a busy cell are cut as well; its blocks are repeated for each share of them
+    n_parts, n_shares = pieces(sizes, block), pieces(busy, share)
+    stored = placed.select(
+        "id", "v", "cell", F.pmod(F.xxhash64("id"), n_parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), n_shares - 1)).alias("share"),
+    )
+    routed = routed.select(
+        "qid", "qv", "cell", F.pmod(F.xxhash64("qid"), n_shares).cast("int").alias("share"), F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"),
     )
 
     def search(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -120,8 +121,8 @@ def _nearest_distinct(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k
     return found.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
 
 
-def _route(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int) -> tuple[DataFrame, DataFrame, dict[int, int]]:
-    """Base rows by cell, queries by the cells they have to visit, and the size of each cell."""
+def _route(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int) -> tuple[DataFrame, DataFrame, dict[int, int], dict[int, int]]:
+    """Base rows by cell, queries by the cells they have to visit, and how many of both a cell has."""
     placed = stage(assign_cells(base, "id", "v", pivots), "cells")
     # per cell: size, radius and the k members closest to the pivot; at most MAX_PIVOTS rows
     near = top_per_group(placed.select("cell", "to_pivot", "id"), ["cell"], [F.col("to_pivot"), F.col("id")], k, bound=k)
@@ -145,7 +146,9 @@ def _route(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int) -> t
             yield pd.DataFrame({"qid": pdf["id"].to_numpy()[q], "qv": pdf["v"].to_numpy()[q], "cell": cells[c]})
 
     routed = queries.select("id", "v").mapInPandas(visits, "qid long, qv array<float>, cell int")
-    return placed, routed, {int(r["cell"]): int(r["n"]) for r in shape}
+    routed = stage(routed, "visits")
+    busy = {int(r["cell"]): int(r["count"]) for r in routed.groupBy("cell").count().collect()}
+    return placed, routed, {int(r["cell"]): int(r["n"]) for r in shape}, busy
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False,
@@ -160,12 +163,13 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int,
     stored = _keyed(base, key, vector)
     distinct = _distinct(stored)
     total = base.count()
+    n_queries = total if queries is base else queries.count()
     if n_pivots is None:
         n_pivots = min(MAX_PIVOTS, -(-total // block))
     pivots = choose_pivots(base, key, vector, n_pivots, seed) if n_pivots > 1 else np.zeros((1, 1))
     asked = stored if queries is base else _keyed(queries, key, vector)
     wanted = distinct if queries is base else _distinct(asked)
-    found = _nearest_distinct(wanted, distinct, pivots, need, block, share, total)
+    found = _nearest_distinct(wanted, distinct, pivots, need, block, share, total, n_queries)
     # the lowest ids behind each distinct vector
     ids = top_per_group(stored.select("h1", "h2", "id"), ["h1", "h2"], [F.col("id")], need, bound=need)
     members = ids.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))
