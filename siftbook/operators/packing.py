@@ -1,7 +1,7 @@
 """Sections and chunks of a document.
 
-The unit of work is one document: its elements are a row's array or a group of rows. A document is
-a paper, so both are bounded by its text.
+Sections are filled forward in blocks of a document. Packing is sequential, so its unit is one
+document: a row's array or a group of rows, bounded by the text of a paper.
 """
 
 from __future__ import annotations
@@ -16,25 +16,41 @@ from siftbook.functions.layout import chapter_of, is_stop_section, is_top_level
 BODY = "Body"
 
 
+def fill_forward(df: DataFrame, document: str, order: str, values: dict[str, Column], block: int = 10_000) -> DataFrame:
+    """Latest non-null value up to each row of its document, for a numeric order.
+
+    A document is cut into blocks of the order. Each block is filled by itself; what a block hands
+    on is one row, so a document of any length meets in one task only as its list of blocks.
+    """
+    blocked = df.withColumns({"_block": F.floor(F.col(order) / block), **{f"_v_{n}": v for n, v in values.items()}})
+    ends = blocked.groupBy(document, "_block").agg(
+        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(n) for n in values]
+    )
+    earlier = W.partitionBy("_d").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumnsRenamed({document: "_d", "_block": "_b"})
+    carried = ends.select("_d", "_b", *[F.last(n, ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in values])
+    so_far = W.partitionBy(document, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    local = blocked.withColumns({f"_v_{n}": F.last(f"_v_{n}", ignorenulls=True).over(so_far) for n in values})
+    joined = local.join(carried, (local[document] == carried["_d"]) & (local["_block"] == carried["_b"]))
+    return joined.select(*[local[c] for c in df.columns], *[F.coalesce(f"_v_{n}", f"_c_{n}").alias(n) for n in values])
+
+
 def fill_sections(elements: DataFrame, document: str, order: str, text: str, heading: str) -> DataFrame:
     """Give every element the latest heading before it; cut the document at a stop section."""
-    so_far = W.partitionBy(document).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     title = F.when(F.col(heading), F.col(text))
-    stopped = F.max((F.col(heading) & is_stop_section(F.col(text))).cast("int")).over(so_far)
-    filled = elements.withColumn("_stop", stopped).filter(F.col("_stop") == 0).drop("_stop")
-    section = F.coalesce(F.last(title, ignorenulls=True).over(so_far), F.lit("Unknown Section"))
-    return filled.withColumn("section_title", section).withColumn("chapter", F.when(section == "Unknown Section", "Unknown Chapter").otherwise(chapter_of(section)))
+    filled = fill_forward(elements, document, order, {"section_title": title, "_stopped": F.when(is_stop_section(title), True)})
+    known = F.col("section_title").isNotNull()
+    return filled.filter(F.col("_stopped").isNull()).drop("_stopped").withColumns({
+        "section_title": F.coalesce("section_title", F.lit("Unknown Section")),
+        "chapter": F.when(known, chapter_of(F.col("section_title"))).otherwise("Unknown Chapter"),
+    })
 
 
 def fill_hierarchy(elements: DataFrame, document: str, order: str, text: str, heading: str, capitals: bool = True) -> DataFrame:
     """Two levels: top-level names open a chapter, other headings a section inside it."""
-    so_far = W.partitionBy(document).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     title = F.when(F.col(heading), F.col(text))
-    opens = F.when(F.col(heading) & is_top_level(F.col(text), capitals), F.col(text))
-    return elements.withColumns({
-        "chapter": F.coalesce(F.last(opens, ignorenulls=True).over(so_far), F.lit(BODY)),
-        "section_title": F.coalesce(F.last(title, ignorenulls=True).over(so_far), F.lit(BODY)),
-    })
+    filled = fill_forward(elements, document, order, {"chapter": F.when(is_top_level(title, capitals), title), "section_title": title})
+    return filled.withColumns({c: F.coalesce(c, F.lit(BODY)) for c in ("chapter", "section_title")})
 
 
 def section_of_page(elements: DataFrame, document: str, page: str, order: str) -> DataFrame:

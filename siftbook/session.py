@@ -61,11 +61,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that fits one file split over the cores, for heavy work per row.
+    """Spread a table that comes in few splits over the cores, for heavy work per row.
 
-    Larger tables come in as many splits as they need and are not shuffled.
+    A table with at least half as many splits as cores stays as it is and is not shuffled.
     """
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    one_split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df.repartition(spark.sparkContext.defaultParallelism) if size <= one_split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

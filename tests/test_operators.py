@@ -121,6 +121,30 @@ def test_packing(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("block", [3, 10_000])
+def test_fill_forward(spark, block):
+    rng = random.Random(8)
+    rows, expected = [], []
+    for doc in ("hot", "b", "c"):
+        last = None
+        for i in range(300 if doc == "hot" else 20):
+            v = f"{doc}{i}" if rng.random() < 0.1 else None
+            last = v or last
+            rows.append((doc, i, v))
+            expected.append((doc, i, last))
+    df = spark.createDataFrame(rows, "d string, o long, v string").repartition(8)
+    got = packing.fill_forward(df, "d", "o", {"filled": F.col("v")}, block)
+    assert {(r["d"], r["o"]): r["filled"] for r in got.collect()} == {(d, o): v for d, o, v in expected}
+
+
+def test_sections_stop(spark):
+    names = ["intro line", "Methods", "text", "References", "a paper", "Appendix", "more"]
+    rows = [("d", i, n, n[0].isupper()) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "d string, o long, t string, h boolean")
+    got = pairs(packing.fill_sections(df, "d", "o", "t", "h"), "o", "section_title", "chapter")
+    assert got == [(0, "Unknown Section", "Unknown Chapter"), (1, "Methods", "Unknown Chapter"), (2, "Methods", "Unknown Chapter")]
+
+
 def test_opening_equals_start_of_regrouped_text(spark):
     rng = random.Random(2)
     rows = [(i, "hot" if i % 3 else f"d{i % 7}", "ab " * rng.choice([0, 1, 30])) for i in range(900)]
