@@ -132,6 +132,13 @@ def leaderboard(scored: DataFrame, questions: DataFrame, flagged: DataFrame, lev
     )
 
 
+def valid_reviews(reviews: DataFrame, questions: DataFrame) -> DataFrame:
+    """Reviews of known questions by a named reviewer with a known verdict; notes are cut to 2000."""
+    named = F.trim(F.coalesce("reviewer", F.lit(""))) != ""
+    ok = reviews.filter(named & F.col("verdict").isin(*fixed.REVIEW_VERDICTS))
+    return ok.join(questions.select("qid").distinct(), "qid", "left_semi").withColumn("notes", F.left(F.coalesce("notes", F.lit("")), F.lit(2000)))
+
+
 def review_state(reviews: DataFrame, key: str = "qid", verdict: str = "verdict") -> DataFrame:
     """'good' when every verdict is, else 'flagged'."""
     good = F.bool_and(F.col(verdict) == "good")

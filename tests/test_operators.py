@@ -107,7 +107,8 @@ def greedy_chunks(items, limit):
     return ["\n\n".join(c) for c in chunks]
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("long_document", [100_000, 20, 0])
+def test_packing(spark, long_document):
     rng = random.Random(1)
     rows, expected = [], {}
     for doc in range(30):
@@ -116,7 +117,7 @@ def test_packing(spark):
         expected[doc] = greedy_chunks(items, 200)
     df = spark.createDataFrame(rows, "doc long, no long, kind string, content string, chapter string, section_title string").repartition(8)
     got = {}
-    for r in packing.pack_elements(df, "doc", "no", "content", "kind", 200).orderBy("doc", "chunk").collect():
+    for r in packing.pack_elements(df, "doc", "no", "content", "kind", 200, long_document).orderBy("doc", "chunk").collect():
         got.setdefault(r["doc"], []).append(r["text"])
     assert got == expected
 
