@@ -22,7 +22,7 @@ from siftbook.plans.registry import Tables, query
 from siftbook.session import scratch_path, stage
 from siftbook.sources import files as S
 
-TOPIC, LEAST = I.TOPIC_WORDS, 1500
+TOPIC, LEAST = I.TOPIC_WORDS, 20
 
 
 @query("e1_document_regroup", "SELECT conv_id, md5(string_agg(text, ' ' ORDER BY turn)) AS digest, count(*) AS n_chunks FROM conversations GROUP BY conv_id")
@@ -34,12 +34,12 @@ def _(t: Tables) -> DataFrame:
 DECISIONS_SQL = f"""SELECT document_name, CASE WHEN lang <> 'en' THEN 'NON_ENGLISH' WHEN mentions < {LEAST} THEN 'OFF_TOPIC_LOW_MENTIONS' END AS reason, lang AS detected_lang, mentions, n_chunks
     FROM (SELECT document_name, {sql_language('opening')} AS lang, mentions, n_chunks FROM (SELECT document_name, substr(string_agg(body, ' ' ORDER BY ord), 1, 3000) AS opening,
     sum({sql_mentions('body', TOPIC)})::BIGINT AS mentions, count(*) AS n_chunks FROM (SELECT document_name, ord, {sql_strip_header('text')} AS body FROM doc_chunks) GROUP BY document_name))"""
-# a document is a source in one language
-DOC_CHUNKS_SQL = "SELECT ord, source || '-' || lang AS document_name, c.text FROM chunks c JOIN documents d ON d.doc_id = c.ord"
+# a document is what a source has in one language within a hundred ids
+DOC_CHUNKS_SQL = "SELECT ord, source || '-' || lang || '-' || (ord // 100) AS document_name, c.text FROM chunks c JOIN documents d ON d.doc_id = c.ord"
 
 
 def doc_chunks(t: Tables) -> DataFrame:
-    return I.chunks(t).select("ord", "id", F.concat_ws("-", "document_name", "lang").alias("document_name"), "text")
+    return I.chunks(t).select("ord", "id", F.concat_ws("-", "document_name", "lang", F.floor(F.col("ord") / 100)).alias("document_name"), "text")
 
 
 def decisions(t: Tables) -> DataFrame:
