@@ -242,11 +242,15 @@ def _pages(t: Tables) -> DataFrame:
     return t.pages.select(F.col("page_id").cast("string").alias("stem"), F.col("html").alias("xml"))
 
 
-@query("a16_abstract_by_pattern", f"""SELECT * FROM (SELECT CAST(page_id AS VARCHAR) AS stem, CASE WHEN regexp_matches(html, '(?s)<dc:description>(.*?)</dc:description>')
-    THEN {sql_collapse(I.sql_tags("regexp_extract(html, '(?s)<dc:description>(.*?)</dc:description>', 1)"))}
-    WHEN regexp_matches(html, '(?s)<h1[^>]*>(.*?)</h1>') THEN {sql_collapse(I.sql_tags("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)"))} END AS abstract FROM pages) WHERE length(abstract) > 80""")
+# pages without a note in front stand for articles without a description
+_NOTE, _ARTICLE = r'(?s)<div class="ad">(.*?)</div>', r"(?s)<article[^>]*>(.*?)</article>"
+_found = lambda p: f"CASE WHEN regexp_matches(html, {q(p)}) THEN {sql_collapse(I.sql_tags(f'regexp_extract(html, {q(p)}, 1)'))} END"
+
+
+@query("a16_abstract_by_pattern", f"SELECT stem, md5(abstract) AS digest, length(abstract) AS n FROM (SELECT CAST(page_id AS VARCHAR) AS stem, coalesce({_found(_NOTE)}, {_found(_ARTICLE)}) AS abstract FROM pages) WHERE length(abstract) > 80")
 def _(t: Tables) -> DataFrame:
-    return A.abstract_by_pattern(_pages(t), (r"(?s)<dc:description>(.*?)</dc:description>", r"(?s)<h1[^>]*>(.*?)</h1>"))
+    found = A.abstract_by_pattern(_pages(t), (_NOTE, _ARTICLE))
+    return found.select("stem", F.md5("abstract").alias("digest"), F.length("abstract").alias("n"))
 
 
 @query("a17_title_by_pattern", f"""SELECT title_key, min(page_id) AS first_page, count(*) AS n FROM (SELECT page_id, {sql_title_key("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS title_key FROM pages)
