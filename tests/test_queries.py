@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from siftbook.plans import catalog
 from tests.compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.SQL
 
 
 @pytest.fixture(scope="module")
@@ -23,5 +24,9 @@ def test_every_query_has_a_twin():
     assert QUERIES.keys() == SQL.keys()
 
 
+def test_registered():
+    assert QUERIES.keys() <= entry.queries().keys() and SQL.keys() <= entry.oracle_sql().keys()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["split", "documents", "chunks", "words"]
