@@ -34,12 +34,12 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
 
 def mapped(
     df: DataFrame, text: str, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], dict[str, list]],
-    keep: list[str] | None = None, rows: int = PIECE_ROWS, size: int = PIECE_BYTES,
+    keep: list[str] | None = None, extra: list[str] | None = None, rows: int = PIECE_ROWS, size: int = PIECE_BYTES,
 ) -> DataFrame:
     """Add columns computed from bounded pieces of rows; ``fn`` returns one list per new field.
 
-    ``keep`` names the input columns that stay (all by default). A new column replaces a kept one of
-    the same name.
+    ``keep`` names the input columns that stay (all by default), ``extra`` those that only ``fn``
+    reads. A new column replaces a kept one of the same name.
     """
     names = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
@@ -54,5 +54,5 @@ def mapped(
                     [piece.column(c) for c in kept] + [pa.array(new[n], t) for n, t in added], kept + [n for n, _ in added]
                 )
 
-    needed = list(dict.fromkeys([*kept, text]))
+    needed = list(dict.fromkeys([*kept, text, *(extra or [])]))
     return df.select(*[df[f"`{c}`"] for c in needed]).mapInArrow(task, schema)

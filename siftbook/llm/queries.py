@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftbook.llm import packing
+from siftbook.llm import decontamination, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# the twins: lower-case A-Z only, words of letters, digits and non-ASCII characters, words between white space
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERM, SPACED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
@@ -31,3 +36,33 @@ def vocabulary() -> str:
 @query
 def op6_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, folder, "documents"), vocabulary()))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+SQL["op10_decontaminate"] = rf"""
+WITH words AS (
+    SELECT doc_id, 'd' AS kind, regexp_extract_all({LOWER}, '{TERM}') AS w FROM documents
+    UNION ALL SELECT item_id, 'b', regexp_extract_all({LOWER}, '{TERM}') FROM benchmark
+), windows AS (
+    SELECT DISTINCT doc_id AS item_id, least(10, len(w)) AS size, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS phrase
+    FROM words, range(1, greatest(len(w) - 9, 1) + 1) r(i) WHERE kind = 'b' AND len(w) > 0
+), sizes AS (SELECT DISTINCT size FROM windows), places AS (
+    SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+    FROM words, sizes, range(1, len(w) - size + 2) r(i) WHERE kind = 'd' AND len(w) >= size
+), found AS (SELECT doc_id, i, size, item_id FROM places JOIN windows USING (size, phrase)), hits AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT doc_id, i, size FROM found), range(0, size) s(k) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) WHERE kind = 'd'"""
