@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftbook.llm import decontamination, packing
+from siftbook.llm import decontamination, language, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def remainder(modulus: int) -> Column:
+    """Fold of a row, from its id; a null id is in fold 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(0))
+
+
+@query
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    profiles = language.learn(docs.filter(remainder(4) != 2))
+    return language.identify(docs, profiles, keep=["doc_id"]).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op6_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, folder, "documents"), vocabulary()))
