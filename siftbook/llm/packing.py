@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -18,40 +20,76 @@ from siftbook.llm.batches import pieces
 from siftbook.session import stage
 
 #: Words whose ids are remembered by a task, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 800_000, 64
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space of the vocabulary's own splitter.
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level vocabularies write a byte as itself if it is a visible character, the others from 256 on.
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: What str.split takes for white space besides.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class WordIds:
     """Token ids of texts, looked up by word.
 
-    The vocabularies this serves never join words over white space, so the ids of a text are the
-    ids of its words. Frequent words are encoded once in a task.
+    The vocabularies this serves never join words over white space and split letters from other
+    characters, so the ids of a text are the ids of its words, and those of a word before a full
+    stop or comma are the word's and the mark's. Words of letters need only the merges of the model;
+    all others go through the whole tokenizer. Frequent words are encoded once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.whole = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.whole.model).encode_batch_fast
         self.cache: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers."""
-        words, cache = [w for w in _SPACE.split(text) if w], self.cache
-        new = [w for w in set(words) if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
+        self.marks = {m: self._packed(self.whole.encode(m, add_special_tokens=False)) for m in ".,"}
+
+    @staticmethod
+    def _packed(encoding) -> bytes:
+        return np.array(encoding.ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        letters = [w for w in words if w.isalpha() and (w.isascii() or w == w.lower() and unicodedata.is_normalized("NFC", w))]
+        spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in letters]
+        self.cache |= zip(letters, map(self._packed, self.merges(spelled, add_special_tokens=False)), strict=True)
+        others = list(set(words).difference(letters))
+        self.cache |= zip(others, map(self._packed, self.whole.encode_batch_fast(others, add_special_tokens=False)), strict=True)
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian 32-bit numbers."""
+        cache, split, words = self.cache, [], set()
+        for text in texts:
+            low = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
+            split.append(low.split() if not _SEPARATORS.search(low) else [w for w in _SPACE.split(low) if w])
+            words.update(split[-1])
+        if len(cache) > CACHE_WORDS:
             cache.clear()
-            new = list(set(words))
-        cache |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.encode(new, add_special_tokens=False), strict=True)}
-        ids = b"".join(map(cache.__getitem__, words))
+        new = words.difference(cache)
+        ended = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]
+        self._learn(list({w[:-1] for w in ended}.difference(cache) | new.difference(ended)))
+        for w in ended:
+            cache[w] = cache[w[:-1]] + self.marks[w[-1]]
+        for own in split:
+            yield b"".join(map(cache.__getitem__, own))
+        for w in ended:
+            del cache[w]
         for w in new:
             if len(w) > CACHE_CHARS:
-                del cache[w]
-        return ids
+                cache.pop(w, None)
+                cache.pop(w[:-1], None)
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, so that tasks that follow each other share what it remembers."""
+    return WordIds(path)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -65,12 +103,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(vocabulary)
+        ids = word_ids(vocabulary)
         for batch in batches:
             for part in pieces(batch, "text"):
                 out = [[] for _ in names]
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    data = memoryview(ids(text or "") + end)
+                for doc, own in zip(part.column("doc_id").to_pylist(), ids(part.column("text").to_pylist()), strict=True):
+                    data = memoryview(own + end)
                     for k, at in enumerate(range(0, len(data) // 4, capacity)):
                         cut = data[4 * at : 4 * (at + capacity)]
                         row = (doc, k, at, len(cut) // 4, crc32(cut)) + ((np.frombuffer(cut, "<u4").astype("i4"),) if with_ids else ())
