@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftbook.llm import decontamination, language, near_dedup, packing
+from siftbook.llm import decontamination, language, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,3 +99,37 @@ WITH RECURSIVE words AS (
 ), lowest AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM lowest LEFT JOIN sizes USING (doc_id)"""
+
+
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality.judged(table(spark, folder, "documents"), keep=["doc_id"])
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL["op3_quality"] = rf"""
+WITH words AS (
+    SELECT doc_id, source, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '{SPACED}'), []) AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{SPACED}')) AS lines FROM documents
+), runs AS (
+    SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS run FROM words, range(1, len(w) - 1) r(i)
+), twice AS (SELECT doc_id, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1), repeated AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 3) s(k) GROUP BY doc_id
+), counted AS (
+    SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+        length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals
+    FROM words LEFT JOIN repeated USING (doc_id)
+), judged AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        CAST(n_symbols > 0.1 * n_words AS INT) + CAST(n_dup_lines > 0.5 * n_lines AS INT) + CAST(n_capitals > 0.5 * word_chars AS INT) AS n_failed
+    FROM counted
+), hosts AS (
+    SELECT source, count(*) AS n, sum(CAST(base_failed OR n_failed > 0 AS INT)) AS failed FROM judged WHERE source IS NOT NULL GROUP BY source
+), prior AS (SELECT avg(failed / n) AS mean, var_pop(failed / n) AS spread FROM hosts), strength AS (
+    SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 1), 1e6) ELSE 1e6 END AS s FROM prior
+), rates AS (SELECT source, (failed + mean * s) / (n + s) AS rate FROM hosts, strength)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND n_failed <= CASE WHEN coalesce(rate > 0.1, FALSE) THEN 0 ELSE 1 END AS kept
+FROM judged LEFT JOIN rates USING (source)"""
