@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftbook.llm import decontamination, language, near_dedup, packing, quality
+from siftbook.llm import decontamination, language, licenses, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,3 +133,41 @@ WITH words AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND n_failed <= CASE WHEN coalesce(rate > 0.1, FALSE) THEN 0 ELSE 1 END AS kept
 FROM judged LEFT JOIN rates USING (source)"""
+
+
+@query
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"), keep=["doc_id"])
+
+
+def _license_rows() -> tuple[str, str]:
+    """The templates as rows: (t, label, base, key, words of the key), (t, place from the key on, word)."""
+    keys, notices = [], []
+    for number, t in enumerate(licenses.TEMPLATES):
+        words, key = t.notice.split(), t.key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        keys.append(f"({number}, '{t.label}', {t.base}, '{t.key}', {len(key)})")
+        notices += [f"({number}, {i - at}, '{w}')" for i, w in enumerate(words)]
+    return ", ".join(keys), ", ".join(notices)
+
+
+SQL["op5_licenses"] = rf"""
+WITH keys(t, label, base, key, size) AS (VALUES {_license_rows()[0]}), notices(t, off, word) AS (VALUES {_license_rows()[1]}),
+words AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, '{TERM}'), []) AS w FROM documents), sizes AS (SELECT DISTINCT size FROM keys),
+windows AS (
+    SELECT doc_id, w, i - 1 AS pos, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM words, sizes, range(1, len(w) - size + 2) r(i)
+), found AS (SELECT doc_id, w, pos, t, label, base FROM windows JOIN keys ON phrase = key AND windows.size = keys.size),
+present AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(w) AS word FROM words) GROUP BY word),
+rarity AS (
+    SELECT DISTINCT notices.word, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n, 0) + 1)) + 1e-6 AS idf FROM notices LEFT JOIN present USING (word)
+), weights AS (SELECT t, off, word, idf / sum(idf) OVER (PARTITION BY t) AS part FROM notices JOIN rarity USING (word)),
+shares AS (
+    SELECT doc_id, t, pos, sum(CASE WHEN pos + off >= 0 AND w[pos + off + 1] = word THEN part ELSE 0 END) AS share FROM found JOIN weights USING (t) GROUP BY ALL
+), scores AS (SELECT doc_id, max(share) AS score FROM shares GROUP BY doc_id), marked AS (
+    SELECT doc_id, count(*) FILTER (base) AS n_base, min(pos) FILTER (base) AS first_word, max(pos) FILTER (base) AS last_word,
+        array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels
+    FROM found GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 6) AS score
+FROM words LEFT JOIN marked USING (doc_id) LEFT JOIN scores USING (doc_id)"""
