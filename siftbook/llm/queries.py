@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftbook.llm import decontamination, language, licenses, near_dedup, packing, quality, sharding
+from siftbook.llm import classifier, decontamination, language, licenses, near_dedup, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -176,3 +176,11 @@ FROM words LEFT JOIN marked USING (doc_id) LEFT JOIN scores USING (doc_id)"""
 @query
 def op7_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(table(spark, folder, "documents"))
+
+
+@query
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    net = classifier.learn(docs.filter(remainder(5) != 0), table(spark, folder, "labels"), "quality")
+    rows = classifier.scored(docs, net, keep=["doc_id"])
+    return rows.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
