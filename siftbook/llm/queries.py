@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftbook.llm import classifier, decontamination, language, licenses, near_dedup, packing, quality, sharding
+from siftbook.llm import classifier, decontamination, language, licenses, near_dedup, packing, quality, sharding, warc
+from siftbook.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -184,3 +185,20 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     net = classifier.learn(docs.filter(remainder(5) != 0), table(spark, folder, "labels"), "quality")
     rows = classifier.scored(docs, net, keep=["doc_id"])
     return rows.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_monolithic(warc.marked(table(spark, folder, "pages")), scratch_path(spark, "warc"))
+    pages = warc.read_records(warc.normalise(archives))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op9_warc"] = """
+WITH rows AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+firsts AS (SELECT page_id, html, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS first FROM rows)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((CAST('0x' || substr(sha, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts"""
