@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftbook.llm import classifier, decontamination, language, licenses, near_dedup, packing, quality, sharding, warc
+from siftbook.llm import classifier, decontamination, language, licenses, near_dedup, packing, pages, quality, sharding, warc
 from siftbook.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,8 +190,8 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.write_monolithic(warc.marked(table(spark, folder, "pages")), scratch_path(spark, "warc"))
-    pages = warc.read_records(warc.normalise(archives))
-    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = warc.read_records(warc.normalise(archives))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL["op9_warc"] = """
@@ -202,3 +202,8 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
         ((CAST('0x' || substr(sha, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
     CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM firsts"""
+
+
+@query
+def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extracted(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
