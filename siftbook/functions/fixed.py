@@ -16,7 +16,6 @@ PRETRAIN_MIN_CHARS = 100
 GENERATION_MIN_CHARS = 300
 MCQ_PASSAGE_CHARS = 2000
 VERIFY_PASSAGE_CHARS = 3000
-LANGUAGE_CHARS = 3000
 MIN_ABSTRACT_CHARS = 80
 
 # Layout rules.

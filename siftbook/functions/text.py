@@ -90,6 +90,12 @@ def title_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(strip_tags(c)), "[^a-z0-9]", "")
 
 
+def content_key(c: Column) -> Column:
+    """Digest of a text's letters and digits in any script, lower-cased, without markup; null if it has none."""
+    plain = F.regexp_replace(F.lower(strip_tags(c)), r"[^\p{L}\p{N}]+", "")
+    return F.when(plain != "", F.sha2(plain, 256))
+
+
 def title_words(c: Column) -> Column:
     """Comparison form of a title that keeps word borders."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))

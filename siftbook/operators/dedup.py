@@ -10,20 +10,26 @@ from siftbook.session import shared_folder
 
 
 def mark_content_copies(df: DataFrame, key: str, digest: str) -> DataFrame:
-    """'accepted' for the first row of each digest, 'DUPLICATE' for later copies."""
-    firsts = df.groupBy(digest).agg(F.min(key).alias("first_key"))
-    status = F.when(F.col(key) == F.col("first_key"), "accepted").otherwise("DUPLICATE")
-    return df.join(firsts, digest).withColumn("status", status)
+    """'accepted' for the first row of each digest, 'DUPLICATE' for later copies; a row without a digest is no copy."""
+    firsts = df.filter(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(key).alias("first_key"))
+    status = F.when(F.col("first_key").isNull() | (F.col(key) == F.col("first_key")), "accepted").otherwise("DUPLICATE")
+    return df.join(firsts, digest, "left").withColumn("status", status)
 
 
 def drop_copies(df: DataFrame, key: str, value: Column) -> DataFrame:
-    """Keep the row with the lowest key of each value."""
-    return first_per_key(df.withColumn("_v", value), ["_v"], [key]).drop("_v")
+    """Keep the row with the lowest key of each value; rows without a value (null or '') all stay."""
+    valued = df.withColumn("_v", F.when(value != "", value))
+    return first_per_key(valued.withColumn("_own", F.when(F.col("_v").isNull(), F.col(key))), ["_v", "_own"], [key]).drop("_v", "_own")
 
 
 def not_known(candidates: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Candidates whose key is not known; candidates without a key stay."""
-    return candidates.join(known.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    """Candidates whose key is not known; candidates without a key (null or '') stay."""
+    return candidates.join(known.select(key).filter(F.col(key) != "").distinct(), key, "left_anti")
+
+
+def names_of(names: list[str]) -> Column:
+    """A row's names, each marked with the column it comes from; null and '' are none."""
+    return F.array_compact(F.array(*[F.when(F.col(n) != "", F.concat(F.lit(f"{n}:"), F.col(n))) for n in names]))
 
 
 def first_seen_by_any_key(df: DataFrame, key: str, names: list[str], max_rounds: int = 1000) -> DataFrame:
@@ -35,8 +41,7 @@ def first_seen_by_any_key(df: DataFrame, key: str, names: list[str], max_rounds:
     any name are left out.
     """
     shared_folder(df.sparkSession)
-    pairs = F.array_compact(F.array(*[F.when(F.coalesce(F.col(n), F.lit("")) != "", F.concat(F.lit(f"{n}:"), F.col(n))) for n in names]))
-    open_ = df.select(F.col(key).alias("k"), F.explode(pairs).alias("name")).checkpoint()
+    open_ = df.select(F.col(key).alias("k"), F.explode(names_of(names)).alias("name")).checkpoint()
     settled = None
     for _ in range(max_rounds):
         lowest = open_.groupBy("name").agg(F.min("k").alias("low"))

@@ -22,6 +22,8 @@ BODY = "Body"
 def fill_forward(df: DataFrame, document: str, order: str, values: dict[str, Column], block: int = 10_000) -> DataFrame:
     """Latest non-null value up to each row of its document, for a numeric order.
 
+    Rows without a document are one document; rows without an order are filled by nothing but their own value.
+
     A document is cut into blocks of the order. Each block is filled by itself; what a block hands
     on is one row, so a document of any length meets in one task only as its list of blocks.
     """
@@ -34,7 +36,7 @@ def fill_forward(df: DataFrame, document: str, order: str, values: dict[str, Col
     carried = ends.select("_d", "_b", *[F.last(n, ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in values])
     so_far = W.partitionBy(document, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = blocked.withColumns({f"_v_{n}": F.last(f"_v_{n}", ignorenulls=True).over(so_far) for n in values})
-    joined = local.join(carried, (local[document] == carried["_d"]) & (local["_block"] == carried["_b"]))
+    joined = local.join(carried, local[document].eqNullSafe(carried["_d"]) & local["_block"].eqNullSafe(carried["_b"]))
     return joined.select(*[local[c] for c in df.columns], *[F.coalesce(f"_v_{n}", f"_c_{n}").alias(n) for n in values])
 
 

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftbook.functions import fixed
-from siftbook.functions.text import mentions, strip_header
+from siftbook.functions.text import mentions, strip, strip_header
 
 
 def regroup(df: DataFrame, document: str, order: str, text: str, sep: str = " ") -> DataFrame:
@@ -21,64 +20,62 @@ def regroup(df: DataFrame, document: str, order: str, text: str, sep: str = " ")
     return df.groupBy(document).agg(joined.alias("full_text"), F.count("*").alias("n_chunks"))
 
 
-def opening(df: DataFrame, document: str, order: str, text: str, size: int, sep: str = " ", salts: int = 1024) -> DataFrame:
-    """First ``size`` characters of each regrouped document without regrouping it.
+LETTERS = "a-zà-öø-ÿ"
 
-    Only lengths are shuffled to find the parts that begin inside the opening. A part that begins
-    beyond ``size`` in a salted share of the document begins beyond it in the document too, so each
-    share drops those before the parts of a document meet. Texts are joined for the rest.
-    """
-    starts = df.select(document, order, (F.length(text) + F.lit(len(sep))).alias("_len"), F.pmod(F.xxhash64(order), F.lit(salts)).alias("_salt"))
-    for keys in ([document, "_salt"], [document]):
-        before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        starts = starts.withColumn("_start", F.coalesce(F.sum("_len").over(before), F.lit(0))).filter(F.col("_start") < size)
-    heads = df.select(document, order, F.left(F.col(text), F.lit(size)).alias("_t")).join(starts.select(document, order), [document, order])
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_t").alias("t"))))
-    joined = F.array_join(F.transform(parts, lambda p: p["t"]), sep)
-    return heads.groupBy(document).agg(F.left(joined, F.lit(size)).alias("opening"))
 
+def language_votes(c: Column, stop_words: dict[str, tuple[str, ...]] | None = None) -> dict[str, Column]:
+    """Stop words of each language in a whole text."""
+    words, low = stop_words or fixed.STOP_WORDS, F.lower(c)
+    return {lang: F.regexp_count(low, F.lit(rf"(?<![{LETTERS}])(?:{'|'.join(words[lang])})(?![{LETTERS}])")) for lang in sorted(words)}
 
-def detect_language(c: Column, stop_words: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """Language with most stop words in the first characters; short or unmatched text is 'unknown'."""
-    words = stop_words or fixed.STOP_WORDS
-    head = F.lower(F.left(c, F.lit(fixed.LANGUAGE_CHARS)))
-    letters = "a-zà-öø-ÿ"
-
-    def ballot(lang: str) -> Column:
-        votes = F.regexp_count(head, F.lit(rf"(?<![{letters}])(?:{'|'.join(words[lang])})(?![{letters}])"))
-        return F.struct((-votes).cast("double").alias("v"), F.lit(lang).alias("lang"))
 
-    # most votes first, then the earlier name; 'unknown' stands between one vote and none
+def elected(votes: dict[str, Column], characters: Column) -> Column:
+    """Language with most votes, the earlier name if two have as many; short or unmatched text is 'unknown'."""
+    # 'unknown' stands between one vote and none
     nobody = F.struct(F.lit(-0.5).alias("v"), F.lit("unknown").alias("lang"))
-    best = F.array_min(F.array(nobody, *[ballot(x) for x in sorted(words)]))
-    return F.when(F.length(F.trim(c)) > 20, best["lang"]).otherwise("unknown")
+    ballots = [F.struct((-n).cast("double").alias("v"), F.lit(lang).alias("lang")) for lang, n in votes.items()]
+    return F.when(characters > 20, F.array_min(F.array(nobody, *ballots))["lang"]).otherwise("unknown")
 
 
-def decide_documents(chunks: DataFrame, document: str, order: str, text: str, language: str = "en",
-                     topic: str = fixed.TOPIC, least: int = fixed.MIN_MENTIONS) -> DataFrame:
+def detect_language(c: Column, stop_words: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Language with most stop words in the whole text."""
+    return elected(language_votes(c, stop_words), F.length(F.trim(c)))
+
+
+def decide_documents(chunks: DataFrame, document: str, text: str, language: str = "en", topic: str = fixed.TOPIC,
+                     least: int = fixed.MIN_MENTIONS, stop_words: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Reason to drop each document, null to keep it; language is judged first.
 
-    Mentions are added up over the chunks and the language is read from the opening, so no
-    document is put together in one place.
+    Mentions and language votes of all chunks are added up in one aggregate, so no document is put
+    together in one place. Chunks without a document name are judged together.
     """
-    body = chunks.withColumn("_body", strip_header(F.col(text)))
-    counts = body.groupBy(document).agg(F.sum(mentions(F.col("_body"), topic)).alias("mentions"), F.count("*").alias("n_chunks"))
-    heads = opening(body, document, order, "_body", fixed.LANGUAGE_CHARS)
-    joined = counts.join(heads, document).withColumn("detected_lang", detect_language(F.col("opening")))
-    reason = F.when(F.col("detected_lang") != language, "NON_ENGLISH").when(F.col("mentions") < least, "OFF_TOPIC_LOW_MENTIONS")
-    return joined.select(document, reason.alias("reason"), "detected_lang", "mentions", "n_chunks")
+    body = chunks.select(document, strip_header(F.col(text)).alias("_body"))
+    votes = language_votes(F.col("_body"), stop_words)
+    parts = body.select(document, mentions(F.col("_body"), topic).alias("_mentions"), F.length("_body").alias("_chars"), *[n.alias(f"_votes_{lang}") for lang, n in votes.items()])
+    # as long as the bodies joined by blanks
+    characters = F.sum(F.when(F.col("_chars") > 0, F.col("_chars") + 1)) - 1
+    counts = parts.groupBy(document).agg(
+        F.sum("_mentions").alias("mentions"), F.count("*").alias("n_chunks"), F.coalesce(characters, F.lit(0)).alias("_chars"),
+        *[F.sum(f"_votes_{lang}").alias(f"_votes_{lang}") for lang in votes],
+    )
+    judged = counts.withColumn("detected_lang", elected({lang: F.coalesce(f"_votes_{lang}", F.lit(0)) for lang in votes}, F.col("_chars")))
+    reason = F.when(F.col("detected_lang") != language, "NON_ENGLISH").when(F.coalesce("mentions", F.lit(0)) < least, "OFF_TOPIC_LOW_MENTIONS")
+    return judged.select(document, reason.alias("reason"), "detected_lang", "mentions", "n_chunks")
 
 
 def split_by_decision(chunks: DataFrame, decisions: DataFrame, document: str) -> DataFrame:
-    """Every chunk follows its document."""
-    return chunks.join(decisions.select(document, "reason"), document)
+    """Every chunk follows its document, those without a name as well."""
+    reasons = decisions.select(F.col(document).alias("_document"), "reason")
+    return chunks.join(reasons, chunks[document].eqNullSafe(reasons["_document"])).drop("_document")
 
 
 def drop_repeated(blocks: DataFrame, document: str, text: str) -> DataFrame:
-    """Drop short blocks that a document repeats, such as running heads."""
-    counts = blocks.groupBy(document, text).agg(F.count("*").alias("_times"))
-    noisy = counts.filter((F.col("_times") > fixed.REPEAT_LIMIT) & (F.length(text) < fixed.REPEAT_CHARS))
-    return blocks.join(noisy.select(document, text), [document, text], "left_anti")
+    """Drop short blocks that a document repeats, such as running heads; blanks around them do not count."""
+    stripped = blocks.withColumn("_text", strip(F.col(text)))
+    counts = stripped.groupBy(F.col(document).alias("_document"), F.col("_text").alias("_block")).agg(F.count("*").alias("_times"))
+    noisy = counts.filter((F.col("_times") > fixed.REPEAT_LIMIT) & (F.length("_block") < fixed.REPEAT_CHARS))
+    same = stripped[document].eqNullSafe(noisy["_document"]) & (stripped["_text"] == noisy["_block"])
+    return stripped.join(noisy, same, "left_anti").drop("_text")
 
 
 def upper_median(df: DataFrame, group: list[str], value: str) -> DataFrame:

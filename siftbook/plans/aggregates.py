@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftbook.functions import fixed
-from siftbook.functions.text import strip_header, word_count
+from siftbook.functions.text import content_key, strip_header, word_count
 from siftbook.operators import evaluation as E
 from siftbook.operators import pairs as P
 from siftbook.operators import quality as Q
@@ -32,7 +32,7 @@ def _(t: Tables) -> DataFrame:
 
 # opening text and mentions per document, then the reason to drop it
 DECISIONS_SQL = f"""SELECT document_name, CASE WHEN lang <> 'en' THEN 'NON_ENGLISH' WHEN mentions < {LEAST} THEN 'OFF_TOPIC_LOW_MENTIONS' END AS reason, lang AS detected_lang, mentions, n_chunks
-    FROM (SELECT document_name, {sql_language('opening')} AS lang, mentions, n_chunks FROM (SELECT document_name, substr(string_agg(body, ' ' ORDER BY ord), 1, 3000) AS opening,
+    FROM (SELECT document_name, {sql_language('whole')} AS lang, mentions, n_chunks FROM (SELECT document_name, string_agg(body, ' ' ORDER BY ord) AS whole,
     sum({sql_mentions('body', TOPIC)})::BIGINT AS mentions, count(*) AS n_chunks FROM (SELECT document_name, ord, {sql_strip_header('text')} AS body FROM doc_chunks) GROUP BY document_name))"""
 # a document is what a source has in one language within a hundred ids
 DOC_CHUNKS_SQL = "SELECT ord, source || '-' || lang || '-' || (ord // 100) AS document_name, c.text FROM chunks c JOIN documents d ON d.doc_id = c.ord"
@@ -43,7 +43,7 @@ def doc_chunks(t: Tables) -> DataFrame:
 
 
 def decisions(t: Tables) -> DataFrame:
-    return Q.decide_documents(doc_chunks(t), "document_name", "ord", "text", topic=TOPIC, least=LEAST)
+    return Q.decide_documents(doc_chunks(t), "document_name", "text", topic=TOPIC, least=LEAST)
 
 
 @query("e2_document_decisions", with_("chunks", doc_chunks=DOC_CHUNKS_SQL) + DECISIONS_SQL)
@@ -68,7 +68,7 @@ def _(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("e4_drop_repeated_blocks", with_("lines") + "SELECT source, line, count(*) AS n FROM lines JOIN documents USING (doc_id) GROUP BY source, line HAVING NOT (count(*) > 3 AND length(line) < 200)")
+@query("e4_drop_repeated_blocks", with_("lines") + "SELECT source, line, count(*) AS n FROM (SELECT source, line FROM lines JOIN documents USING (doc_id) QUALIFY NOT (count(*) OVER (PARTITION BY source, " + I.sql_strip('line') + ") > 3 AND length(" + I.sql_strip('line') + ") < 200)) GROUP BY source, line")
 def _(t: Tables) -> DataFrame:
     blocks = I.lines(t).join(t.documents.select("doc_id", "source"), "doc_id")
     return Q.drop_repeated(blocks, "source", "line").groupBy("source", "line").agg(F.count("*").alias("n"))
@@ -316,13 +316,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("corpus_preparation", with_("chunks", doc_chunks=DOC_CHUNKS_SQL, d=DECISIONS_SQL, kept=f"""SELECT c.ord, c.document_name, d.text FROM doc_chunks c JOIN d x USING (document_name) JOIN documents d ON d.doc_id = c.ord WHERE x.reason IS NULL
-    QUALIFY row_number() OVER (PARTITION BY regexp_replace(lower(d.text), '[^a-z0-9]', '', 'g') ORDER BY c.ord) = 1""", held="SELECT document_name FROM (SELECT DISTINCT document_name FROM kept) ORDER BY md5('42|' || document_name), document_name LIMIT 3") + f"""
+    QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(regexp_replace(lower(d.text), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), ''), 'row ' || c.ord) ORDER BY c.ord) = 1""", held="SELECT document_name FROM (SELECT DISTINCT document_name FROM kept) ORDER BY md5('42|' || document_name), document_name LIMIT 3") + f"""
     SELECT CASE WHEN document_name IN (SELECT document_name FROM held) THEN 'eval' ELSE 'train' END AS split, count(DISTINCT document_name) AS documents, count(*) AS chunks, sum({sql_words('text')})::BIGINT AS words FROM kept GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     kept = Q.split_by_decision(doc_chunks(t), decisions(t), "document_name").filter("reason IS NULL")
     body = kept.withColumn("body", strip_header(F.col("text"))).select("ord", "document_name", "body")
-    plain = F.regexp_replace(F.lower("body"), "[^a-z0-9]", "")
-    distinct = drop_copies(body.withColumn("words", word_count(F.col("body"))).select("ord", "document_name", "words", F.sha2(plain, 256).alias("key")), "ord", F.col("key"))
+    key = content_key(F.col("body"))
+    distinct = drop_copies(body.withColumn("words", word_count(F.col("body"))).select("ord", "document_name", "words", key.alias("key")), "ord", F.col("key"))
     # the holdout reads the rows twice
     split = ranking.holdout_documents(stage(distinct.select("ord", "document_name", "words"), "distinct"), "document_name", 3)
     return split.groupBy("split").agg(F.count_distinct("document_name").alias("documents"), F.count("*").alias("chunks"), F.sum("words").alias("words"))

@@ -110,10 +110,10 @@ def scored(t: Tables) -> DataFrame:
 
 
 def pairs(t: Tables) -> DataFrame:
-    """First user and first assistant turn of each conversation."""
-    first = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
-    grouped = t.conversations.groupBy("conv_id").agg(first("user").alias("user"), first("assistant").alias("assistant"))
-    both = grouped.filter(F.col("user").isNotNull() & F.col("assistant").isNotNull())
+    """Each user turn with the assistant turn after it; ``conv_id`` names the pair: the turn stands above 40 bits of the conversation's id."""
+    turns = lambda role, back: t.conversations.filter(F.col("role") == role).select("conv_id", (F.col("turn") - back).alias("turn"), F.col("text").alias(role))
+    both = turns("user", 0).join(turns("assistant", 1), ["conv_id", "turn"]).filter("user IS NOT NULL AND assistant IS NOT NULL")
+    both = both.select((F.col("conv_id") + F.col("turn") * (1 << 40)).alias("conv_id"), "user", "assistant")
     category = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), F.pmod(digit(tag("p", "conv_id")), F.lit(4)) + 1)
     return both.withColumn("category", category).withColumn("source_chunk_id", tag("chunk_", "conv_id"))
 
@@ -170,8 +170,9 @@ CTE = {
         {', '.join(f"CASE WHEN {sql_digit(_KEY, 4 + i)} > 0 THEN {sql_digit(_KEY, 4 + i)} % 5 + 1 END AS {m}" for i, m in enumerate(fixed.METRICS))}
         FROM (SELECT cond, id, cognitive_level, correct_presented, raw_output, {sql_letter('raw_output')} AS predicted FROM answers)""",
     "pairs": f"""SELECT *, {sql_list(CATEGORIES)}[{sql_digit("'p' || conv_id")} % 4 + 1] AS category, 'chunk_' || conv_id AS source_chunk_id
-        FROM (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS "user", arg_min(text, turn) FILTER (WHERE role = 'assistant') AS assistant
-        FROM conversations GROUP BY conv_id) WHERE "user" IS NOT NULL AND assistant IS NOT NULL""",
+        FROM (SELECT u.conv_id + u.turn * {1 << 40} AS conv_id, u.text AS "user", a.text AS assistant
+        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')
+        WHERE "user" IS NOT NULL AND assistant IS NOT NULL""",
     "page_parts": """SELECT page_id, html, regexp_extract(url, 'https?://([^/]+)', 1) AS host, regexp_extract(url, '/([a-z]{2})/', 1) AS lang,
         regexp_extract(url, '/(\\d+)', 1) AS number, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages""",
 }

@@ -48,7 +48,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("d5_known_title_anti_join", with_("page_parts", keyed=f"SELECT page_id, lang, {sql_title_key('title')} AS title_key FROM page_parts") +
-       "SELECT page_id, title_key FROM keyed WHERE lang <> 'en' AND title_key NOT IN (SELECT title_key FROM keyed WHERE lang = 'en')")
+       "SELECT page_id, title_key FROM keyed WHERE lang <> 'en' AND (title_key = '' OR title_key NOT IN (SELECT title_key FROM keyed WHERE lang = 'en'))")
 def _(t: Tables) -> DataFrame:
     keyed = I.page_parts(t).select("page_id", "lang", X.title_key(F.col("title")).alias("title_key"))
     return dedup.not_known(keyed.filter("lang <> 'en'").drop("lang"), keyed.filter("lang = 'en'"), "title_key")
@@ -234,9 +234,9 @@ def _(t: Tables) -> DataFrame:
     return rest.orderBy(ranking.hash_order(9, "doc_id"), "doc_id").limit(50)
 
 
-@query("h3_drop_copies", f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {sql_title_key('text')}")
+@query("h3_drop_copies", f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY coalesce(nullif(regexp_replace(lower({I.sql_tags('text')}), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), ''), 'row ' || doc_id)")
 def _(t: Tables) -> DataFrame:
-    keyed = t.documents.select("doc_id", F.sha2(X.title_key(F.col("text")), 256).alias("key"))
+    keyed = t.documents.select("doc_id", X.content_key(F.col("text")).alias("key"))
     return dedup.drop_copies(keyed, "doc_id", F.col("key")).select("doc_id")
 
 

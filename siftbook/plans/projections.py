@@ -11,6 +11,7 @@ from siftbook.operators import lookups as J
 from siftbook.operators import records as R
 from siftbook.operators.pairs import audit_flags, chat_messages, content_of, parse_numbered, to_messages
 from siftbook.operators.quality import detect_language
+from siftbook.operators.ranking import ordered_rank
 from siftbook.plans import inputs as I
 from siftbook.plans.inputs import (
     q, sql_collapse, sql_cut_header, sql_digit, sql_in, sql_letter, sql_list, sql_strip, sql_strip_header, sql_tags, sql_title_key, sql_words, with_,
@@ -151,11 +152,12 @@ def turn_pairs(t: Tables) -> DataFrame:
     return J.pair_outputs(first, second, ["conv_id", "turn"])
 
 
-@query("b15_complete_pairs", with_(items=ITEMS_SQL) + "SELECT 'item_' || format('{:03d}', conv_id * 100 + turn) AS id, md5(a) AS a, md5(b) AS b FROM items WHERE a <> '' AND b <> ''")
+@query("b15_complete_pairs", with_(items=ITEMS_SQL) + "SELECT 'item_' || format('{:03d}', pos) AS id, md5(a) AS a, md5(b) AS b FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM items) WHERE a <> '' AND b <> ''")
 def _(t: Tables) -> DataFrame:
-    # the table has no item id; the position stands in for it
-    pairs = J.complete_pairs(turn_pairs(t), "a", "b")
-    return pairs.select(F.format_string("item_%03d", F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.md5("a").alias("a"), F.md5("b").alias("b"))
+    # the table has no item id; the place among all pairs stands in for it
+    placed = ordered_rank(turn_pairs(t), [F.col("conv_id"), F.col("turn")], name="at")
+    pairs = J.complete_pairs(placed, "a", "b")
+    return pairs.select(F.format_string("item_%03d", F.col("at") - 1).alias("id"), F.md5("a").alias("a"), F.md5("b").alias("b"))
 
 
 @query("b16_required_fields", "SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY conv_id")
@@ -218,7 +220,7 @@ _PART = lambda c, n: f"coalesce(nullif(substr(regexp_replace(regexp_replace({c},
 
 @query("c4_build_filename", f"SELECT doc_id, '2024_' || {_PART('lang', 25)} || '_' || {_PART('text', 50)} || '_' || {_PART('source', 20)} || '.pdf' AS name FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.build_filename(F.lit("2024"), F.col("lang"), F.left("text", F.lit(4000)), F.col("source")).alias("name"))
+    return t.documents.select("doc_id", X.build_filename(F.lit("2024"), F.col("lang"), F.col("text"), F.col("source")).alias("name"))
 
 
 @query("c5_safe_filename", "SELECT p_partkey, substr(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), 1, 80) AS name FROM part")
@@ -512,7 +514,7 @@ def _sql_votes(lang: str) -> str:
 
 def sql_language(c: str) -> str:
     """Subquery-free language vote of a text column; needs the tokens computed beside it."""
-    tokens = f"regexp_extract_all(lower(substr({c}, 1, 3000)), '[a-zà-öø-ÿ]+')"
+    tokens = f"regexp_extract_all(lower({c}), '[a-zà-öø-ÿ]+')"
     votes = {x: _sql_votes(x).replace("tokens", tokens) for x in sorted(fixed.STOP_WORDS)}
     best = f"greatest({', '.join(votes.values())})"
     cases = " ".join(f"WHEN {v} = {best} THEN {q(k)}" for k, v in votes.items())

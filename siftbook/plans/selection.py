@@ -214,14 +214,14 @@ def _(t: Tables) -> DataFrame:
 
 def _contexts(t: Tables) -> DataFrame:
     hits = retrieval.nearest(t.embeddings, t.embeddings, "vec_id", "embedding", fixed.TOP_K, exclude_self=True)
-    # there are fewer documents than vectors: every vector has the opening of a document
+    # there are fewer documents than vectors: every vector has a document
     n = ranking.row_total(t.documents)
-    texts = t.embeddings.select("vec_id", F.pmod("vec_id", n).alias("doc_id")).join(t.documents.select("doc_id", F.left("text", F.lit(300)).alias("text")), "doc_id")
+    texts = t.embeddings.select("vec_id", F.pmod("vec_id", n).alias("doc_id")).join(t.documents.select("doc_id", "text"), "doc_id")
     return retrieval.build_context(hits, texts, "vec_id", "text")
 
 
 _CONTEXT_SQL = """SELECT query_id, string_agg(x.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context, min(distance) AS top_distance
-    FROM hits JOIN (SELECT vec_id, substr(text, 1, 300) AS text FROM embeddings JOIN documents ON doc_id = vec_id % (SELECT count(*) FROM documents)) x ON x.vec_id = neighbour_id GROUP BY query_id"""
+    FROM hits JOIN (SELECT vec_id, text FROM embeddings JOIN documents ON doc_id = vec_id % (SELECT count(*) FROM documents)) x ON x.vec_id = neighbour_id GROUP BY query_id"""
 
 
 @query("i1_context_build", with_(vectors=VECTORS_SQL, hits=sql_hits(fixed.TOP_K), c=_CONTEXT_SQL) + "SELECT query_id, md5(context) AS context, round(top_distance, 6) AS top_distance FROM c")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftbook.operators.dedup import first_seen_by_any_key
+from siftbook.operators.dedup import first_seen_by_any_key, names_of
 from siftbook.operators.records import upsert_view
 
 
@@ -56,24 +56,25 @@ def upserted(spark: SparkSession, log: str, key: str, order: str, keep: list[str
 
 
 def _earlier(spark: SparkSession, log: str, batch: int) -> DataFrame | None:
-    try:
-        kept = spark.read.option("basePath", log).parquet(log)
-        return kept.filter(F.col("batch") < batch) if "batch" in kept.columns else None
-    except Exception as error:  # the first batch finds no log
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
+    path = spark._jvm.org.apache.hadoop.fs.Path(log)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path) or not any(f.getPath().getName().startswith("batch=") for f in files.listStatus(path)):
+        return None
+    return spark.read.option("basePath", log).parquet(log).filter(F.col("batch") < batch)
 
 
 def keep_unseen(stream: DataFrame, log: str, checkpoint: str, order: str, keys: list[str]) -> None:
-    """Keep rows that share none of ``keys`` with a row kept before, in this batch or an earlier one."""
+    """Keep rows that share none of ``keys`` with a row kept before, in this batch or an earlier one.
+
+    Empty keys are shared with nobody, so the rows that stay do not depend on the batches.
+    """
 
     def write(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
-        kept = _earlier(spark, log, n)
+        kept = _earlier(df.sparkSession, log, n)
         if kept is not None:
-            for key in keys:
-                df = df.join(kept.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
+            taken = kept.select(F.explode(names_of(keys)).alias("name")).distinct()
+            seen = df.select(order, F.explode(names_of(keys)).alias("name")).join(taken, "name", "left_semi").select(order).distinct()
+            df = df.join(seen, order, "left_anti")
         fresh = first_seen_by_any_key(df, order, keys).filter(~F.col("is_copy")).drop("is_copy")
         fresh.write.mode("overwrite").parquet(os.path.join(log, f"batch={n}"))
 

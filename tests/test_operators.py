@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftbook.functions.text import content_key
 from siftbook.operators import dedup, evaluation, packing, quality, ranking, records, retrieval
+from siftbook.session import scratch_path
+from siftbook.streaming import incremental
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +22,7 @@ def skewed(spark):
 
 
 def pairs(df, *cols):
-    return sorted(map(tuple, df.select(*cols).collect()))
+    return sorted(map(tuple, df.select(*cols).collect()), key=lambda r: [(v is not None, v) for v in r])
 
 
 @pytest.mark.parametrize("within", [[], ["g"]])
@@ -146,12 +149,53 @@ def test_sections_stop(spark):
     assert got == [(0, "Unknown Section", "Unknown Chapter"), (1, "Methods", "Unknown Chapter"), (2, "Methods", "Unknown Chapter")]
 
 
-def test_opening_equals_start_of_regrouped_text(spark):
+def test_decisions_equal_those_on_regrouped_text(spark):
     rng = random.Random(2)
-    rows = [(i, "hot" if i % 3 else f"d{i % 7}", "ab " * rng.choice([0, 1, 30])) for i in range(900)]
+    words = ["the", "and", "der", "und", "les", "tion", "x"]
+    rows = [(i, None if i % 5 == 0 else "hot" if i % 3 else f"d{i % 7}", " ".join(rng.choices(words, k=rng.choice([0, 1, 300])))) for i in range(400)]
     df = spark.createDataFrame(rows, "o long, d string, t string").repartition(8)
-    full = quality.regroup(df, "d", "o", "t").select("d", F.left("full_text", F.lit(100)).alias("opening"))
-    assert pairs(quality.opening(df, "d", "o", "t", 100), "d", "opening") == pairs(full, "d", "opening")
+    full = quality.regroup(df, "d", "o", "t").select("d", quality.detect_language(F.col("full_text")).alias("lang"), "n_chunks")
+    decided = quality.decide_documents(df, "d", "t", topic="tion", least=5)
+    assert pairs(decided, "d", "detected_lang", "n_chunks") == pairs(full, "d", "lang", "n_chunks")
+    assert quality.split_by_decision(df, decided, "d").count() == 400
+    only = {"xx": ("x",)}
+    assert {r["detected_lang"] for r in quality.decide_documents(df, "d", "t", stop_words=only).collect()} == {"xx"}
+
+
+def test_rows_without_keys_are_no_copies(spark):
+    texts = ["Это текст", "这是文本", None, "", "Это, текст!", "plain", "PLAIN.", "!?"]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "id long, t string")
+    kept = dedup.drop_copies(df.withColumn("key", content_key(F.col("t"))), "id", F.col("key"))
+    assert pairs(kept, "id") == [(1,), (2,), (3,), (4,), (6,), (8,)]
+    assert [s for _, s in pairs(dedup.mark_content_copies(df.select("id", F.nullif(F.lower("t"), F.lit("")).alias("h")), "id", "h"), "id", "status")] == ["accepted"] * 6 + ["accepted", "accepted"]
+    assert pairs(dedup.mark_content_copies(spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "id long, h string"), "id", "h"), "id", "status") == [
+        (1, "accepted"), (2, "accepted"), (3, "DUPLICATE"), (4, "accepted"),
+    ]
+    assert pairs(dedup.not_known(df, df, "t"), "id") == [(3,), (4,)]
+
+
+def test_rows_without_document_or_order_are_filled(spark):
+    df = spark.createDataFrame([("d", 1, "v"), ("d", 2, None), (None, 1, "n"), (None, 2, None), ("d", None, None)], "d string, o long, v string")
+    got = packing.fill_forward(df, "d", "o", {"filled": F.col("v")}).collect()
+    assert {(r["d"], r["o"]): r["filled"] for r in got} == {("d", 1): "v", ("d", 2): "v", (None, 1): "n", (None, 2): "n", ("d", None): None}
+
+
+def test_repeated_heads_with_blanks_are_dropped(spark):
+    df = spark.createDataFrame([("d", t) for t in ("Head", " Head ", "Head\n", "Head", "text")] + [(None, "Head")], "d string, t string")
+    assert sorted(r["t"] for r in quality.drop_repeated(df, "d", "t").collect()) == ["Head", "text"]
+
+
+def test_unseen_rows_do_not_depend_on_batches(spark):
+    rows = [(1, "x", ""), (2, "y", ""), (3, "x", "k"), (4, "z", "k"), (5, "z", "m"), (6, None, "k"), (7, None, "m"), (8, "w", "m")]
+    kept = []
+    for size in (8, 3, 1):
+        folder = scratch_path(spark, "landed")
+        schema = spark.createDataFrame(rows[:1], "id long, a string, b string").schema
+        for at in range(0, 8, size):
+            spark.createDataFrame(rows[at : at + size], schema).coalesce(1).write.mode("append").parquet(folder)
+            incremental.keep_unseen(incremental.landed(spark, folder, schema, "*.parquet"), f"{folder}-log", f"{folder}-at", "id", ["a", "b"])
+        kept.append(pairs(incremental.read_log(spark, f"{folder}-log"), "id"))
+    assert kept[0] == kept[1] == kept[2] == [(1,), (2,), (4,), (7,)]
 
 
 @pytest.mark.parametrize("exclude, pivots, block", [(True, 8, 4096), (False, 8, 16), (True, 1, 50)])
