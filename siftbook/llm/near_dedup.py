@@ -19,8 +19,9 @@ from siftbook.session import stage
 HASHES, TREES, DEPTH = 128, 32, 4
 #: Neighbours before a row in the sorted order of its region that it is compared with.
 WINDOW = 256
-#: Equal signature values of a pair that is confirmed; a pair at 0.75 has 96 on average, deviation 5.
-AGREE = 64
+#: Equal signature values of a pair that is confirmed, and of one that is confirmed though its ends have better partners.
+#: A pair with similarity 0.75 has 96 on average, with a deviation of 5.
+AGREE, CLOSE = 64, 78
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _draw = np.random.default_rng(20240229)
@@ -87,27 +88,30 @@ def regions(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(task, "region long, node long, tree byte")
 
 
-def _signs(column: pa.Array) -> np.ndarray:
+def _signs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
-def neighbours(placed: DataFrame, most: int) -> DataFrame:
+def neighbours(placed: DataFrame, percent: int | None = None, most: int = 2) -> DataFrame:
     """Pairs of nodes that stand close in the sorted order of a region and are not in one class yet.
 
-    ``placed`` has region, node, class and the signature as its tree reads it. Rows are sorted by
-    region and signature, so the longest common prefixes are next to each other: a crowded region is
-    read as deep as its rows agree. Each row is compared with ``WINDOW`` rows before it, which is
-    everything in a region of that size, and names its ``most`` best agreeing partners.
+    ``placed`` has region, node, class, the signature as its tree reads it, set size and short set.
+    Rows are sorted by region and signature, so the longest common prefixes are next to each other: a
+    crowded region is read as deep as its rows agree. Each row is compared with ``WINDOW`` rows
+    before it, which is everything in a region of that size. A row names its ``most`` best agreeing
+    partners or, with ``percent``, one in each other class whose set has that similarity; pairs whose
+    sets do not reach it never leave the task.
     """
 
     def task(batches):
         tail = None
         for batch in batches:
             for piece in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                new = (piece.column("region").to_numpy(), piece.column("node").to_numpy(), piece.column("class").to_numpy(), _signs(piece.column("ordered")))
-                region, node, group, signs = new if tail is None else tuple(np.concatenate(x) for x in zip(tail, new, strict=True))
+                sets = np.array([np.frombuffer(x, np.uint32) for x in piece.column("short").to_pylist()] + [None], object)[:-1]
+                new = (*(piece.column(c).to_numpy() for c in ("region", "node", "class", "n")), sets, _signs(piece.column("ordered")))
+                region, node, group, size, sets, signs = new if tail is None else tuple(np.concatenate(x) for x in zip(tail, new, strict=True))
                 begin = len(region) - len(new[0])
-                found = []
+                found = [np.zeros((3, 0), np.int64)]
                 for distance in range(1, min(WINDOW, len(region) - 1) + 1):
                     later = np.arange(max(begin, distance), len(region))
                     later = later[region[later] == region[later - distance]]
@@ -115,24 +119,46 @@ def neighbours(placed: DataFrame, most: int) -> DataFrame:
                         break
                     later = later[group[later] != group[later - distance]]
                     agree = (signs[later] == signs[later - distance]).sum(1)
-                    near = agree >= AGREE
+                    near = agree >= (AGREE if percent is None else CLOSE)
                     found.append(np.stack([later[near], later[near] - distance, agree[near]]))
-                yield _best(found, node, most)
-                tail = tuple(x[-WINDOW:] for x in (region, node, group, signs))
+                pairs = np.concatenate(found, 1)
+                pairs = pairs[:, _best(pairs, most)] if percent is None else _linked(pairs, group, size, sets, percent)
+                a, b = node[pairs[0]], node[pairs[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                tail = tuple(x[-WINDOW:] for x in (region, node, group, size, sets, signs))
 
-    pairs = placed.repartitionByRange(F.col("region"), F.col("ordered")).sortWithinPartitions("region", "ordered", "node")
-    return pairs.select("region", "node", "class", "ordered").mapInArrow(task, "a long, b long").distinct()
+    rows = placed.repartitionByRange(F.col("region"), F.col("ordered")).sortWithinPartitions("region", "ordered", "node")
+    return rows.select("region", "node", "class", "n", "short", "ordered").mapInArrow(task, "a long, b long").distinct()
 
 
-def _best(found: list[np.ndarray], node: np.ndarray, most: int) -> pa.RecordBatch:
-    pairs = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+def _best(pairs: np.ndarray, most: int) -> np.ndarray:
+    """Pairs that are among the best agreeing ones of one of their ends."""
     chosen = np.zeros(pairs.shape[1], bool)
     for side in (0, 1):
         order = np.lexsort((-pairs[2], pairs[side]))
         owner = pairs[side][order]
         chosen[order[np.arange(len(owner)) - np.searchsorted(owner, owner) < most]] = True
-    a, b = node[pairs[0][chosen]], node[pairs[1][chosen]]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    return chosen
+
+
+def _linked(pairs: np.ndarray, group: np.ndarray, size: np.ndarray, sets: np.ndarray, percent: int) -> np.ndarray:
+    """Of the pairs that reach the similarity by their short sets, one for each row and class.
+
+    Short sets keep 32 bits of a hash: at most they miss one common shingle that another hides.
+    """
+    pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+    kept = []
+    for rows in np.split(np.arange(pairs.shape[1]), np.flatnonzero(np.diff(pairs[0])) + 1):
+        if not len(rows):
+            continue
+        row, others = pairs[0][rows[0]], pairs[1][rows]
+        joined, lengths = np.concatenate([sets[o] for o in others]), np.array([len(sets[o]) for o in others])
+        at = np.searchsorted(sets[row], joined)
+        same = sets[row][np.minimum(at, len(sets[row]) - 1)] == joined
+        common = np.add.reduceat(same.astype(np.int64), np.cumsum(lengths) - lengths) + 1
+        linked = rows[100 * common >= percent * (size[row] + size[others] - common)]
+        kept.append(linked[np.unique(group[pairs[1][linked]], return_index=True)[1]])
+    return pairs[:, np.concatenate(kept)] if kept else pairs[:, :0]
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -149,7 +175,8 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets have the asked similarity."""
-    both = pairs.join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a")
+    whole = sets.select("node", "shingles")
+    both = pairs.join(whole.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b").join(whole.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a")
 
     def linked(a: bytes, b: bytes) -> bool:
         x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -168,8 +195,8 @@ def classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """n_shingles, component_id and kept for each row of ``docs`` (``doc_id``, ``text``).
 
     Texts with equal sets are one node. In each region of each tree all nodes are held against the
-    lowest one; then, round by round, nodes of regions that still hold several classes against their
-    nearest neighbours in sorted order, more of them each time, until no class can grow. Only pairs
+    lowest one; then, in regions that still hold several classes, against their best few neighbours in
+    sorted order, and what is still apart against all ``WINDOW`` of them by sets. Only pairs
     that exact sets confirm count. Empty texts are linked with nothing; a row with a null id is in a
     class by its text, but names none: if all ids of a class are null, so is component_id, and the
     row is kept. Repeated rows have one class, and each of those with its lowest id is kept. An empty
@@ -188,23 +215,19 @@ def classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     pairs = members.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     checked = stage(agreeing(pairs, nodes), "pairs")
     links = stage(confirmed(checked, sets, percent), "links")
-    most, groups = 4, components(links)
-    while most <= WINDOW:
+    groups = components(links)
+    for exactly in (None, percent):
         placed = members.join(groups, "node", "left").select("region", "node", "tree", F.coalesce("component", "node").alias("class"))
         mixed = placed.groupBy("region").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("region")
         # the signature as the tree reads it
         ordered = F.expr(f"concat(substring(signature, 1 + tree * {2 * DEPTH}), substring(signature, 1, tree * {2 * DEPTH}))")
-        turned = placed.join(mixed, "region").join(nodes.select("node", "signature"), "node").withColumn("ordered", ordered)
-        new = stage(neighbours(turned, most).join(checked, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            found = stage(confirmed(new, sets, percent), "links")
-            checked = checked.unionByName(new)
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                groups = components(links)
-        elif turned.isEmpty():
-            break
-        most *= 4
+        turned = placed.join(mixed, "region").join(nodes.select("node", "signature"), "node").join(sets.select("node", "n", "short"), "node")
+        new = stage(neighbours(turned.withColumn("ordered", ordered), exactly).join(checked, ["a", "b"], "left_anti"), "pairs")
+        found = stage(confirmed(new, sets, percent), "links")
+        checked = checked.unionByName(new)
+        links = links.unionByName(found)
+        if not found.isEmpty():
+            groups = components(links)
     whole = nodes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
     joined = rows.select("doc_id", "n_shingles", "digest").join(whole, "digest", "left")
     lowest = joined.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
@@ -217,8 +240,14 @@ def _sets(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
     hashes = Hashes()
 
     def fn(piece: pa.RecordBatch) -> dict[str, list]:
-        return {"shingles": [shingles(spaced_words(t), hashes, size).tobytes() for t in piece.column("text").to_pylist()]}
+        sets = [shingles(spaced_words(t), hashes, size) for t in piece.column("text").to_pylist()]
+        return {
+            "n": [len(s) for s in sets],
+            "shingles": [s.tobytes() for s in sets],
+            "short": [np.unique(s.astype(np.uint32)).tobytes() for s in sets],
+        }
 
     texts = docs.select(F.col("doc_id").alias("_id"), "text", F.md5("text").alias("_key"))
     found = texts.join(named, texts["_id"].eqNullSafe(named["doc_id"]) & (texts["_key"] == named["text_key"])).select("node", "text").dropDuplicates(["node"])
-    return mapped(found, "text", [T.StructField("shingles", T.BinaryType())], fn, keep=["node"])
+    fields = [T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("short", T.BinaryType())]
+    return mapped(found, "text", fields, fn, keep=["node"])
