@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftbook.operators.graph import components
 from siftbook.operators.ranking import first_per_key
 from siftbook.session import shared_folder
 
@@ -32,29 +36,56 @@ def names_of(names: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.col(n) != "", F.concat(F.lit(f"{n}:"), F.col(n))) for n in names]))
 
 
-def first_seen_by_any_key(df: DataFrame, key: str, names: list[str], max_rounds: int = 1000) -> DataFrame:
+def first_seen_by_any_key(df: DataFrame, key: str, names: list[str], rounds: int = 3) -> DataFrame:
     """Walk the rows by ``key``; a row is a copy when an earlier kept row shares any of its names.
 
-    Copies are not kept, so their other names hide nobody. Rows settle in rounds: a row that is the
-    lowest open one under all of its names is kept, and rows sharing a name with it are copies. Each
-    round is two aggregations over (name, row) pairs; pairs of rows are never formed. Rows without
-    any name are left out.
+    Copies are not kept, so their other names hide nobody. In a round, a row that is the lowest open
+    one under all of its names is kept, and rows sharing a name with it are copies; that settles rows
+    without shared names and the hot names. What is still open after ``rounds`` is split into
+    connected components, and each component is walked as a sorted stream, so a chain of any length
+    ends. A round is two aggregations over (name, row) pairs; pairs of rows are never formed. Rows
+    without any name are left out.
     """
     shared_folder(df.sparkSession)
     open_ = df.select(F.col(key).alias("k"), F.explode(names_of(names)).alias("name")).checkpoint()
-    settled = None
-    for _ in range(max_rounds):
+    settled = []
+    for _ in range(rounds):
         lowest = open_.groupBy("name").agg(F.min("k").alias("low"))
         # a row leads when it is the lowest under every name
         leads = open_.join(lowest, "name").groupBy("k").agg(F.bool_and(F.col("k") == F.col("low")).alias("kept"))
         kept = leads.filter("kept").select("k")
         taken = open_.join(kept, "k", "left_semi").select("name", F.col("k").alias("owner"))
         copies = open_.join(taken, "name").filter(F.col("k") != F.col("owner")).select("k").distinct()
-        done = kept.withColumn("is_copy", F.lit(False)).unionByName(copies.withColumn("is_copy", F.lit(True))).checkpoint()
-        settled = done if settled is None else settled.unionByName(done)
-        open_ = open_.join(done, "k", "left_anti").checkpoint()
+        settled.append(kept.withColumn("is_copy", F.lit(False)).unionByName(copies.withColumn("is_copy", F.lit(True))).checkpoint())
+        open_ = open_.join(settled[-1], "k", "left_anti").checkpoint()
         if open_.isEmpty():
             break
     else:
-        raise RuntimeError("rows are still open after the last round")
-    return df.join(settled, df[key] == settled["k"]).drop("k")
+        settled.append(_walked(open_))
+    every = settled[0]
+    for more in settled[1:]:
+        every = every.unionByName(more)
+    return df.join(every, df[key] == every["k"]).drop("k")
+
+
+def _walked(open_: DataFrame) -> DataFrame:
+    """(k, is_copy) of rows with their names, one connected component after the other."""
+    lowest = open_.groupBy("name").agg(F.min("k").alias("low"))
+    edges = open_.join(lowest, "name").filter("k != low").select(F.col("k").alias("a"), F.col("low").alias("b"))
+    rows = open_.groupBy("k").agg(F.collect_set("name").alias("names")).join(components(edges).withColumnRenamed("node", "k"), "k", "left")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component, seen = None, set()
+        for batch in batches:
+            copies = []
+            for own, names in zip(batch["component"], batch["names"], strict=True):
+                if own != component:
+                    component, seen = own, set()
+                copies.append(not seen.isdisjoint(names))
+                if not copies[-1]:
+                    seen.update(names)
+            yield pd.DataFrame({"k": batch["k"], "is_copy": copies})
+
+    together = rows.withColumn("component", F.coalesce("component", "k")).repartition("component").sortWithinPartitions("component", "k")
+    kind = dict(open_.dtypes)["k"]
+    return together.select("component", "k", "names").mapInPandas(walk, f"k {kind}, is_copy boolean").checkpoint()

@@ -57,10 +57,10 @@ def condition_view(scored: DataFrame, questions: DataFrame, raw: DataFrame, seed
     seen = _replayed(scored, questions.select("id", "correct", "choices"), seed)
     picked = original_letter(F.col("letter_order"), F.col("predicted"))
     joined = seen.join(raw.select("cond", "id", "raw_output"), ["cond", "id"], "left")
+    # the letter is tracked through the order, so that equal texts keep their letters apart
     view = joined.withColumn("_slot", picked).withColumn("picked_text", F.try_element_at("choices", "_slot"))
-    # the first letter that carries the picked text
-    same = F.filter(F.array(*[F.lit(x) for x in fixed.LETTERS]), lambda x: F.try_element_at(F.col("choices"), x) == F.col("picked_text"))
-    return view.withColumn("picked_letter", F.get(same, 0)).withColumn("order_verified", F.col("letter_order").isNotNull()).drop("_slot")
+    letter = F.when(F.col("picked_text").isNotNull(), F.col("_slot"))
+    return view.withColumn("picked_letter", letter).withColumn("order_verified", F.col("letter_order").isNotNull()).drop("_slot")
 
 
 def question_difficulty(views: DataFrame, questions: DataFrame) -> DataFrame:

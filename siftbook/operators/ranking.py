@@ -159,8 +159,8 @@ def fill_categories(df: DataFrame, key: Keys, categories: list[str], n: int, see
 
 def stratified_sample(df: DataFrame, category: str, key: Keys, n: int, seed: int = 1) -> DataFrame:
     """ceil(n / k) rows of each of the k categories, then the first ``n`` in hash order."""
-    per = F.ceil(F.lit(n) / df.agg(F.count_distinct(category).alias("k")).scalar())
-    picked = top_per_group(df, [category], [hash_order(seed, *key), *map(F.col, key)], per, bound=n).drop("pick")
+    per = -(-n // max(df.agg(F.count_distinct(category).alias("k")).first()["k"], 1))
+    picked = top_per_group(df, [category], [hash_order(seed, *key), *map(F.col, key)], F.lit(per), bound=per).drop("pick")
     return picked.orderBy(hash_order(f"{seed}-all", *key), *key).limit(n)
 
 
@@ -178,10 +178,9 @@ def top_fraction(df: DataFrame, score: str, key: str, fraction: float) -> DataFr
     return ranked.filter(F.col("rank") <= F.floor(row_total(scored) * fraction))
 
 
-def usable_sample(df: DataFrame, usable: Column, key: Keys, n: int, oversample: int = 3, seed: int = 42) -> DataFrame:
-    """Draw ``oversample * n`` rows in hash order, keep the first ``n`` usable ones."""
-    order = [hash_order(seed, *key), *map(F.col, key)]
-    return df.orderBy(*order).limit(oversample * n).filter(usable).orderBy(*order).limit(n)
+def usable_sample(df: DataFrame, usable: Column, key: Keys, n: int, seed: int = 42) -> DataFrame:
+    """The first ``n`` usable rows in hash order; fewer only if fewer are usable."""
+    return df.filter(usable).orderBy(hash_order(seed, *key), *map(F.col, key)).limit(n)
 
 
 def sequence_ids(df: DataFrame, group: Keys, order: list[Column], prefix: Column, width: int, start: Column | None = None, name: str = "id") -> DataFrame:

@@ -73,20 +73,20 @@ def upsert_view(log: DataFrame, key: str, order: str, keep: list[str], replace:
 
 
 def patch(records: DataFrame, patches: DataFrame, key: str, replace: list[str], fragments: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """Apply a patch table, after checking that every patched key and fragment exists.
+    """Apply a patch table; a patched key or fragment that does not exist fails the job.
 
     ``replace`` columns of the patch (named ``new_<column>``) win where not null; ``fragments``
     maps a column to the patch's (old, new) columns for a replacement inside its text.
     """
-    lost = patches.join(records.select(key), key, "left_anti")
-    if not lost.isEmpty():
-        raise ValueError(f"patched keys without a record: {[r[0] for r in lost.select(key).take(5)]}")
-    joined = records.join(patches, key, "left")
+    # a patch without a record stops the job that writes the result
+    named = records.withColumn("_known", F.lit(True)).join(patches, key, "full")
+    lost = F.concat(F.lit("patched key without a record: "), F.col(key).cast("string"))
+    joined = named.filter(F.when(F.col("_known").isNull(), F.raise_error(lost).cast("boolean")).otherwise(True)).drop("_known")
     for column, (old, new) in (fragments or {}).items():
-        unguarded = joined.filter(F.col(old).isNotNull() & ~F.contains(F.col(column), F.col(old)))
-        if not unguarded.isEmpty():
-            raise ValueError(f"fragment not found in {column}: {[r[0] for r in unguarded.select(key).take(5)]}")
-        joined = joined.withColumn(column, F.when(F.col(old).isNotNull(), F.replace(F.col(column), F.col(old), F.col(new))).otherwise(F.col(column)))
+        absent = F.col(old).isNotNull() & ~F.coalesce(F.contains(F.col(column), F.col(old)), F.lit(False))
+        error = F.raise_error(F.concat(F.lit(f"fragment not found in {column}: "), F.col(key).cast("string")))
+        patched = F.when(absent, error.cast("string")).when(F.col(old).isNotNull(), F.replace(F.col(column), F.col(old), F.col(new)))
+        joined = joined.withColumn(column, patched.otherwise(F.col(column)))
     for column in replace:
         joined = joined.withColumn(column, F.coalesce(f"new_{column}", column))
     return joined.select(*records.columns)

@@ -135,7 +135,7 @@ def _(t: Tables) -> DataFrame:
 
 VIEWS_SQL = f"""SELECT s.cond, s.id, s.predicted, s.is_correct, s.raw_output, CASE WHEN s.cond = 'base' THEN 'ABCD' ELSE {sql_order('s.id')} END AS o, q.a, q.b, q.c, q.d, q.correct FROM scored s JOIN questions q ON s.id = q.id"""
 _TEXT_OF = lambda x: f"CASE {x} WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d END"
-PICKED_SQL = f"""SELECT *, CASE picked_text WHEN a THEN 'A' WHEN b THEN 'B' WHEN c THEN 'C' WHEN d THEN 'D' END AS picked_letter
+PICKED_SQL = f"""SELECT *, CASE WHEN picked_text IS NOT NULL THEN substr(o, instr('ABCD', predicted), 1) END AS picked_letter
     FROM (SELECT *, {_TEXT_OF("substr(o, instr('ABCD', predicted), 1)")} AS picked_text FROM views)"""
 
 

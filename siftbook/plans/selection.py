@@ -151,7 +151,7 @@ def _(t: Tables) -> DataFrame:
     return packing.fill_hierarchy(I.lines(t).withColumn("line", title), "doc_id", "no", "line", "is_heading").select("doc_id", "no", "chapter", "section_title")
 
 
-@query("f20_usable_sample", "SELECT page_id FROM (SELECT * FROM pages ORDER BY md5('42|' || page_id), page_id LIMIT 45) WHERE length(html) > 3000 ORDER BY md5('42|' || page_id), page_id LIMIT 15")
+@query("f20_usable_sample", "SELECT page_id FROM pages WHERE length(html) > 3000 ORDER BY md5('42|' || page_id), page_id LIMIT 15")
 def _(t: Tables) -> DataFrame:
     return ranking.usable_sample(t.pages.select("page_id", "html"), F.length("html") > 3000, ["page_id"], 15).select("page_id")
 

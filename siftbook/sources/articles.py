@@ -19,9 +19,9 @@ from siftbook.operators.packing import BODY, pack_arrays, unnest
 
 JATS_ROOTS = ("article", "pmc-articleset")
 # element names per dialect
-JATS = {"title": "article-title", "abstract": "abstract", "body": "body", "section": "sec", "heading": "title",
+JATS = {"title": ("title-group", "article-title"), "abstract": ("abstract",), "body": "body", "section": "sec", "heading": "title",
         "text": ("p",), "table": "table-wrap", "row": "tr", "cell": ("th", "td")}
-ELSEVIER = {"title": "title", "abstract": "description", "body": "sections", "section": "section", "heading": "section-title",
+ELSEVIER = {"title": ("{http://purl.org/dc/elements/1.1/}title",), "abstract": ("description",), "body": "sections", "section": "section", "heading": "section-title",
             "text": ("para", "simple-para"), "table": "table", "row": "row", "cell": ("entry",)}
 
 PARTS = "array<struct<kind:string,value:string,attr:string,titles:array<string>,section:int,label:string,caption:string,cells:array<array<string>>>>"
@@ -39,8 +39,12 @@ def _words(el) -> str:
     return " ".join(_text(el).split())
 
 
-def _first(el, name):
-    return next((e for e in el.iter() if _local(e) == name), None)
+def _first(el, *path):
+    """First element below ``el`` with the path's last name, inside one of each name before; names may have a namespace."""
+    inside = [el]
+    for name in path:
+        inside = [e for parent in inside for e in parent.findall(f".//{name if name[0] == '{' else '{*}' + name}")]
+    return next(iter(inside), None)
 
 
 class _Walk:
@@ -60,7 +64,7 @@ class _Walk:
         if article is None:
             return
         for part in ("title", "abstract"):
-            found = _first(article, names[part])
+            found = _first(article, *names[part])
             if found is not None:
                 self.add(part, _text(found))
         years = {}

@@ -94,6 +94,22 @@ def test_any_key_duplicates(spark):
     assert pairs(dedup.first_seen_by_any_key(df, "id", ["a", "b", "c"]), "id", "is_copy") == greedy_first_seen(rows)
 
 
+def test_any_key_duplicates_along_a_chain(spark):
+    """Each row shares a name with the next one only, so every second row is kept."""
+    even, own, after = F.col("id") % 2 == 0, F.concat(F.lit("n"), F.col("id")), F.concat(F.lit("n"), F.col("id") + 1)
+    chained = spark.range(5000).select("id", F.when(even, own).otherwise(after).alias("a"), F.when(even, after).otherwise(own).alias("b"))
+    got = {r["id"]: r["is_copy"] for r in dedup.first_seen_by_any_key(chained, "id", ["a", "b"]).collect()}
+    assert got == {i: i % 2 == 1 for i in range(5000)}
+
+
+def test_equal_choices_keep_their_letters(spark):
+    choices = "map('A', 'same', 'B', 'other', 'C', 'same', 'D', 'last')"
+    questions = spark.range(1).selectExpr("'q' AS id", "'C' AS correct", f"{choices} AS choices")
+    graded = evaluation.grade(spark.createDataFrame([("base", "q", "C", "C"), ("base", "r", "A", "A")], "cond string, id string, correct_presented string, raw_output string"))
+    view = evaluation.condition_view(graded.drop("raw_output"), questions, graded).first()
+    assert (view["picked_letter"], view["picked_text"]) == ("C", "same")
+
+
 def greedy_chunks(items, limit):
     chunks, used, last = [], 0, None
     for kind, content, section in items:
@@ -242,10 +258,10 @@ def test_patch_guards(spark):
     patch = lambda *rows: spark.createDataFrame(list(rows), "id string, new_notes string, o string, n string")
     done = records.patch(df, patch(("a", None, "old", "new")), "id", ["notes"], {"notes": ("o", "n")})
     assert pairs(done, "id", "notes") == [("a", "new text"), ("b", "x")]
-    with pytest.raises(ValueError, match="without a record"):
-        records.patch(df, patch(("z", "n", None, None)), "id", ["notes"])
-    with pytest.raises(ValueError, match="fragment"):
-        records.patch(df, patch(("b", None, "old", "new")), "id", [], {"notes": ("o", "n")})
+    with pytest.raises(Exception, match="without a record: z"):
+        records.patch(df, patch(("z", "n", None, None)), "id", ["notes"]).collect()
+    with pytest.raises(Exception, match="fragment not found in notes: b"):
+        records.patch(df, patch(("b", None, "old", "new")), "id", [], {"notes": ("o", "n")}).collect()
 
 
 def test_cutoff_ties_and_imprecise_years(spark):

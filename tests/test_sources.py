@@ -1,6 +1,7 @@
 """Readers on hand-made files, and restarts of the incremental jobs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,30 @@ def test_json_readers(spark, tmp_path):
     assert S.read_json_array(spark, str(tmp_path / "seeds.json"), "id long").count() == 2
 
 
+@pytest.mark.parametrize("split", [64, 1 << 27])
+def test_concatenated_json_in_splits(spark, tmp_path, split):
+    """Brackets and quotes inside strings, nested objects, several records on a line and records over many lines."""
+    rng = random.Random(1)
+    records = [{"id": i, "text": rng.choice(['{ "x" }', "}{", "a\nb \\\\ \"", "plain [", ""]), "more": {"deep": [{"v": i}, {"v": None}]}} for i in range(60)]
+    texts = [json.dumps(r, indent=rng.choice([None, 1, 4])) for r in records]
+    (tmp_path / "a.json").write_text("".join(t + rng.choice(["", " ", "\n", "\n\n  "]) for t in texts[:40]))
+    (tmp_path / "b.json").write_text("\n".join(texts[40:]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        rows = S.read_concatenated(spark, str(tmp_path), "id long, text string, more struct<deep:array<struct<v:long>>>").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["id"]: (r["text"], [d["v"] for d in r["more"]["deep"]]) for r in rows} == {r["id"]: (r["text"], [r["id"], None]) for r in records}
+    assert len(rows) == 60
+
+
+def test_titles_of_references_are_no_titles(spark):
+    cited = "<article><front><abstract>Short.</abstract></front><back><ref-list><ref><article-title>Cited paper</article-title></ref></ref-list></back></article>"
+    other = '<full xmlns:ce="c" xmlns:dc="http://purl.org/dc/elements/1.1/"><ce:title>Cited</ce:title></full>'
+    heads = A.article_head(A.article_parts(spark.createDataFrame([("one", cited), ("two", other)], "stem string, xml string")))
+    assert {r["stem"]: r["document_name"] for r in heads.collect()} == {"one": "one", "two": "two"}
+
+
 def test_batch_responses(spark):
     def line(cid, content=None, error=None):
         body = {"choices": [{"message": {"content": content}}]} if content is not None else None
