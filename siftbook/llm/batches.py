@@ -42,7 +42,7 @@ def mapped(
     reads. A new column replaces a kept one of the same name.
     """
     names = {f.name for f in fields}
-    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    kept = [c for c in dict.fromkeys(df.columns if keep is None else keep) if c not in names]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
     added = [(f.name, arrow_type(f.dataType)) for f in fields]
 

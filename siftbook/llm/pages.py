@@ -152,8 +152,8 @@ def skeleton(node: Node, main: bool = False, in_aside: bool = False) -> list[Lea
                 if aside or (in_aside and not heading and child.tag not in ("hgroup", "div")):
                     put(Leaf(label + "-", False), [], 0)
                 elif len(below) == 1 and below[0].label == "#text":
-                    leaf = Leaf(label, below[0].main or main)
-                    put(leaf, below[0].texts, below[0].link)
+                    text = below[0]
+                    put(Leaf(label + "~" * (2 * text.link > text.total), text.main or main), text.texts, text.link)
                 else:
                     leaf = Leaf(label, main)
                     leaf.children = below
