@@ -123,3 +123,21 @@ STOP_WORDS = {
     "fr": ("le", "la", "les", "et", "des", "du", "une", "un", "dans", "est", "que", "pour", "qui", "sur", "par", "avec"),
     "es": ("el", "la", "los", "las", "de", "que", "y", "en", "un", "una", "del", "se", "por", "con", "para", "no"),
 }
+
+# Layout and text patterns.
+CHAPTER_NUMBER = r"^(\d+)\."
+CHAPTER_NAME = r"(?i)^Chapter\s+(\d+)"
+NO_LETTERS = r"\A[\d\W]+\z"
+HTTP_REQUEST = r"^(GET|POST|PUT|DELETE|PATCH)\s+https?://"
+FENCE_START = r"\A```(?:json)?\s*"
+FENCE_END = r"\s*```\z"
+
+# Numbered instruction blocks.
+BLOCK_START = r"\n(?=\d+[.)])"
+INSTRUCTION_PART = r"(?is)\*{0,2}Instruction:?\*{0,2}\s*(.+?)(?=\n\*{0,2}Input:|\z)"
+INPUT_PART = r"(?is)\*{0,2}Input:?\*{0,2}\s*(.+?)(?=\n\*{0,2}Output:|\z)"
+OUTPUT_PART = r"(?is)\*{0,2}Output:?\*{0,2}\s*(.+?)(?=\n\d+[.)]|\z)"
+
+# Titles and abstracts in the raw text of article files.
+ABSTRACT_PATTERNS = (r"(?s)<dc:description>(.*?)</dc:description>", r"(?s)<abstract[^>]*>(.*?)</abstract>")
+TITLE_PATTERNS = (r"(?s)<dc:title[^>]*>(.*?)</dc:title>", r"(?s)<article-title[^>]*>(.*?)</article-title>")

@@ -14,14 +14,14 @@ def is_heading(text: Column, size: Column, median: Column, bold: Column) -> Colu
     low, high = fixed.HEADING_CHARS
     prominent = bold | (size >= median * fixed.LARGE_HEADING_FACTOR)
     too_small = bold & (size < median * fixed.SMALL_BOLD_FACTOR)
-    return prominent & ~too_small & F.length(t).between(low, high) & ~t.rlike(r"\A[\d\W]+\z")
+    return prominent & ~too_small & F.length(t).between(low, high) & ~t.rlike(fixed.NO_LETTERS)
 
 
 def chapter_of(heading: Column) -> Column:
     h = strip(heading)
     number = F.coalesce(
-        blank_to_null(F.regexp_extract(h, r"^(\d+)\.", 1)),
-        blank_to_null(F.regexp_extract(h, r"(?i)^Chapter\s+(\d+)", 1)),
+        blank_to_null(F.regexp_extract(h, fixed.CHAPTER_NUMBER, 1)),
+        blank_to_null(F.regexp_extract(h, fixed.CHAPTER_NAME, 1)),
     )
     return F.coalesce(F.concat(F.lit("Chapter "), number), F.lit("Unknown Chapter"))
 
@@ -45,7 +45,7 @@ def is_top_level(c: Column, capitals: bool) -> Column:
 
 def is_code(text: Column, mono_ratio: Column) -> Column:
     t = strip(text)
-    request = t.rlike(r"^(GET|POST|PUT|DELETE|PATCH)\s+https?://")
+    request = t.rlike(fixed.HTTP_REQUEST)
     braces = (t.startswith("{") | t.startswith("[")) & (t.endswith("}") | t.endswith("]"))
     return (mono_ratio >= fixed.MONO_SHARE) | request | braces | t.startswith("curl ")
 

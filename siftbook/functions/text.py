@@ -177,8 +177,8 @@ def shares_substring(a: Column, b: Column, width: int = 40, stride: int = 20) ->
 
 def unfence(c: Column) -> Column:
     """Text of a fenced block without the fence."""
-    opened = F.regexp_replace(strip(c), r"\A```(?:json)?\s*", "")
-    return F.regexp_replace(strip(opened), r"\s*```\z", "")
+    opened = F.regexp_replace(strip(c), fixed.FENCE_START, "")
+    return F.regexp_replace(strip(opened), fixed.FENCE_END, "")
 
 
 def first_author(authors: Column) -> Column:

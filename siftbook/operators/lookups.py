@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftbook.functions import fixed
 from siftbook.functions.layout import chapter_of
 from siftbook.functions.text import token_set
-from siftbook.operators.ranking import first_per_key
+from siftbook.operators.ranking import first_per_key, top_per_group
 
 
 def with_source(pairs: DataFrame, chunks: DataFrame, on: str) -> DataFrame:
@@ -83,17 +83,24 @@ def find_passages(questions: DataFrame, passages: DataFrame, document: str, k: i
     """Passage of a question: its own chunk when it exists, else the ``k`` with most shared words.
 
     ``questions`` has id, ``document``, source_chunk_id and ``needle``; ``passages`` has
-    ``document``, chunk_id, ``order`` and body. Both belong to one paper, so a question meets only
-    the chunks of its paper.
+    ``document``, chunk_id, ``order`` and body. Shared words are found by a join on (document, word),
+    so narrow rows are counted, a long document spreads over its words, and a question never meets a
+    chunk it shares nothing with, but for the first ``k`` of its document, which fill up its places.
     """
     q = questions.select("id", document, "source_chunk_id", token_set(F.col("needle")).alias("_q"))
-    c = passages.select(document, "chunk_id", "order", token_set(F.col("body")).alias("_c"))
-    exact = q.join(c.select(document, "chunk_id", "order"), [document]).filter(F.col("chunk_id") == F.col("source_chunk_id"))
-    exact = exact.select("id", "chunk_id", F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("place"), F.lit(True).alias("exact"))
-    rest = q.join(exact.select("id").distinct(), "id", "left_anti").join(c, document).filter(F.size("_c") > 0)
-    score = F.size(F.array_intersect("_q", "_c")) / F.sqrt(F.size("_c"))
+    c = passages.select(document, "chunk_id", "order", token_set(F.col("body")).alias("_c")).withColumn("_size", F.size("_c"))
+    exact = q.join(c.select(document, F.col("chunk_id").alias("source_chunk_id")), [document, "source_chunk_id"])
+    exact = exact.select("id", F.col("source_chunk_id").alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("place"), F.lit(True).alias("exact"))
+    rest = q.join(exact.select("id").distinct(), "id", "left_anti")
+    chunk = ["chunk_id", "order", "_size"]
+    worded = c.filter("_size > 0")
+    shared = rest.select("id", document, F.explode("_q").alias("_word")).join(worded.select(document, *chunk, F.explode("_c").alias("_word")), [document, "_word"])
+    counted = shared.groupBy("id", *chunk).agg(F.count("*").alias("_n"))
+    first = top_per_group(worded.select(document, *chunk), [document], [F.col("order")], F.lit(k), bound=k)
+    spare = rest.select("id", document).join(first, document).select("id", *chunk, F.lit(0).cast("long").alias("_n"))
+    scored = counted.unionByName(spare).groupBy("id", *chunk).agg(F.round(F.max("_n") / F.sqrt(F.col("_size")), 9).alias("score"))
     by = W.partitionBy("id").orderBy(F.col("score").desc(), "order")
-    ranked = rest.withColumn("score", F.round(score, 9)).withColumn("place", F.row_number().over(by).cast("long")).filter(F.col("place") <= k)
+    ranked = scored.withColumn("place", F.row_number().over(by).cast("long")).filter(F.col("place") <= k)
     fuzzy = ranked.select("id", "chunk_id", F.round("score", 2).alias("score"), "place", F.lit(False).alias("exact"))
     return exact.unionByName(fuzzy)
 

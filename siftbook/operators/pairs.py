@@ -11,15 +11,15 @@ from siftbook.functions.text import blank_to_null, entities, let, meta_leak, sha
 
 def parse_numbered(df: DataFrame, text: str) -> DataFrame:
     """Instruction, input and output of each numbered block; incomplete blocks are dropped."""
-    blocks = df.withColumn("_block", F.explode(F.split(strip(F.col(text)), r"\n(?=\d+[.)])")))
+    blocks = df.withColumn("_block", F.explode(F.split(strip(F.col(text)), fixed.BLOCK_START)))
 
-    def part(name: str, until: str) -> Column:
-        return blank_to_null(strip(F.regexp_extract("_block", rf"(?is)\*{{0,2}}{name}:?\*{{0,2}}\s*(.+?)(?={until}|\z)", 1)))
+    def part(pattern: str) -> Column:
+        return blank_to_null(strip(F.regexp_extract("_block", pattern, 1)))
 
     parts = blocks.withColumns({
-        "instruction": part("Instruction", r"\n\*{0,2}Input:"),
-        "input": F.coalesce(part("Input", r"\n\*{0,2}Output:"), F.lit("")),
-        "output": part("Output", r"\n\d+[.)]"),
+        "instruction": part(fixed.INSTRUCTION_PART),
+        "input": F.coalesce(part(fixed.INPUT_PART), F.lit("")),
+        "output": part(fixed.OUTPUT_PART),
     })
     return parts.filter(F.col("instruction").isNotNull() & F.col("output").isNotNull()).drop("_block")
 

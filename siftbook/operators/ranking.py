@@ -12,6 +12,8 @@ large groups sorts each in one task. The two rank helpers avoid that:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,19 +112,38 @@ def row_total(df: DataFrame) -> Column:
 
 # -- splits ----------------------------------------------------------------------------------
 
+def hash_cut(df: DataFrame, key: Keys, wanted: Callable[[int], int], seed: int | str, digits: int = 4) -> Column:
+    """Condition that holds for the first ``wanted(number of rows)`` rows in seeded hash order of ``key``.
+
+    Rows are counted by the first digits of their hash, and only the bucket that the cut falls into
+    is sorted for the last key inside. All rows are then decided by comparison, without a shuffle.
+    """
+    order = hash_order(seed, *key)
+    bucket = F.substring(order, 1, digits)
+    sizes = sorted(map(tuple, df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()))
+    left = min(wanted(sum(n for _, n in sizes)), sum(n for _, n in sizes))
+    if left <= 0:
+        return F.lit(False)
+    for name, n in sizes:
+        if left <= n:
+            break
+        left -= n
+    last = df.filter(bucket == name).select(order.alias("_h"), *key).orderBy("_h", *key).offset(left - 1).limit(1).first()
+    kinds = dict(df.dtypes)
+    return F.struct(order, *key) <= F.struct(F.lit(last["_h"]), *[F.lit(last[c]).cast(kinds[c]) for c in key])
+
+
 def holdout_documents(df: DataFrame, document: str, n: int, seed: int = 42) -> DataFrame:
     """Mark every row 'eval' or 'train' by document; ``n`` documents are held out."""
-    names = df.select(document).distinct()
-    held = names.orderBy(hash_order(seed, document), document).limit(n).withColumn("_held", F.lit(True))
-    split = F.when(F.col("_held"), "eval").otherwise("train")
-    return df.join(held, document, "left").withColumn("split", split).drop("_held")
+    names = df.select(document).filter(F.col(document).isNotNull()).distinct()
+    held = hash_cut(names, [document], lambda total: n, seed) & F.col(document).isNotNull()
+    return df.withColumn("split", F.when(held, "eval").otherwise("train"))
 
 
 def train_validation(df: DataFrame, key: Keys, fraction: float, seed: int = 42) -> DataFrame:
     """Mark rows 'val' for the first ``max(1, int(n * fraction))`` in hash order, else 'train'."""
-    n_val = F.greatest(F.lit(1), F.floor(row_total(df) * fraction))
-    ranked = hash_rank(df, key, seed)
-    return ranked.withColumn("split", F.when(F.col("rank") <= n_val, "val").otherwise("train")).drop("rank")
+    held = hash_cut(df.select(*key), key, lambda total: max(1, int(total * fraction)), seed)
+    return df.withColumn("split", F.when(held, "val").otherwise("train"))
 
 
 def shard(df: DataFrame, order: list[Column], n: int) -> DataFrame:

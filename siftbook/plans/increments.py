@@ -52,6 +52,13 @@ def _(t: Tables) -> DataFrame:
     return K.target_reached(t.spark.read.parquet(out), "event_type", "purchase", 100)
 
 
+@query("k4_first_accepted", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' ORDER BY event_id LIMIT 100")
+def _(t: Tables) -> DataFrame:
+    log, checkpoint = scratch_path(t.spark, "k4-log"), scratch_path(t.spark, "k4-checkpoint")
+    K.append_log(_events(t).select("event_id", "user_id", "event_type"), log, checkpoint)
+    return K.first_accepted(K.read_log(t.spark, log), "event_type", "purchase", "event_id", 100).select("event_id", "user_id")
+
+
 @query("k5_review_upsert", "SELECT user_id AS qid, event_type AS reviewer, CASE WHEN arg_max(value, event_id) > 50 THEN 'good' ELSE 'wrong_key' END AS verdict FROM events WHERE value <= 150 AND user_id IN (SELECT c_custkey FROM customer) GROUP BY user_id, event_type")
 def _(t: Tables) -> DataFrame:
     log, checkpoint = scratch_path(t.spark, "k5"), scratch_path(t.spark, "k5-checkpoint")

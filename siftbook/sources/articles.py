@@ -227,14 +227,14 @@ def section_texts(parts: DataFrame) -> DataFrame:
     return own.select("stem", F.col("number").alias("section"), title.alias("title"), F.array_join(F.col("own.value"), "\n\n").alias("text"), "abstract")
 
 
-def abstract_by_pattern(articles: DataFrame, patterns: tuple[str, ...] = (r"(?s)<dc:description>(.*?)</dc:description>", r"(?s)<abstract[^>]*>(.*?)</abstract>"),
+def abstract_by_pattern(articles: DataFrame, patterns: tuple[str, ...] = fixed.ABSTRACT_PATTERNS,
                         least: int = fixed.MIN_ABSTRACT_CHARS) -> DataFrame:
     """Abstract of the first pattern that matches, when long enough."""
     found = F.coalesce(*[F.when(F.col("xml").rlike(p), clean(F.regexp_extract("xml", p, 1))) for p in patterns])
     return articles.select("stem", found.alias("abstract")).filter(F.length("abstract") > least)
 
 
-def title_by_pattern(articles: DataFrame, patterns: tuple[str, ...] = (r"(?s)<dc:title[^>]*>(.*?)</dc:title>", r"(?s)<article-title[^>]*>(.*?)</article-title>")) -> DataFrame:
+def title_by_pattern(articles: DataFrame, patterns: tuple[str, ...] = fixed.TITLE_PATTERNS) -> DataFrame:
     """Raw title of the first pattern that matches."""
     found = F.coalesce(*[F.when(F.col("xml").rlike(p), F.regexp_extract("xml", p, 1)) for p in patterns])
     return articles.select("stem", found.alias("title"))

@@ -87,6 +87,11 @@ def running_counts(stream: DataFrame, status: str, out: str, checkpoint: str) ->
     _drain(counts, checkpoint, lambda df, n: df.write.mode("overwrite").parquet(out), mode="complete")
 
 
+def first_accepted(rows: DataFrame, status: str, wanted: str, order: str, target: int) -> DataFrame:
+    """The first ``target`` rows with the wanted status, all of them while there are fewer."""
+    return rows.filter(F.col(status) == wanted).orderBy(order).limit(target)
+
+
 def target_reached(counts: DataFrame, status: str, wanted: str, target: int) -> DataFrame:
     """Whether enough rows have the wanted status."""
     n = F.coalesce(F.sum(F.when(F.col(status) == wanted, F.col("n"))), F.lit(0))
