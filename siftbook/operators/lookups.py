@@ -105,6 +105,29 @@ def find_passages(questions: DataFrame, passages: DataFrame, document: str, k: i
     return exact.unionByName(fuzzy)
 
 
+def shared_substrings(probes: DataFrame, texts: DataFrame, probe_key: str, text_key: str, text: str, width: int = 40, stride: int = 20) -> DataFrame:
+    """(probe, text) pairs where a slice of the probe, taken every ``stride`` characters, occurs in the whole text.
+
+    As :func:`siftbook.functions.text.shares_substring`, without holding every pair: a slice is
+    looked up by the longest word that lies inside it between blanks, which a text that holds the
+    slice has as well, and only those texts are read for it. Slices without such a word are held
+    against all texts.
+    """
+    low = F.lower("text")
+    own = probes.select(F.col(probe_key).alias("_probe"), F.col(text).alias("text")).filter(F.length("text") >= width)
+    cuts = F.transform(F.sequence(F.lit(1), F.length("text") - (width - 1), F.lit(stride)), lambda i: F.substring(low, i, F.lit(width)))
+    slices = own.select("_probe", F.explode(F.array_distinct(cuts)).alias("_slice"))
+    parts = F.split("_slice", " ")
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    slices = slices.withColumn("_word", F.coalesce(longest, F.lit("")))
+    words = texts.select(F.col(text_key).alias("_text"), F.explode(F.array_distinct(F.concat(F.split(F.lower(text), " "), F.array(F.lit(""))))).alias("_word"))
+    candidates = words.join(slices, "_word").select("_text", "_probe", "_slice")
+    whole = texts.select(F.col(text_key).alias("_text"), F.lower(text).alias("_low"))
+    found = candidates.join(whole, "_text").filter(F.contains("_low", "_slice"))
+    return found.select(F.col("_probe").alias(probe_key), F.col("_text").alias(text_key)).distinct()
+
+
 def pair_outputs(first: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:
     """Two outputs for the same item side by side: both sides are (keys, output)."""
     return first.withColumnRenamed("output", "a").join(second.withColumnRenamed("output", "b"), on)

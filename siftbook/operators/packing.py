@@ -1,17 +1,18 @@
 """Sections and chunks of a document.
 
-Sections are filled forward in blocks of a document. Packing is sequential inside a document: short
-documents are arrays, long ones are walked as a stream, so memory does not grow with a document.
+Sections are filled forward in blocks of a document. Packing is sequential inside a document, which is
+walked as a stream, so memory does not grow with it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftbook.functions import fixed
 from siftbook.functions.layout import chapter_of, is_stop_section, is_top_level
@@ -109,57 +110,53 @@ def pack_arrays(df: DataFrame, elements: str, limit: int = fixed.MAX_SECTION_CHA
     return started.withColumn("chunks", F.transform("_starts", chunk)).drop("_starts", "_marks")
 
 
-def pack_elements(elements: DataFrame, document: str, order: str, content: str, kind: str,
-                  limit: int = fixed.MAX_SECTION_CHARS, long_document: int = 100_000) -> DataFrame:
+def pack_elements(elements: DataFrame, document: str, order: str, content: str, kind: str, limit: int = fixed.MAX_SECTION_CHARS) -> DataFrame:
     """Section-aware chunks of rows (document, order, kind, content, chapter, section_title).
 
-    Documents of up to ``long_document`` elements are packed as arrays. Longer ones are walked in
-    order as a stream of lengths, and their texts meet only inside a chunk.
+    The rows of a document follow each other in one task, which holds the chunk it is building and
+    nothing else of the document, however long that is. Chunks close as in :func:`chunk_starts`.
     """
-    rows = elements.select(
-        document, F.col(order).alias("o"), F.col(kind).alias("kind"), F.col(content).alias("content"), "chapter", "section_title",
-    )
-    long = rows.groupBy(document).agg(F.count("*").alias("n")).filter(F.col("n") > long_document).select(document)
-    if long.isEmpty():
-        return _pack_short(rows, document, limit)
-    short = _pack_short(rows.join(long, document, "left_anti"), document, limit)
-    return short.unionByName(_pack_long(rows.join(long, document, "left_semi"), document, limit))
-
-
-def _pack_short(rows: DataFrame, document: str, limit: int) -> DataFrame:
-    row = F.struct("o", "kind", "content", "chapter", "section_title")
-    gathered = rows.groupBy(document).agg(F.array_sort(F.collect_list(row)).alias("_items"))
-    return unnest(pack_arrays(gathered, "_items", limit), "chunks", [document])
-
-
-def _pack_long(rows: DataFrame, document: str, limit: int) -> DataFrame:
-    narrow = rows.select(
-        F.col(document).alias("d"), "o", F.length("content").cast("long").alias("size"), (F.col("kind") == "table").alias("alone"),
-        F.xxhash64("chapter", "section_title").alias("section"),
-    )
-    fields = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, section, used, closed, chunk = None, None, 0, True, 0
-        for pdf in batches:
-            numbers = []
-            for d, size, alone, name in zip(pdf["d"], pdf["size"], pdf["alone"], pdf["section"]):
-                if d != doc:
-                    doc, used, closed, chunk = d, 0, True, 0
-                if closed or alone or name != section or used + size > limit:
-                    chunk, used = chunk + 1, 0
-                used, closed, section = used + size, alone, name
-                numbers.append(chunk)
-            yield pd.DataFrame({"d": pdf["d"], "o": pdf["o"], "chunk": numbers})
-
-    # rows of a document follow each other in one partition
-    placed = narrow.repartition("d").sortWithinPartitions("d", "o")
-    numbered = placed.mapInPandas(number, f"d {fields['d']}, o {fields['o']}, chunk long").withColumnRenamed("d", document)
-    parts = F.array_sort(F.collect_list(F.struct("o", "content")))
-    return rows.join(numbered, [document, "o"]).groupBy(document, "chunk").agg(
-        F.first("kind").alias("content_type"), F.first("chapter").alias("chapter"), F.first("section_title").alias("section_title"),
-        F.array_join(F.transform(parts, lambda p: p["content"]), "\n\n").alias("text"), F.count("*").alias("n_elements"),
-    )
+    fields = ["kind", "content", "chapter", "section_title"]
+    rows = elements.select(F.col(document).alias("d"), F.col(order).alias("o"), F.col(kind).alias("kind"), F.col(content).alias("content"), "chapter", "section_title")
+    schema = rows.select(F.col("d").alias(document)).schema
+    for name, type_ in (("chunk", "long"), ("content_type", "string"), ("chapter", "string"), ("section_title", "string"), ("text", "string"), ("n_elements", "long")):
+        schema = schema.add(name, type_)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document_, number, head, held, used, done = _NOTHING, 0, None, [], 0, []
+
+        def close() -> None:
+            if held:
+                done.append((document_, number, *head, "\n\n".join(c for c in held if c is not None), len(held)))
+                held.clear()
+
+        for batch in batches:
+            for d, *head_, text in zip(batch.column("d").to_pylist(), *(batch.column(c).to_pylist() for c in ("kind", "chapter", "section_title", "content")), strict=True):
+                size = len(text or "")
+                if d != document_:
+                    close()
+                    document_, number, head = d, 0, None
+                fits = head is not None and "table" not in (head[0], head_[0]) and head_[1:] == head[1:] and used + size <= limit
+                if not fits:
+                    close()
+                    number, head, used = number + 1, head_, 0
+                held.append(text)
+                used += size
+            yield _arrow(done, types)
+            done.clear()
+        close()
+        yield _arrow(done, types)
+
+    types = to_arrow_schema(schema)
+    placed = rows.repartition("d").sortWithinPartitions("d", "o")
+    return placed.select("d", *fields).mapInArrow(pack, schema)
+
+
+_NOTHING = object()
+
+
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def unnest(df: DataFrame, items: str, keep: list[str]) -> DataFrame:

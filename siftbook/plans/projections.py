@@ -434,11 +434,9 @@ def _(t: Tables) -> DataFrame:
     return audited(t)
 
 
-@query("c31_shared_substring", f"""SELECT doc_id, {sql_shares('n.text', 'd.text')} AS shared FROM documents d JOIN (SELECT doc_id - 1 AS doc_id, substr(text, 1, 300) AS text FROM documents) n USING (doc_id)""")
+@query("c31_shared_substring", f"""SELECT item_id, doc_id FROM (SELECT item_id, text AS probe FROM benchmark) b, documents d WHERE {sql_shares('b.probe', 'd.text')}""")
 def _(t: Tables) -> DataFrame:
-    # the opening of the next document, looked for in each document
-    following = t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.left("text", F.lit(300)).alias("probe"))
-    return t.documents.join(following, "doc_id").select("doc_id", X.shares_substring(F.col("probe"), F.col("text")).alias("shared"))
+    return J.shared_substrings(t.benchmark, t.documents, "item_id", "doc_id", "text")
 
 
 @query("c32_authors", with_("page_parts") + f"SELECT page_id, CASE WHEN a = '' THEN 'unknown' ELSE {sql_strip('split_part(a, chr(44), 1)')} END AS first_author, CASE lang WHEN 'fr' THEN NULL ELSE host END AS journal FROM (SELECT *, CASE lang WHEN 'de' THEN '' ELSE ' ' || host || ' , ' || lang END AS a FROM page_parts)")
