@@ -70,14 +70,20 @@ def lines(t: Tables) -> DataFrame:
 
 
 def questions(t: Tables) -> DataFrame:
-    d = t.documents
-    parts = [F.substring("text", 1 + 45 * i, 45) for i in range(4)]
+    """Question, choices and explanation are lines of the whole document, picked by md5."""
+    d = t.documents.withColumn("_lines", F.split("text", "\n"))
+
+    def line(i: int) -> Column:
+        number = F.conv(F.substring(F.md5(F.concat(F.lit("q"), F.col("doc_id").cast("string"), F.lit(f"|{i}"))), 1, 8), 16, 10).cast("long")
+        return F.element_at("_lines", (F.pmod(number, F.size("_lines")) + 1).cast("int"))
+
+    parts = [line(i) for i in range(1, 5)]
     pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), F.pmod(digit(tag("q", "doc_id"), at), F.lit(len(names))) + 1)
     return d.select(
         "doc_id", tag("mcq_", "doc_id").alias("id"), tag("chunk_", "doc_id").alias("source_chunk_id"), F.col("source").alias("document_name"),
-        F.concat(F.lit("Which one? "), F.substring("text", 1, 60)).alias("question"),
+        F.concat(F.lit("Which one? "), line(0)).alias("question"),
         F.map_from_arrays(F.array(*[F.lit(x) for x in fixed.LETTERS]), F.array(*parts)).alias("choices"),
-        pick(fixed.LETTERS, 1).alias("correct"), F.substring("text", 181, 120).alias("explanation"),
+        pick(fixed.LETTERS, 1).alias("correct"), line(5).alias("explanation"),
         pick(fixed.LEVELS, 2).alias("cognitive_level"), pick(fixed.TOPICS, 3).alias("topic"),
     )
 
@@ -131,6 +137,10 @@ def _sql_pick(names, at: int) -> str:
     return f"{sql_list(names)}[{sql_digit(chr(39) + 'q' + chr(39) + ' || doc_id', at)} % {len(names)} + 1]"
 
 
+def _sql_line(i: int) -> str:
+    return f"l[('0x' || substr(md5('q' || doc_id || '|{i}'), 1, 8))::BIGINT % len(l) + 1]"
+
+
 _KEY = "cond || '|' || id"
 _LETTER = f"CASE WHEN {sql_digit(_KEY)} < 9 THEN correct_presented ELSE substr('ABCD', {sql_digit(_KEY, 2)} % 4 + 1, 1) END"
 _NL = lambda s: q(s).replace("\n", "' || chr(10) || '")
@@ -156,10 +166,9 @@ CTE = {
     "lines": f"""SELECT doc_id, no, line, (no - 1) // {LINES_PER_PAGE} + 1 AS page, (no - 1) % {LINES_PER_PAGE} AS y, length(line) < 60 AS is_heading
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)""",
     "questions": f"""SELECT doc_id, 'mcq_' || doc_id AS id, 'chunk_' || doc_id AS source_chunk_id, source AS document_name,
-        'Which one? ' || substr(text, 1, 60) AS question,
-        substr(text, 1, 45) AS a, substr(text, 46, 45) AS b, substr(text, 91, 45) AS c, substr(text, 136, 45) AS d,
-        {_sql_pick(fixed.LETTERS, 1)} AS correct, substr(text, 181, 120) AS explanation,
-        {_sql_pick(fixed.LEVELS, 2)} AS cognitive_level, {_sql_pick(fixed.TOPICS, 3)} AS topic FROM documents""",
+        'Which one? ' || {_sql_line(0)} AS question, {_sql_line(1)} AS a, {_sql_line(2)} AS b, {_sql_line(3)} AS c, {_sql_line(4)} AS d,
+        {_sql_pick(fixed.LETTERS, 1)} AS correct, {_sql_line(5)} AS explanation,
+        {_sql_pick(fixed.LEVELS, 2)} AS cognitive_level, {_sql_pick(fixed.TOPICS, 3)} AS topic FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)""",
     "answers": f"""SELECT cond, id, correct, cognitive_level, letter_order, correct_presented,
         CASE {sql_digit(_KEY, 3)} % {len(WORDINGS)} {_RAW} ELSE {q(WORDINGS[-1][0])} END AS raw_output
         FROM (SELECT *, {_LETTER} AS letter FROM (SELECT *, substr('ABCD', instr(letter_order, correct), 1) AS correct_presented

@@ -13,6 +13,7 @@ from siftbook.plans import inputs as I
 from siftbook.plans.inputs import q, sql_order, sql_rank, sql_title_key, with_
 from siftbook.plans.projections import entity_pairs, sql_entities, ENTITY_PAIRS_SQL
 from siftbook.plans.registry import Tables, query
+from siftbook.session import stage
 from siftbook.plans.scans import _METRIC_LIST, responses, sql_pack
 from siftbook.sources.landed import batch_scores, scored_responses
 
@@ -140,8 +141,9 @@ PICKED_SQL = f"""SELECT *, CASE WHEN picked_text IS NOT NULL THEN substr(o, inst
 
 
 def views(t: Tables) -> DataFrame:
-    graded = I.scored(t)
-    return evaluation.condition_view(graded.drop("raw_output"), I.questions(t).select("id", "choices", "correct"), graded)
+    # both are read several times
+    graded, asked = stage(I.scored(t), "scored"), stage(I.questions(t).select("id", "choices", "correct"), "questions")
+    return evaluation.condition_view(graded.drop("raw_output"), asked, graded)
 
 
 @query("d12_condition_view", with_("scored", views=VIEWS_SQL, picked=PICKED_SQL) + "SELECT cond, id, predicted, picked_text, picked_letter, raw_output, true AS order_verified FROM picked")

@@ -28,8 +28,7 @@ def _(t: Tables) -> DataFrame:
 @query("f2_first_wins", with_("lines") + "SELECT min(doc_id) AS doc_id, trim(lower(line)) AS key, count(*) AS n FROM lines GROUP BY trim(lower(line))")
 def _(t: Tables) -> DataFrame:
     rows = I.lines(t).select("doc_id", "no", F.trim(F.lower("line")).alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    return ranking.first_per_key(rows, ["key"], ["doc_id", "no"]).join(counts, "key").select("doc_id", "key", "n")
+    return rows.groupBy("key").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n")).select("first.doc_id", "key", "n")
 
 
 @query("f3_document_holdout", "SELECT doc_id, source, CASE WHEN source IN (SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY md5('42|' || source), source LIMIT 5) THEN 'eval' ELSE 'train' END AS split FROM documents")
