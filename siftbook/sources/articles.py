@@ -8,9 +8,12 @@ expressions on the article's row, the same way for both dialects.
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftbook.functions import fixed
 from siftbook.functions.layout import is_stop_section, is_top_level, table_text
@@ -105,7 +108,7 @@ class _Walk:
 def _parse(xml: str) -> list[tuple]:
     walk = _Walk()
     try:
-        walk.article(ET.fromstring(xml))
+        walk.article(ET.fromstring(xml or ""))
     except ET.ParseError as error:
         return [("error", str(error), None, [], 0, None, None, None)]
     return walk.parts
@@ -119,11 +122,21 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def article_parts(articles: DataFrame) -> DataFrame:
-    """(stem, parts) of (stem, xml) rows. A malformed article has one 'error' part."""
-    # without Arrow rows travel in batches of 100, so that a batch of long articles fits a worker;
-    # nondeterministic keeps filters on the parts from being pushed below and parsing twice
-    parse = F.udf(_parse, PARTS, useArrow=False).asNondeterministic()
-    return articles.select("stem", parse("xml").alias("parts"))
+    """(stem, parts) of (stem, xml) rows. A malformed or missing article has one 'error' part.
+
+    Batches of articles are bounded by bytes on their way in and by rows on their way out.
+    """
+    schema = articles.select("stem", F.lit(None).cast(PARTS).alias("parts")).schema
+    arrow = to_arrow_schema(schema)
+    names = [f.name for f in arrow.field("parts").type.value_type]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in (batch.slice(i, 50) for i in range(0, batch.num_rows, 50)):
+                parts = [[dict(zip(names, p, strict=True)) for p in _parse(xml)] for xml in some.column("xml").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("stem").cast(arrow.field("stem").type), pa.array(parts, arrow.field("parts").type)], schema=arrow)
+
+    return articles.select("stem", "xml").mapInArrow(parse, schema)
 
 
 def _of_kind(kind: str) -> Column:
@@ -220,11 +233,15 @@ def section_texts(parts: DataFrame) -> DataFrame:
     """
     texts = F.filter("parts", lambda p: (p["kind"] == "text") & (p["section"] > 0))
     abstract = F.regexp_replace(_value("abstract"), r"(?i)\A\s*ABSTRACT\s*", "")
-    rows = parts.select("stem", abstract.alias("abstract"), texts.alias("texts"))
-    rows = rows.withColumn("number", F.explode_outer(F.array_distinct(F.col("texts.section")))).filter(F.col("number").isNotNull())
-    own = rows.withColumn("own", F.filter("texts", lambda p: p["section"] == F.col("number")))
-    title = F.element_at(F.get("own", 0)["titles"], -1)
-    return own.select("stem", F.col("number").alias("section"), title.alias("title"), F.array_join(F.col("own.value"), "\n\n").alias("text"), "abstract")
+    placed = F.transform(texts, lambda p, i: F.struct(p["section"].alias("section"), i.alias("i"), p["value"].alias("value"), p["titles"].alias("titles")))
+    # sorted, the texts of a section are one run, so each is copied once
+    rows = parts.select("stem", abstract.alias("abstract"), F.array_sort(placed).alias("_texts"))
+    begins = F.transform("_texts", lambda p, i: F.when((i == 0) | (p["section"] != F.get("_texts", i - 1)["section"]), i + 1))
+    rows = rows.withColumn("_begins", F.array_compact(begins))
+    until = lambda k: F.coalesce(F.get("_begins", k + 1), F.size("_texts") + 1)
+    own = rows.withColumn("own", F.explode(F.transform("_begins", lambda at, k: F.slice("_texts", at, until(k) - at))))
+    first = F.get("own", 0)
+    return own.select("stem", first["section"].alias("section"), F.element_at(first["titles"], -1).alias("title"), F.array_join(F.col("own.value"), "\n\n").alias("text"), "abstract")
 
 
 def abstract_by_pattern(articles: DataFrame, patterns: tuple[str, ...] = fixed.ABSTRACT_PATTERNS,
