@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftbook.functions import fixed
-from siftbook.functions.layout import chapter_of, is_stop_section, is_top_level
+from siftbook.functions.layout import chapter_of, fence_code, is_caption, is_stop_section, is_top_level
+from siftbook.functions.text import page_range, provenance_header, strip
+from siftbook.operators.quality import drop_repeated
 
 BODY = "Body"
 
@@ -110,28 +112,36 @@ def pack_arrays(df: DataFrame, elements: str, limit: int = fixed.MAX_SECTION_CHA
     return started.withColumn("chunks", F.transform("_starts", chunk)).drop("_starts", "_marks")
 
 
-def pack_elements(elements: DataFrame, document: str, order: str, content: str, kind: str, limit: int = fixed.MAX_SECTION_CHARS) -> DataFrame:
+def pack_elements(elements: DataFrame, document: str, order: str, content: str, kind: str, limit: int = fixed.MAX_SECTION_CHARS,
+                  page: str | None = None, run: str | None = None) -> DataFrame:
     """Section-aware chunks of rows (document, order, kind, content, chapter, section_title).
 
+    With ``page`` a chunk gets its first_page and last_page. ``run`` tells sections of one name apart
+    that stand in different places.
+
     The rows of a document follow each other in one task, which holds the chunk it is building and
     nothing else of the document, however long that is. Chunks close as in :func:`chunk_starts`.
     """
-    fields = ["kind", "content", "chapter", "section_title"]
-    rows = elements.select(F.col(document).alias("d"), F.col(order).alias("o"), F.col(kind).alias("kind"), F.col(content).alias("content"), "chapter", "section_title")
+    fields = ["kind", "chapter", "section_title", "run", "page", "content"]
+    rows = elements.select(F.col(document).alias("d"), F.col(order).alias("o"), F.col(kind).alias("kind"), F.col(content).alias("content"), "chapter", "section_title",
+                           (F.col(page) if page else F.lit(None)).cast("long").alias("page"), (F.col(run) if run else F.lit(None)).cast("long").alias("run"))
     schema = rows.select(F.col("d").alias(document)).schema
-    for name, type_ in (("chunk", "long"), ("content_type", "string"), ("chapter", "string"), ("section_title", "string"), ("text", "string"), ("n_elements", "long")):
+    for name, type_ in (("chunk", "long"), ("content_type", "string"), ("chapter", "string"), ("section_title", "string"), ("text", "string"), ("n_elements", "long"), *([("first_page", "long"), ("last_page", "long")] if page else [])):
         schema = schema.add(name, type_)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        document_, number, head, held, used, done = _NOTHING, 0, None, [], 0, []
+        document_, number, head, held, pages, used, done = _NOTHING, 0, None, [], [], 0, []
 
         def close() -> None:
             if held:
-                done.append((document_, number, *head, "\n\n".join(c for c in held if c is not None), len(held)))
+                known = [p for p in pages if p is not None]
+                ends = (min(known, default=None), max(known, default=None)) if page else ()
+                done.append((document_, number, *head[:3], "\n\n".join(c for c in held if c is not None), len(held), *ends))
                 held.clear()
+                pages.clear()
 
         for batch in batches:
-            for d, *head_, text in zip(batch.column("d").to_pylist(), *(batch.column(c).to_pylist() for c in ("kind", "chapter", "section_title", "content")), strict=True):
+            for d, *head_, at, text in zip(batch.column("d").to_pylist(), *(batch.column(c).to_pylist() for c in fields), strict=True):
                 size = len(text or "")
                 if d != document_:
                     close()
@@ -141,6 +151,7 @@ def pack_elements(elements: DataFrame, document: str, order: str, content: str,
                     close()
                     number, head, used = number + 1, head_, 0
                 held.append(text)
+                pages.append(at)
                 used += size
             yield _arrow(done, types)
             done.clear()
@@ -159,6 +170,36 @@ def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def layout_chunks(blocks: DataFrame, document: str, order: str, page: str, text: str, heading: str, mono: str, limit: int = fixed.MAX_SECTION_CHARS) -> DataFrame:
+    """Corpus chunks of layout blocks, as one operator.
+
+    Blocks are stripped; empty ones, short ones that a document repeats and captions go. A heading
+    that differs from the one before opens a section, a stop section ends the document, and code is
+    fenced. Chunks carry their pages in ``page_range`` and in the header in front of the text.
+    ``order`` is numeric and sorts the blocks of a document.
+    """
+    rows = blocks.select(F.col(document).alias("_d"), F.col(order).alias("_o"), F.col(page).alias("_p"), strip(F.col(text)).alias("_t"), F.coalesce(F.col(heading), F.lit(False)).alias("_h"), F.col(mono).alias("_m"))
+    rows = drop_repeated(rows.filter("_t != ''"), "_d", "_t").filter(~is_caption(F.col("_t")))
+    # headings are few, so a document's meet in one task
+    before = F.coalesce(F.lag("_t").over(W.partitionBy("_d").orderBy("_o")), F.lit("Introduction"))
+    opened = rows.filter("_h").withColumn("_new", F.col("_t") != before).select(F.col("_d").alias("_hd"), F.col("_o").alias("_ho"), "_new")
+    marked = rows.join(opened, rows["_d"].eqNullSafe(opened["_hd"]) & (rows["_o"] == opened["_ho"]), "left")
+    title = F.when(F.col("_new"), F.col("_t"))
+    stop = F.when(F.col("_h") & is_stop_section(F.col("_t")), True)
+    filled = fill_forward(marked.drop("_hd", "_ho"), "_d", "_o", {"_section": title, "_run": F.when(F.col("_new"), F.col("_o")), "_stopped": stop})
+    body = filled.filter(F.col("_stopped").isNull() & ~F.col("_h")).select(
+        "_d", "_o", "_p", F.lit("text").alias("kind"), fence_code(F.col("_t"), F.coalesce("_m", F.lit(0.0))).alias("content"), "_run",
+        F.coalesce("_section", F.lit("Introduction")).alias("section_title"), F.when(F.col("_section").isNull(), "Chapter 1").otherwise(chapter_of(F.col("_section"))).alias("chapter"),
+    )
+    packed = pack_elements(body, "_d", "_o", "content", "kind", limit, page="_p", run="_run")
+    pages = page_range(F.col("first_page"), F.col("last_page"))
+    header = provenance_header(F.coalesce(F.col("_d").cast("string"), F.lit("")), F.col("chapter"), F.col("section_title"), pages)
+    return packed.select(
+        "content_type", F.concat(F.lit("chunk_"), F.format_string("%04d", "chunk")).alias("id"), F.col("_d").alias(document), "chapter", "section_title",
+        F.col("first_page").alias("page_number"), pages.alias("page_range"), F.concat(header, F.col("text")).alias("text"),
+    )
+
+
 def unnest(df: DataFrame, items: str, keep: list[str]) -> DataFrame:
     """One row per struct of a computed array.
 

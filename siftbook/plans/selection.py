@@ -135,6 +135,29 @@ def _(t: Tables) -> DataFrame:
     return packed.select("doc_id", "chunk", "content_type", "section_title", F.md5("text").alias("digest"), "n_elements")
 
 
+_CLEAN_SQL = f"""SELECT doc_id, no, page, raw, is_heading FROM (SELECT *, {I.sql_strip('line')} AS raw FROM lines) WHERE raw <> ''
+    QUALIFY NOT (count(*) OVER (PARTITION BY doc_id, raw) > 3 AND length(raw) < 200) AND NOT regexp_matches(raw, {q(fixed.CAPTION)})"""
+_OPENED_SQL = "SELECT doc_id, no, raw <> coalesce(lag(raw) OVER (PARTITION BY doc_id ORDER BY no), 'Introduction') AS fresh FROM clean WHERE is_heading"
+_RUNS_SQL = f"""SELECT c.*, coalesce(max(CASE WHEN fresh THEN no END) OVER w, 0) AS run, last_value(CASE WHEN fresh THEN raw END IGNORE NULLS) OVER w AS section,
+    max(CASE WHEN is_heading AND regexp_matches(raw, {q(fixed.STOP_SECTION)}) THEN 1 ELSE 0 END) OVER w AS stopped
+    FROM clean c LEFT JOIN opened USING (doc_id, no) WINDOW w AS (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING)"""
+_CODE = f"regexp_matches(raw, {q(fixed.HTTP_REQUEST)}) OR ((raw LIKE '{{%' OR raw LIKE '[%') AND (raw LIKE '%}}' OR raw LIKE '%]')) OR raw LIKE 'curl %'"
+_LAYOUT_ITEMS = f"""SELECT doc_id, no, 'text' AS kind, page, CASE WHEN {_CODE} THEN '```' || chr(10) || raw || chr(10) || '```' ELSE raw END AS content, run::VARCHAR AS chapter,
+    coalesce(section, 'Introduction') AS section_title FROM runs WHERE stopped = 0 AND NOT is_heading"""
+_NUMBER = f"coalesce(nullif(regexp_extract(section_title, {q(fixed.CHAPTER_NUMBER)}, 1), ''), nullif(regexp_extract(section_title, {q(fixed.CHAPTER_NAME)}, 1), ''))"
+
+
+@query("f17_layout_chunks", with_("lines", clean=_CLEAN_SQL, opened=_OPENED_SQL, runs=_RUNS_SQL, items=_LAYOUT_ITEMS, **sql_pack("items")).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+    SELECT doc_id, 'chunk_' || format('{{:04d}}', chunk) AS id, chapter, section_title, page_number, page_range, md5('[Document: ' || doc_id || ' | Chapter: ' || chapter || ' | Section: ' || section_title
+    || ' | Page: ' || page_range || ']' || chr(10) || chr(10) || text) AS digest
+    FROM (SELECT doc_id, chunk, text, section_title, CASE WHEN run = '0' THEN 'Chapter 1' ELSE coalesce('Chapter ' || {_NUMBER}, 'Unknown Chapter') END AS chapter, p AS page_number,
+    CASE WHEN p = p2 THEN p::VARCHAR ELSE p || '-' || p2 END AS page_range FROM (SELECT doc_id, chunk, any_value(chapter) AS run, any_value(section_title) AS section_title,
+    string_agg(content, chr(10) || chr(10) ORDER BY pos) AS text, min(page) AS p, max(page) AS p2 FROM marked JOIN walk USING (doc_id, pos) GROUP BY doc_id, chunk))""")
+def _(t: Tables) -> DataFrame:
+    chunks = packing.layout_chunks(I.lines(t).withColumn("mono_ratio", F.lit(0.0)), "doc_id", "no", "page", "line", "is_heading", "mono_ratio")
+    return chunks.select("doc_id", "id", "chapter", "section_title", "page_number", "page_range", F.md5("text").alias("digest"))
+
+
 @query("f18_section_fill", with_("lines", sections=SECTIONS_SQL) + "SELECT doc_id, no, section_title FROM sections WHERE stopped = 0")
 def _(t: Tables) -> DataFrame:
     return sections(t).select("doc_id", "no", "section_title")

@@ -189,6 +189,21 @@ def test_rows_without_keys_are_no_copies(spark):
     assert pairs(dedup.not_known(df, df, "t"), "id") == [(3,), (4,)]
 
 
+def test_layout_chunks(spark):
+    blocks = [
+        (1, 1, " Running head ", False), (2, 1, "first text", False), (3, 1, "", False), (4, 1, "2. Results", True), (5, 1, "Figure 3 shows it", False),
+        (6, 2, "Running head", False), (7, 2, "curl http://x", False), (8, 3, "2. Results", True), (9, 3, "more", False), (10, 3, "Running head\n", False),
+        (11, 4, "Methods", True), (12, 4, "how", False), (13, 4, "2. Results", True), (14, 4, "again", False), (15, 5, "Running head", False), (16, 5, "References", True), (17, 5, "hidden", False),
+    ]
+    df = spark.createDataFrame([(d, *b, None) for d in ("d", None) for b in blocks], "d string, o long, p long, t string, h boolean, m double").repartition(8)
+    rows = sorted(tuple(r) for r in packing.layout_chunks(df, "d", "o", "p", "t", "h", "m").filter("d IS NOT NULL").select("id", "chapter", "section_title", "page_range", "text").collect())
+    head = "[Document: d | Chapter: {} | Section: {} | Page: {}]\n\n{}"
+    expected = [("Chapter 1", "Introduction", "1", "first text"), ("Chapter 2", "2. Results", "2-3", "```\ncurl http://x\n```\n\nmore"),
+                ("Unknown Chapter", "Methods", "4", "how"), ("Chapter 2", "2. Results", "4", "again")]
+    assert rows == [(f"chunk_{i:04d}", c, s, p, head.format(c, s, p, t)) for i, (c, s, p, t) in enumerate(expected, 1)]
+    assert packing.layout_chunks(df, "d", "o", "p", "t", "h", "m").count() == 8
+
+
 def test_rows_without_document_or_order_are_filled(spark):
     df = spark.createDataFrame([("d", 1, "v"), ("d", 2, None), (None, 1, "n"), (None, 2, None), ("d", None, None)], "d string, o long, v string")
     got = packing.fill_forward(df, "d", "o", {"filled": F.col("v")}).collect()
