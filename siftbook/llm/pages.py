@@ -7,6 +7,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ from siftbook.session import stage
 
 #: A node is template if at least so many other pages of the host were aligned with it, and this share of them have its text.
 LEAST_PAGES, CONSTANT = 4, 0.9
+#: Open elements of a page that are told apart.
+DEEPEST = 150
 
 # HTML element names by what they do; fixed by the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,9 +64,12 @@ class Node:
 
 
 def parse(text: str) -> Node:
-    """A lenient tree: unclosed elements end where the next block, item or the parent's end ends them."""
+    """A lenient tree: unclosed elements end where the next block, item or the parent's end ends them.
+
+    What is nested deeper than ``DEEPEST`` is read as part of the element at that depth.
+    """
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at, deeper = [root], 0, Counter()
     for m in _TOKEN.finditer(text):
         if m.start() > at:
             stack[-1].children.append(text[at : m.start()])
@@ -73,6 +79,9 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if m[2]:
+            if deeper[tag]:
+                deeper[tag] -= 1
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     del stack[depth:]
@@ -89,7 +98,10 @@ def parse(text: str) -> Node:
         node = Node(tag, m[4])
         stack[-1].children.append(node)
         if tag not in VOID and not m[4].endswith("/"):
-            stack.append(node)
+            if len(stack) < DEEPEST:
+                stack.append(node)
+            else:
+                deeper[tag] += 1
     if at < len(text):
         stack[-1].children.append(text[at:])
     return root

@@ -191,6 +191,14 @@ def test_constant_blocks_of_a_host_are_template(spark):
     assert {r.text for r in pages.extracted(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()} == {"Copy."}
 
 
+def test_deep_and_broken_pages():
+    for tag in ("div", "b", "p", "font", "li"):
+        text = f"<article>{f'<{tag}>' * 5000}deep <i>text</i>{f'</{tag}>' * 5000}<p>after</article><footer>no</footer>"
+        assert [b[2] for b in pages.blocks(text, "[]")] in (["deep text\nafter"], ["deep text", "after"])
+    for text in ("<", "<p", '<a href="x>y', "</p></p>", "<!-- ", "<script>", "&#xFFFFFF; &amp", "<p>\ud800"):
+        assert isinstance(pages.blocks(text, "[]"), list)
+
+
 def test_archives(spark, some_pages):
     folder = scratch_path(spark, "warc")
     files = warc.write_monolithic(warc.marked(some_pages), folder)
