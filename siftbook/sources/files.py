@@ -67,7 +67,7 @@ def read_concatenated(spark: SparkSession, path: str | list[str], schema: str) -
     parts = parts.withColumn("starts", opens & F.lag(closes).over(in_block)).withColumn("first_opens", F.when(F.col("starts").isNull(), opens)).withColumn("closes", closes)
     blocks = parts.groupBy(*place).agg(F.count_if("starts").alias("n"), F.max_by("closes", F.struct("at", "part")).alias("closes"), F.bool_or("first_opens").alias("opens"))
     in_file = W.partitionBy("file").orderBy("block")
-    begins = (F.col("opens") & F.coalesce(F.lag("closes").over(in_file), F.lit(True))).cast("long")
+    begins = (F.coalesce("opens", F.lit(False)) & F.coalesce(F.lag("closes").over(in_file), F.lit(True))).cast("long")
     blocks = blocks.withColumn("begins", begins)
     blocks = blocks.withColumn("record", F.sum(F.col("n") + F.col("begins")).over(in_file) - F.col("n")).select(*place, "record")
     so_far = F.count_if("starts").over(in_block.rowsBetween(W.unboundedPreceding, W.currentRow))
