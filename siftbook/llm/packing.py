@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import unicodedata
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 from siftbook.llm.batches import pieces
 from siftbook.session import stage
 
-#: Words whose ids are remembered by a task, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 800_000, 64
+#: Words whose ids a task remembers at most, those that it leaves to the next one, and the longest such word.
+CACHE_WORDS, KEPT_WORDS, CACHE_CHARS = 500_000, 200_000, 64
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space of the vocabulary's own splitter.
@@ -55,6 +56,11 @@ class WordIds:
     def _packed(encoding) -> bytes:
         return np.array(encoding.ids, "<u4").tobytes()
 
+    def trim(self) -> None:
+        """Keep the words met first, which are the frequent ones."""
+        if len(self.cache) > KEPT_WORDS:
+            self.cache = dict(itertools.islice(self.cache.items(), KEPT_WORDS))
+
     def _learn(self, words: list[str]) -> None:
         letters = [w for w in words if w.isalpha() and (w.isascii() or w == w.lower() and unicodedata.is_normalized("NFC", w))]
         spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in letters]
@@ -70,7 +76,8 @@ class WordIds:
             split.append(low.split() if not _SEPARATORS.search(low) else [w for w in _SPACE.split(low) if w])
             words.update(split[-1])
         if len(cache) > CACHE_WORDS:
-            cache.clear()
+            self.trim()
+            cache = self.cache
         new = words.difference(cache)
         ended = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]
         self._learn(list({w[:-1] for w in ended}.difference(cache) | new.difference(ended)))
@@ -115,6 +122,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+        ids.trim()
 
     return docs.select("doc_id", "text").mapInArrow(task, PIECE + (", ids array<int>" if with_ids else ""))
 

@@ -22,7 +22,7 @@ def term_words(text: str | None) -> list[bytes]:
 class Hashes(dict):
     """64-bit hashes of words, remembered for frequent words."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
