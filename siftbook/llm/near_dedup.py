@@ -203,8 +203,8 @@ def classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     table gives no rows.
     """
     rows = stage(signed(docs.select("doc_id", "text", F.md5("text").alias("text_key")), ["doc_id", "text_key"], size), "signatures")
-    first = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "signature")).alias("r"))
-    nodes = stage(first.select(F.monotonically_increasing_id().alias("node"), "digest", "r.*"), "nodes")
+    first = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "signature")).alias("r"), F.min("doc_id").alias("lowest"))
+    nodes = stage(first.select(F.monotonically_increasing_id().alias("node"), "digest", "lowest", "r.*"), "nodes")
     trees = regions(nodes)
     crowded = trees.groupBy("region").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1").drop("n")
     members = stage(trees.join(crowded, "region"), "regions")
@@ -228,10 +228,13 @@ def classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
         links = links.unionByName(found)
         if not found.isEmpty():
             groups = components(links)
-    whole = nodes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
+    # the lowest id of a class is found among its nodes, so no row of a large class travels for it
+    grouped = nodes.select("node", "lowest").join(groups, "node")
+    lowest = grouped.groupBy("component").agg(F.min("lowest").alias("_least"))
+    named = groups.join(lowest, "component").select("node", "_least")
+    whole = nodes.select("node", "digest", "lowest").join(named, "node", "left").select("digest", F.coalesce("_least", "lowest").alias("component_id"))
     joined = rows.select("doc_id", "n_shingles", "digest").join(whole, "digest", "left")
-    lowest = joined.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    out = joined.join(lowest, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    out = joined.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
