@@ -17,8 +17,10 @@ from siftbook.session import stage
 
 #: Hash functions of a signature, trees of the forest, and values that neighbours share at least.
 HASHES, TREES, DEPTH = 128, 32, 4
-#: Neighbours before a row in the sorted order of its region that it is compared with.
+#: Neighbours before a row in the sorted order of its region that it is first compared with.
 WINDOW = 256
+#: Nodes of a region that are compared in one piece; a larger region is compared part by part.
+TILE = 1024
 #: Equal signature values of a pair that is confirmed, and of one that is confirmed though its ends have better partners.
 #: A pair with similarity 0.75 has 96 on average, with a deviation of 5.
 AGREE, CLOSE = 64, 78
@@ -92,24 +94,21 @@ def _signs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
-def neighbours(placed: DataFrame, percent: int | None = None, most: int = 2) -> DataFrame:
+def neighbours(placed: DataFrame, most: int = 2) -> DataFrame:
     """Pairs of nodes that stand close in the sorted order of a region and are not in one class yet.
 
-    ``placed`` has region, node, class, the signature as its tree reads it, set size and short set.
-    Rows are sorted by region and signature, so the longest common prefixes are next to each other: a
-    crowded region is read as deep as its rows agree. Each row is compared with ``WINDOW`` rows
-    before it, which is everything in a region of that size. A row names its ``most`` best agreeing
-    partners or, with ``percent``, one in each other class whose set has that similarity; pairs whose
-    sets do not reach it never leave the task.
+    ``placed`` has region, node, class and the signature as its tree reads it. Rows are sorted by
+    region and signature, so the longest common prefixes are next to each other: a crowded region is
+    read as deep as its rows agree. Each row is compared with ``WINDOW`` rows before it and names its
+    ``most`` best agreeing partners. That joins most classes early; :func:`across` finds what is left.
     """
 
     def task(batches):
         tail = None
         for batch in batches:
             for piece in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                sets = np.array([np.frombuffer(x, np.uint32) for x in piece.column("short").to_pylist()] + [None], object)[:-1]
-                new = (*(piece.column(c).to_numpy() for c in ("region", "node", "class", "n")), sets, _signs(piece.column("ordered")))
-                region, node, group, size, sets, signs = new if tail is None else tuple(np.concatenate(x) for x in zip(tail, new, strict=True))
+                new = (*(piece.column(c).to_numpy() for c in ("region", "node", "class")), _signs(piece.column("ordered")))
+                region, node, group, signs = new if tail is None else tuple(np.concatenate(x) for x in zip(tail, new, strict=True))
                 begin = len(region) - len(new[0])
                 found = [np.zeros((3, 0), np.int64)]
                 for distance in range(1, min(WINDOW, len(region) - 1) + 1):
@@ -119,16 +118,72 @@ def neighbours(placed: DataFrame, percent: int | None = None, most: int = 2) ->
                         break
                     later = later[group[later] != group[later - distance]]
                     agree = (signs[later] == signs[later - distance]).sum(1)
-                    near = agree >= (AGREE if percent is None else CLOSE)
+                    near = agree >= AGREE
                     found.append(np.stack([later[near], later[near] - distance, agree[near]]))
                 pairs = np.concatenate(found, 1)
-                pairs = pairs[:, _best(pairs, most)] if percent is None else _linked(pairs, group, size, sets, percent)
+                pairs = pairs[:, _best(pairs, most)]
                 a, b = node[pairs[0]], node[pairs[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-                tail = tuple(x[-WINDOW:] for x in (region, node, group, size, sets, signs))
+                tail = tuple(x[-WINDOW:] for x in (region, node, group, signs))
 
     rows = placed.repartitionByRange(F.col("region"), F.col("ordered")).sortWithinPartitions("region", "ordered", "node")
-    return rows.select("region", "node", "class", "n", "short", "ordered").mapInArrow(task, "a long, b long").distinct()
+    return rows.select("region", "node", "class", "ordered").mapInArrow(task, "a long, b long").distinct()
+
+
+def tiled(placed: DataFrame) -> DataFrame:
+    """The rows of ``placed`` (region, node, class) for each tile they are compared in: low, high and own.
+
+    A region of up to ``TILE`` nodes is one tile. In a larger one, the nodes of its largest class and
+    all others are dealt into parts of about ``TILE`` nodes; a tile is two parts, and each two parts
+    meet but those that both are of the largest class. So all pairs of nodes in different classes
+    meet, and a crowd that is one class but for a few nodes is not copied.
+    """
+    sizes = placed.groupBy("region", "class").agg(F.count("*").alias("n"))
+    large = sizes.groupBy("region").agg(F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("most"))
+    parts = large.select("region", "all", F.col("most.class").alias("major"), F.ceil(F.col("most.n") / TILE).alias("m"), F.ceil((F.col("all") - F.col("most.n")) / TILE).alias("k"))
+    at, small, major = F.xxhash64("node"), F.col("all") <= TILE, F.col("class") == F.col("major")
+    own = F.when(small, F.lit(0)).when(major, F.col("k") + F.pmod(at, F.col("m"))).otherwise(F.pmod(at, F.col("k")))
+    last = F.when(small, F.lit(0)).when(major, F.col("k") - 1).otherwise(F.col("k") + F.col("m") - 1)
+    met = placed.join(parts, "region").withColumn("own", own.cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return met.select(*placed.columns, "own", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"))
+
+
+def across(tiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes in different classes whose short sets have the similarity, from all pairs of a tile.
+
+    ``tiles`` has tree, signature, set size and short set besides what :func:`tiled` gives. A pair is
+    compared in the first tree whose region both are in. A row names one node of each other class.
+    """
+    names = ("region", "low", "high", "own", "tree", "node", "class", "n")
+
+    def task(batches):
+        tail = None
+        for batch in batches:
+            for piece in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                sets = np.array([np.frombuffer(x, np.uint32) for x in piece.column("short").to_pylist()] + [None], object)[:-1]
+                new = (*(piece.column(c).to_numpy() for c in names), sets, _signs(piece.column("signature")))
+                held = new if tail is None else tuple(np.concatenate(x) for x in zip(tail, new, strict=True))
+                region, low, high, own, tree, node, group, size, sets, signs = held
+                keys, begin = signs.view(np.uint64), len(region) - len(new[0])
+                starts = np.flatnonzero(np.r_[True, (region[1:] != region[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+                first = np.repeat(starts, np.diff(np.r_[starts, len(region)]))
+                found = [np.zeros((2, 0), np.int64)]
+                later = np.arange(begin, len(region))
+                for distance in range(1, len(region)):
+                    later = later[later - distance >= first[later]]
+                    if not len(later):
+                        break
+                    b = later[(group[later] != group[later - distance]) & ((own[later] != own[later - distance]) | (low[later] == high[later]))]
+                    b = b[(keys[b] == keys[b - distance]).argmax(1) == tree[b]]
+                    b = b[(signs[b] == signs[b - distance]).sum(1) >= CLOSE]
+                    found.append(np.stack([b, b - distance]))
+                pairs = _linked(np.concatenate(found, 1), group, size, sets, percent)
+                a, b = node[pairs[0]], node[pairs[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                tail = tuple(x[starts[-1] :] for x in held)  # the tile that may go on
+
+    rows = tiles.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high")
+    return rows.select(*names, "short", "signature").mapInArrow(task, "a long, b long").distinct()
 
 
 def _best(pairs: np.ndarray, most: int) -> np.ndarray:
@@ -196,8 +251,8 @@ def classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
 
     Texts with equal sets are one node. In each region of each tree all nodes are held against the
     lowest one; then, in regions that still hold several classes, against their best few neighbours in
-    sorted order, and what is still apart against all ``WINDOW`` of them by sets. Only pairs
-    that exact sets confirm count. Empty texts are linked with nothing; a row with a null id is in a
+    sorted order; what is still apart is compared with all nodes of other classes in the region by
+    sets, whatever its size. Only pairs that exact sets confirm count. Empty texts are linked with nothing; a row with a null id is in a
     class by its text, but names none: if all ids of a class are null, so is component_id, and the
     row is kept. Repeated rows have one class, and each of those with its lowest id is kept. An empty
     table gives no rows.
@@ -216,13 +271,17 @@ def classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     checked = stage(agreeing(pairs, nodes), "pairs")
     links = stage(confirmed(checked, sets, percent), "links")
     groups = components(links)
-    for exactly in (None, percent):
+    for early in (True, False):
         placed = members.join(groups, "node", "left").select("region", "node", "tree", F.coalesce("component", "node").alias("class"))
         mixed = placed.groupBy("region").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("region")
-        # the signature as the tree reads it
-        ordered = F.expr(f"concat(substring(signature, 1 + tree * {2 * DEPTH}), substring(signature, 1, tree * {2 * DEPTH}))")
-        turned = placed.join(mixed, "region").join(nodes.select("node", "signature"), "node").join(sets.select("node", "n", "short"), "node")
-        new = stage(neighbours(turned.withColumn("ordered", ordered), exactly).join(checked, ["a", "b"], "left_anti"), "pairs")
+        placed, signs = placed.join(mixed, "region"), nodes.select("node", "signature")
+        if early:
+            # the signature as the tree reads it
+            ordered = F.expr(f"concat(substring(signature, 1 + tree * {2 * DEPTH}), substring(signature, 1, tree * {2 * DEPTH}))")
+            new = neighbours(placed.join(signs, "node").withColumn("ordered", ordered))
+        else:
+            new = across(tiled(stage(placed, "apart")).join(signs, "node").join(sets.select("node", "n", "short"), "node"), percent)
+        new = stage(new.join(checked, ["a", "b"], "left_anti"), "pairs")
         found = stage(confirmed(new, sets, percent), "links")
         checked = checked.unionByName(new)
         links = links.unionByName(found)

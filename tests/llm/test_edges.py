@@ -100,6 +100,17 @@ def test_near_copies_in_a_crowd(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(parent))
 
 
+def test_a_pair_in_a_crowd_of_near_misses(spark, monkeypatch):
+    """Many documents that share a passage, none similar enough, and planted pairs that are: all are found, beyond any window."""
+    monkeypatch.setattr(near_dedup, "WINDOW", 4)
+    monkeypatch.setattr(near_dedup, "TILE", 32, raising=False)
+    shared = " ".join(f"s{i}" for i in range(100))
+    own = [" ".join(f"d{k}x{i}" for i in range(18)) for k in range(240)]
+    texts = [f"{shared} {o}" for o in own] + [f"{shared} {' '.join(own[k].split()[:3])} {' '.join(f'p{k}x{i}' for i in range(15))}" for k in range(0, 240, 4)]
+    rows = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i if i < 240 else 4 * (i - 240) for i in range(300)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(300)]
     edges = spark.createDataFrame([*chain, (1000, 1001), (1001, 1000), (5, 5), (7, None)], "a long, b long")
