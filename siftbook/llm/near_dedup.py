@@ -149,21 +149,21 @@ def tiled(placed: DataFrame) -> DataFrame:
 
 
 def across(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes in different classes whose short sets have the similarity, from all pairs of a tile.
+    """Pairs of nodes in different classes whose whole sets have the similarity, from all pairs of a tile.
 
-    ``tiles`` has tree, signature, set size and short set besides what :func:`tiled` gives. A pair is
+    ``tiles`` has tree, signature and set besides what :func:`tiled` gives. A pair is
     compared in the first tree whose region both are in. A row names one node of each other class.
     """
-    names = ("region", "low", "high", "own", "tree", "node", "class", "n")
+    names = ("region", "low", "high", "own", "tree", "node", "class")
 
     def task(batches):
         tail = None
         for batch in batches:
             for piece in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                sets = np.array([np.frombuffer(x, np.uint32) for x in piece.column("short").to_pylist()] + [None], object)[:-1]
+                sets = np.array([np.frombuffer(x, np.uint64) for x in piece.column("shingles").to_pylist()] + [None], object)[:-1]
                 new = (*(piece.column(c).to_numpy() for c in names), sets, _signs(piece.column("signature")))
                 held = new if tail is None else tuple(np.concatenate(x) for x in zip(tail, new, strict=True))
-                region, low, high, own, tree, node, group, size, sets, signs = held
+                region, low, high, own, tree, node, group, sets, signs = held
                 keys, begin = signs.view(np.uint64), len(region) - len(new[0])
                 starts = np.flatnonzero(np.r_[True, (region[1:] != region[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
                 first = np.repeat(starts, np.diff(np.r_[starts, len(region)]))
@@ -177,13 +177,13 @@ def across(tiles: DataFrame, percent: int) -> DataFrame:
                     b = b[(keys[b] == keys[b - distance]).argmax(1) == tree[b]]
                     b = b[(signs[b] == signs[b - distance]).sum(1) >= CLOSE]
                     found.append(np.stack([b, b - distance]))
-                pairs = _linked(np.concatenate(found, 1), group, size, sets, percent)
+                pairs = _linked(np.concatenate(found, 1), group, np.array([len(x) for x in sets]), sets, percent)
                 a, b = node[pairs[0]], node[pairs[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
                 tail = tuple(x[starts[-1] :] for x in held)  # the tile that may go on
 
     rows = tiles.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high")
-    return rows.select(*names, "short", "signature").mapInArrow(task, "a long, b long").distinct()
+    return rows.select(*names, "shingles", "signature").mapInArrow(task, "a long, b long").distinct()
 
 
 def _best(pairs: np.ndarray, most: int) -> np.ndarray:
@@ -197,10 +197,7 @@ def _best(pairs: np.ndarray, most: int) -> np.ndarray:
 
 
 def _linked(pairs: np.ndarray, group: np.ndarray, size: np.ndarray, sets: np.ndarray, percent: int) -> np.ndarray:
-    """Of the pairs that reach the similarity by their short sets, one for each row and class.
-
-    Short sets keep 32 bits of a hash: at most they miss one common shingle that another hides.
-    """
+    """Of the pairs whose sets reach the similarity, one for each row and class."""
     pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
     kept = []
     for rows in np.split(np.arange(pairs.shape[1]), np.flatnonzero(np.diff(pairs[0])) + 1):
@@ -210,7 +207,7 @@ def _linked(pairs: np.ndarray, group: np.ndarray, size: np.ndarray, sets: np.nda
         joined, lengths = np.concatenate([sets[o] for o in others]), np.array([len(sets[o]) for o in others])
         at = np.searchsorted(sets[row], joined)
         same = sets[row][np.minimum(at, len(sets[row]) - 1)] == joined
-        common = np.add.reduceat(same.astype(np.int64), np.cumsum(lengths) - lengths) + 1
+        common = np.add.reduceat(same.astype(np.int64), np.cumsum(lengths) - lengths)
         linked = rows[100 * common >= percent * (size[row] + size[others] - common)]
         kept.append(linked[np.unique(group[pairs[1][linked]], return_index=True)[1]])
     return pairs[:, np.concatenate(kept)] if kept else pairs[:, :0]
@@ -278,12 +275,10 @@ def classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
         if early:
             # the signature as the tree reads it
             ordered = F.expr(f"concat(substring(signature, 1 + tree * {2 * DEPTH}), substring(signature, 1, tree * {2 * DEPTH}))")
-            new = neighbours(placed.join(signs, "node").withColumn("ordered", ordered))
+            near = neighbours(placed.join(signs, "node").withColumn("ordered", ordered))
+            found = stage(confirmed(stage(near.join(checked, ["a", "b"], "left_anti"), "pairs"), sets, percent), "links")
         else:
-            new = across(tiled(stage(placed, "apart")).join(signs, "node").join(sets.select("node", "n", "short"), "node"), percent)
-        new = stage(new.join(checked, ["a", "b"], "left_anti"), "pairs")
-        found = stage(confirmed(new, sets, percent), "links")
-        checked = checked.unionByName(new)
+            found = stage(across(tiled(stage(placed, "apart")).join(signs, "node").join(sets, "node"), percent), "links")
         links = links.unionByName(found)
         if not found.isEmpty():
             groups = components(links)
@@ -304,12 +299,9 @@ def _sets(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
     def fn(piece: pa.RecordBatch) -> dict[str, list]:
         sets = [shingles(spaced_words(t), hashes, size) for t in piece.column("text").to_pylist()]
         return {
-            "n": [len(s) for s in sets],
             "shingles": [s.tobytes() for s in sets],
-            "short": [np.unique(s.astype(np.uint32)).tobytes() for s in sets],
         }
 
     texts = docs.select(F.col("doc_id").alias("_id"), "text", F.md5("text").alias("_key"))
     found = texts.join(named, texts["_id"].eqNullSafe(named["doc_id"]) & (texts["_key"] == named["text_key"])).select("node", "text").dropDuplicates(["node"])
-    fields = [T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("short", T.BinaryType())]
-    return mapped(found, "text", fields, fn, keep=["node"])
+    return mapped(found, "text", [T.StructField("shingles", T.BinaryType())], fn, keep=["node"])

@@ -111,6 +111,17 @@ def test_a_pair_in_a_crowd_of_near_misses(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in rows} == {i: i if i < 240 else 4 * (i - 240) for i in range(300)}
 
 
+def test_a_near_miss_does_not_hide_a_link():
+    """A row's first partner of a class is one shingle short, the next of that class is similar enough."""
+    import numpy as np
+
+    sets = np.empty(3, object)
+    sets[:] = [np.arange(k, k + 20, dtype=np.uint64) for k in (0, 3, 2)]
+    sizes, group = np.array([20, 20, 20]), np.array([0, 7, 7])
+    pairs = np.array([[0, 0], [1, 2], [100, 100]])
+    assert near_dedup._linked(pairs, group, sizes, sets, 75)[:2].T.tolist() == [[0, 2]]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(300)]
     edges = spark.createDataFrame([*chain, (1000, 1001), (1001, 1000), (5, 5), (7, None)], "a long, b long")
