@@ -29,10 +29,10 @@ HIDDEN = frozenset("head title script style template noscript iframe object embe
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words in class, id or role of blocks that are not the article.
+#: Whole names in class, id or role of blocks that are not the article, unless they hold it.
 ROLES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsored|promo|banner|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|"
-    r"comments?|disqus|replies|notice|notices|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|share|social|related|toolbar|pagination|login|search)(?=$|[\s_-])",
+    r"(?:^|\s)(?:ads?|adverts?|advertisement|sponsored|promo|banner|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|"
+    r"comments?|disqus|replies|notice|notices|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|share|social|related|toolbar|pagination|login|search)(?=$|\s)",
     re.I,
 )
 
@@ -41,7 +41,7 @@ _TOKEN = re.compile(
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_NAMED = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 class Node:
@@ -52,6 +52,8 @@ class Node:
         if attributes and ("=" in attributes or "hidden" in attributes):
             for key, a, b, c in _NAMED.findall(attributes):
                 key, value = key.lower(), a or b or c
+                if key not in ("class", "id", "role", "itemprop", "hidden"):
+                    continue
                 if key == "hidden":
                     self.role = "hidden"
                 elif key == "class":
@@ -63,6 +65,11 @@ class Node:
                         self.role = "aside"
 
 
+def _holds_main(node: Node) -> bool:
+    """Whether an article stands below a node."""
+    return any(c.__class__ is not str and c.role != "hidden" and c.tag not in HIDDEN and (c.role == "main" or _holds_main(c)) for c in node.children)
+
+
 def parse(text: str) -> Node:
     """A lenient tree: unclosed elements end where the next block, item or the parent's end ends them.
 
@@ -157,7 +164,7 @@ def skeleton(node: Node, main: bool = False, in_aside: bool = False) -> list[Lea
                     read(child, in_link or child.tag == "a")
             else:
                 close()
-                aside = child.role == "aside" and not (main and child.tag == "header")
+                aside = child.role == "aside" and not (main and child.tag == "header") and not _holds_main(child)
                 heading = child.tag in ("h1", "h2", "h3")
                 below = skeleton(child, main or child.role == "main", aside or (in_aside and not heading) or (main and child.tag == "header"))
                 label = f"{child.tag}.{child.name}"

@@ -213,6 +213,16 @@ def test_constant_blocks_of_a_host_are_template(spark):
     assert {r.text for r in pages.extracted(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()} == {"Copy."}
 
 
+def test_names_do_not_hide_the_article():
+    """Names that only contain a telling word, words in other attributes, and marked blocks that hold the article."""
+    for page in (
+        '<div class="content with-sidebar"><article><p>Own.</p></article></div>', '<div class="sidebar"><main><p>Own.</p></main></div>', '<article><div class="article-header"><h1>Own.</h1></div></article>',
+        '<article><div style="overflow:hidden"><p>Own.</p></div></article>', '<article><p aria-hidden="false">Own.</p></article>', '<article><p data-class="menu">Own.</p></article>',
+        '<article><p>Own.</p><div hidden>no</div><div class="share">no</div></article><div class="a sidebar"><p>no</p></div>',
+    ):
+        assert [b[2] for b in pages.blocks(page, "[]")] == ["Own."], page
+
+
 def test_deep_and_broken_pages():
     for tag in ("div", "b", "p", "font", "li"):
         text = f"<article>{f'<{tag}>' * 5000}deep <i>text</i>{f'</{tag}>' * 5000}<p>after</article><footer>no</footer>"
