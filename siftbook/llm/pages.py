@@ -254,7 +254,7 @@ BLOCKS = [T.StructField("blocks", T.ArrayType(T.StructType([
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url and the main text of each page (``page_id``, ``url``, ``html``), '' if there is none.
 
-    One page of each host, picked by hash, is the seed. All pages are aligned with their host's seed.
+    One page of each host with text outside its tags, picked by hash, is the seed. All pages are aligned with their host's seed.
     A block that at least ``CONSTANT`` of the aligned pages share with the seed is template; copies of
     the seed are no evidence, and fewer than ``LEAST_PAGES`` others leave all blocks. Blocks that vary
     or that the seed does not have are content. What elements and class names mark as menu, header,
@@ -266,7 +266,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     """
     page = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", page.alias("text"), F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"), F.xxhash64(page).alias("_key"))
-    picked = stage(rows.groupBy("host").agg(F.min("_key").alias("_key")), "seeds")
+    lowest = F.min(F.struct((~F.col("text").rlike(r"(^|>)\s*[^<\s]")).alias("blank"), "_key"))
+    picked = stage(rows.groupBy("host").agg(lowest.alias("r")).select("host", "r._key"), "seeds")
     seeds = rows.join(picked, ["host", "_key"]).select("host", "_key", "text").dropDuplicates(["host"])
     seeds = mapped(seeds, "text", [T.StructField("seed", T.StringType())], lambda b: {"seed": [json.dumps(plain(skeleton(parse(t)))) for t in b.column("text").to_pylist()]}, keep=["host", "_key"])
     seeds = stage(seeds.withColumnRenamed("_key", "_seed_key"), "seeds")

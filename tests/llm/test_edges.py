@@ -213,6 +213,13 @@ def test_constant_blocks_of_a_host_are_template(spark):
     assert {r.text for r in pages.extracted(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()} == {"Copy."}
 
 
+def test_blank_pages_are_no_seed(spark):
+    made = [(i, f"http://h{i % 8}.example/{i}", f"<body><div><p>Always here.</p></div><div><h2>Head {i}</h2><p>Own text {i}.</p></div></body>") for i in range(48)]
+    blank = [(100 + i, f"http://h{i % 8}.example/", (None, "", " \t")[i % 3]) for i in range(24)]
+    rows = pages.extracted(spark.createDataFrame(made + blank, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == {i: f"Head {i}\nOwn text {i}." for i in range(48)} | {100 + i: "" for i in range(24)}
+
+
 def test_names_do_not_hide_the_article():
     """Names that only contain a telling word, words in other attributes, and marked blocks that hold the article."""
     for page in (
