@@ -256,8 +256,9 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     One page of each host with text outside its tags, picked by hash, is the seed. All pages are aligned with their host's seed.
     A block that at least ``CONSTANT`` of the aligned pages share with the seed is template; copies of
-    the seed are no evidence, and fewer than ``LEAST_PAGES`` others leave all blocks. Blocks that vary
-    or that the seed does not have are content. What elements and class names mark as menu, header,
+    the seed are no evidence, and fewer than ``LEAST_PAGES`` others leave all blocks. So is the text of
+    a single block that this share of the host's different pages has, also inside a run that varies or
+    where the seed lacks it. Other blocks that vary or that the seed does not have are content. What elements and class names mark as menu, header,
     footer, notice, form, advert or comment is never content.
 
     Pages without a host share one wrapper. Null pages are empty; repeated rows stay. Pages are parsed
@@ -277,12 +278,20 @@ def extracted(pages: DataFrame) -> DataFrame:
         both = zip(piece.column("text").to_pylist(), piece.column("seed").to_pylist(), strict=True)
         return {"blocks": [[dict(zip(("slot", "same", "text"), b, strict=True)) for b in blocks(t, s)] for t, s in both]}
 
-    aligned = stage(mapped(aligned, "text", BLOCKS, fn, keep=["page_id", "url", "host", "copy"], extra=["seed"]), "blocks")
+    aligned = stage(mapped(aligned, "text", BLOCKS, fn, keep=["page_id", "url", "host", "copy", "_key"], extra=["seed"]), "blocks")
     slots = aligned.filter("NOT copy").select("host", F.explode(F.expr("filter(blocks, b -> b.slot IS NOT NULL)")).alias("b"))
     counts = slots.groupBy("host", "b.slot").agg(F.count("*").alias("n"), F.sum(F.col("b.same").cast("long")).alias("same"))
     constant = counts.filter((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("n")))
-    wrappers = stage(constant.groupBy("host").agg(F.collect_set("slot").alias("template")), "wrappers")
+    templates = constant.groupBy("host").agg(F.collect_set("slot").alias("template"))
+    # single blocks of a run, and those the seed does not have: their share of the host's different pages
+    lines = F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.transform(F.split(b["text"], "\n"), lambda t: F.xxhash64(t)))))
+    filled = aligned.filter("size(blocks) > 0")
+    shared = filled.select("host", "_key", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count_distinct("_key").alias("same"))
+    totals = filled.groupBy("host").agg(F.count_distinct("_key").alias("n"))
+    everywhere = shared.filter(F.col("same") > LEAST_PAGES).join(totals, "host").filter(F.col("same") >= CONSTANT * F.col("n"))
+    wrappers = stage(templates.join(everywhere.groupBy("host").agg(F.collect_set("line").alias("lines")), "host", "full"), "wrappers")
     # a page's own share of the wrapper: blocks at a template's place with the template's text
     content = F.expr("filter(blocks, b -> NOT (b.same AND coalesce(array_contains(template, b.slot), false)))")
-    text = F.array_join(F.transform(content, lambda b: b["text"]), "\n")
+    texts = F.flatten(F.transform(content, lambda b: F.split(b["text"], "\n")))
+    text = F.array_join(F.filter(texts, lambda t: ~F.coalesce(F.array_contains("lines", F.xxhash64(t)), F.lit(False))), "\n")
     return aligned.join(wrappers, "host", "left").select("page_id", "url", text.alias("text"))

@@ -220,6 +220,13 @@ def test_blank_pages_are_no_seed(spark):
     assert {r.page_id: r.text for r in rows} == {i: f"Head {i}\nOwn text {i}." for i in range(48)} | {100 + i: "" for i in range(24)}
 
 
+def test_constant_lines_beside_paragraphs_are_template(spark):
+    made = [(i, f"http://h.example/{i}", f"<body><div><p>Own {i}.</p><p>More of {i}.</p><p>Licensed to all.</p></div></body>") for i in range(20)]
+    made.append((20, "http://h.example/20", "<body><div><p>Page lost.</p></div></body>"))
+    rows = pages.extracted(spark.createDataFrame(made, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == {i: f"Own {i}.\nMore of {i}." for i in range(20)} | {20: "Page lost."}
+
+
 def test_names_do_not_hide_the_article():
     """Names that only contain a telling word, words in other attributes, and marked blocks that hold the article."""
     for page in (
