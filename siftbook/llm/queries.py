@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftbook.llm import classifier, decontamination, language, licenses, near_dedup, packing, pages, quality, sharding, warc
+from siftbook.llm import classifier, decontamination, language, licenses, near_dedup, packing, pages, quality, sharding, substrings, warc
 from siftbook.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,19 @@ FROM firsts"""
 @query
 def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extracted(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = substrings.remove_repeats(table(spark, folder, "documents"), keep=["doc_id"])
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op13_substring_dedup"] = rf"""
+WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{SPACED}'), []) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS passage FROM words, range(1, len(w) - 48) r(i)),
+later AS (SELECT doc_id, i FROM windows QUALIFY doc_id > min(doc_id) OVER (PARTITION BY passage)),
+covered AS (SELECT DISTINCT doc_id, i + k AS place FROM later, range(0, 50) s(k)),
+lists AS (SELECT doc_id, list(place) AS gone FROM covered GROUP BY doc_id),
+kept AS (SELECT doc_id, w, list_filter(w, lambda x, place: NOT list_contains(coalesce(gone, []), place)) AS stay FROM words LEFT JOIN lists USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(stay) AS BIGINT) AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept"""
