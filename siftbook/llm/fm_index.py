@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 #: Words and ends of an index; three ranks of 21 bits fit one sort key.
-INDEX_WORDS = 1 << 19
+INDEX_WORDS = 1 << 20
+#: Windows that one query goes through; longer texts are several queries.
+LONGEST = 40
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -14,27 +16,27 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     n_ends = int(ends.sum())
     rank = np.where(ends, np.cumsum(ends), symbols + n_ends)
     ahead = np.concatenate([rank, np.zeros(2, np.int64)])
-    rank, covered = _ranked((ahead[:n] << 42) | (ahead[1 : n + 1] << 21) | ahead[2:]), 3
-    while (top := int(rank.max(initial=0))) < n:
-        later = np.zeros(n, np.int64)
-        later[:-covered] = rank[covered:]
-        rank, covered = _ranked(rank * (top + 1) + later), 2 * covered
+    keys = (ahead[:n] << 42) | (ahead[1 : n + 1] << 21) | ahead[2:]
+    open_, rank, covered = np.arange(n), np.zeros(n, np.int64), 3
+    while len(open_):
+        # the suffixes that still share a rank, which is the lowest place of their group
+        by = np.lexsort((keys, rank[open_])) if covered > 3 else np.argsort(keys)
+        open_, keys = open_[by], keys[by]
+        group = rank[open_]
+        new_group, new_key = np.ones(len(open_), bool), np.ones(len(open_), bool)
+        new_group[1:] = group[1:] != group[:-1]
+        new_key[1:] = new_group[1:] | (keys[1:] != keys[:-1])
+        place = np.arange(len(open_))
+        lead = np.maximum.accumulate(np.where(new_key, place, 0))
+        rank[open_] = group + lead - np.maximum.accumulate(np.where(new_group, place, 0))
+        alone = new_key & np.append(new_key[1:], True)
+        open_ = open_[~alone]
+        keys, covered = rank[np.minimum(open_ + covered, n - 1)], 2 * covered
     order = np.empty(n, np.int64)
-    order[rank - 1] = np.arange(n)
+    order[rank] = np.arange(n)
     return order
 
 
-def _ranked(keys: np.ndarray) -> np.ndarray:
-    """Ranks from 1; equal keys share one."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.ones(len(keys), np.int64)
-    new[1:] = ordered[1:] != ordered[:-1]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(new)
-    return rank
-
-
 class WaveletMatrix:
     """A sequence as one bit row for each binary digit, most significant first, with counts for ranks."""
 
@@ -107,37 +109,45 @@ class FMIndex:
 def earlier_matches(index: FMIndex, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, from, to) of the stretches that a text with a lower owner holds as well, in matches of at least ``least`` words.
 
-    Query i is ``symbols[begin[i]:end[i]]``. All queries move together, one backward step at a time. A
-    match of a long stretch settles all windows in it. Where a window breaks off at some word, no
-    window with that word and all that follow up to the window's end matches, so the next one begins
-    behind it. After a match the next stretch is longer, after a miss it is shorter.
+    Query i is ``symbols[begin[i]:end[i]]``. All queries move together, one backward step at a time, from
+    the end of a stretch to its begin. Where the whole rest of a query breaks off, what matched behind the
+    break is settled, and other windows that begin before it end before the rest does. Where a single
+    window breaks off at some word, no window with that word and all that follow up to the window's end
+    matches, so the next one begins behind it. After a match the next stretch is longer, else shorter.
     """
-    query = np.flatnonzero(end - begin >= least)
-    end, own = end[query], owner[query]
-    p = begin[query].copy()
+    pieces = np.maximum(-(-(end - begin - least + 1) // LONGEST), 0)
+    query = np.repeat(np.arange(len(begin)), pieces)
+    p = begin[query] + LONGEST * (np.arange(len(query)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    end, own = np.minimum(end[query], p + LONGEST - 1 + least), owner[query]
     more = end - p - least  # words beyond the window that are tried with it
-    at = p + least + more
+    whole = np.ones(len(query), bool)
+    at = end.copy()
     low, high = np.zeros(len(query), np.int64), np.full(len(query), index.size, np.int64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(query):
         low, high = index.extend(symbols[at - 1], low, high)
         holds = index.lowest_owner(low, high) < own
         at = at - holds
-        done, missed = holds & (at == p), ~holds
-        if done.any():
-            out.append((query[done], p[done], (p + least + more)[done]))
-        if not (done | missed).any():
+        fresh = ~holds | (at == p)
+        if not fresh.any():
             continue
-        # a miss of a bare window goes on behind the word it broke off at
-        p = np.where(done, p + more + 1, np.where(missed & (more == 0), at, p))
-        more = np.where(done, 2 * more + 1, np.where(missed, more // 2, more))
-        more = np.where(done | missed, np.minimum(more, end - p - least), more)
-        fresh = done | missed
+        done, stop = fresh & holds, p + least + more
+        tail = fresh & ~holds & whole & (stop - at >= least)
+        settled = done | tail
+        if settled.any():
+            out.append((query[settled], at[settled], stop[settled]))
+        bare = fresh & ~holds & (more == 0)
+        end = np.where(tail, np.minimum(stop - 1, at - 1 + least), end)
+        p = np.where(done, p + more + 1, np.where(bare, at, p))
+        rest = end - p - least
+        more = np.where(done, np.where(whole, 0, 2 * more + 1), np.where(fresh, np.where(tail, rest, np.where(whole, 0, more // 2)), more))
+        more = np.minimum(more, rest)
+        whole = tail | (whole & ~fresh)
         at = np.where(fresh, p + least + more, at)
         low, high = np.where(fresh, 0, low), np.where(fresh, index.size, high)
-        going = more >= 0
+        going = rest >= 0
         if not going.all():
-            query, end, own, p, more, at, low, high = (x[going] for x in (query, end, own, p, more, at, low, high))
+            query, end, own, p, more, whole, at, low, high = (x[going] for x in (query, end, own, p, more, whole, at, low, high))
     if not out:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))

@@ -12,58 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftbook.llm.batches import mapped, pieces
 from siftbook.llm.fm_index import INDEX_WORDS, FMIndex, earlier_matches
-from siftbook.llm.words import Hashes, Numbers
+from siftbook.llm.word_runs import Runs, Words, lowest
 from siftbook.session import stage
 
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _IDENTITY = ["doc_id", "th"]
-
-
-class Runs:
-    """Hashes of word runs of any length, from two running sums over the words' hashes."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.powers, self.sums = [], []
-        for base in _MULTIPLIERS:
-            power = np.full(len(hashes) + 1, base, np.uint64)
-            power[0] = 1
-            np.cumprod(power, out=power)
-            # base ** -i, so that a sum between two places does not depend on where they are
-            inverse = np.full(len(hashes), pow(base, -1, 1 << 64), np.uint64)
-            inverse[:1] = 1
-            self.powers.append(power)
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * np.cumprod(inverse))]))
-            hashes = hashes * np.uint64(base) + (hashes >> np.uint64(29))
-
-    def of(self, begin: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        h = (self.sums[which][end] - self.sums[which][begin]) * self.powers[which][begin]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(29))
-
-
-def _lowest(values: np.ndarray, width: int) -> np.ndarray:
-    """Lowest of each ``width`` neighbours."""
-    held, have = values, 1
-    while 2 * have <= width:
-        held, have = np.minimum(held[: len(held) - have], held[have:]), 2 * have
-    rest = width - have
-    return np.minimum(held[: len(held) - rest], held[rest:]) if rest else held
-
-
-def fragments_of(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, windows, key, fingerprint) of the fragments of one text with at least one window."""
-    runs, n = Runs(hashes), len(hashes) - window + 1
-    starts = np.arange(len(hashes) - gram + 1)
-    lowest = _lowest(runs.of(starts, starts + gram, 0), window - gram + 1)
-    first = np.flatnonzero(np.concatenate([[True], lowest[1:] != lowest[:-1]]))
-    size = np.diff(np.append(first, n))
-    return first, size, lowest[first], runs.of(first, first + size + window - 1, 1)
+PIECE_BYTES = 4 << 20
 
 
 def _fragments(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -73,49 +33,51 @@ def _fragments(docs: DataFrame, window: int, gram: int) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(c, T.LongType()) for c in ("th", "start", "n", "key", "mark"))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                owners, found = [], []
-                spans = piece.column("spans").to_pylist() if spanned else [None] * piece.num_rows
-                for row, (text, own) in enumerate(zip(piece.column("text").to_pylist(), spans, strict=True)):
-                    words = _words(text)
-                    if len(words) < window:
-                        continue
-                    whole = hashes.of(words)
-                    for begin, end in [(0, len(words))] if own is None else [(s["start"], s["start"] + s["n"] + window - 1) for s in own]:
-                        first, size, key, mark = fragments_of(whole[begin:end], window, gram)
-                        owners.append(np.full(len(first), row))
-                        found.append((first + begin, size, key.view(np.int64), mark.view(np.int64)))
-                if found:
-                    taken = piece.select(_IDENTITY).take(pa.array(np.concatenate(owners)))
-                    yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], schema.names)
+            for piece in pieces(batch, "text", size=PIECE_BYTES):
+                words = Words(piece.column("text"))
+                open_ = np.arange(len(words.row)) + window <= words.first[words.row + 1]
+                if spanned:
+                    inside = np.zeros(len(open_), bool)
+                    for first, own in zip(words.first.tolist(), piece.column("spans").to_pylist()):  # noqa: B905
+                        for span in own:
+                            inside[first + span["start"] : first + span["start"] + span["n"]] = True
+                    open_ &= inside
+                at = np.flatnonzero(open_)
+                if not len(at):
+                    continue
+                runs, grams = Runs(words.hashes()), np.arange(len(open_) - gram + 1)
+                least = lowest(runs.of(grams, grams + gram, 0), window - gram + 1)[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(at) > 1) | (least[1:] != least[:-1]) | (np.diff(words.row[at]) > 0)
+                new = np.flatnonzero(new)
+                size, first = np.diff(np.append(new, len(at))), at[new]
+                taken = piece.select(_IDENTITY).take(pa.array(words.row[first]))
+                columns = (first - words.first[words.row[first]], size, least[new].view(np.int64), runs.of(first, first + size + window - 1, 1).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*taken.columns, *map(pa.array, columns)], schema.names)
 
     return docs.select("doc_id", "th", "text", *["spans"] * spanned).mapInArrow(task, schema)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
 def _texts(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """(key, mark, first_doc, words) of the wanted fragments (key, mark, rep), cut from whole documents."""
+    """(key, mark, first_doc, text) of the wanted fragments (key, mark, rep), cut from whole documents."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = F.struct("rep.start", "rep.n", "key", "mark")
     lists = wanted.groupBy("rep.doc_id", "rep.th").agg(F.collect_set(cut).alias("cuts"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text", 256):
-                rows: list[tuple] = []
-                for doc, text, cuts in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "text", "cuts")), strict=True):
-                    words = _words(text)
-                    rows += [(c["key"], c["mark"], doc, b" ".join(words[c["start"] : c["start"] + c["n"] + window - 1])) for c in cuts]
-                arrays = zip(*rows, strict=True) if rows else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(arrays, (pa.int64(), pa.int64(), piece.schema.field("doc_id").type, pa.binary()), strict=True)], ["key", "mark", "first_doc", "words"])
+            for piece in pieces(batch, "text", size=PIECE_BYTES):
+                words, cuts = Words(piece.column("text")), piece.column("cuts")
+                row = np.repeat(np.arange(len(cuts)), pc.list_value_length(cuts).to_numpy())
+                start, n, key, mark = (x for x in cuts.flatten().flatten())
+                first = words.first[row] + start.to_numpy()
+                low, high = words.begin[first], words.stop[first + n.to_numpy() + window - 2]
+                data = words.data.tobytes()
+                yield pa.RecordBatch.from_arrays([key, mark, piece.column("doc_id").take(pa.array(row)), pa.array([data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())], ["key", "mark", "first_doc", "text"])
 
     joined = docs.join(lists, _IDENTITY).select("doc_id", "text", "cuts")
-    return joined.mapInArrow(task, f"key long, mark long, first_doc {kind}, words binary")
+    return joined.mapInArrow(task, f"key long, mark long, first_doc {kind}, text binary")
 
 
 def _searched(texts: DataFrame, window: int, index_words: int) -> DataFrame:
@@ -143,26 +105,24 @@ def _searched(texts: DataFrame, window: int, index_words: int) -> DataFrame:
                     held.extend(group)
                     n_held, group, n_group = n_held + n_group, [], 0
                 group.append(row)
-                n_group += row[3].count(b" ") + 2
+                n_group += len(row[3]) // 2 + 2  # words have a byte and a space at least
         if held and n_held + n_group > index_words:
             yield _found(held, window, out_type)
             held = []
         if held or group:
             yield _found(held + group, window, out_type)
 
-    return spread.select("key", "mark", "first_doc", "words").mapInArrow(task, f"key long, mark long, first_doc {kind}, cuts array<struct<start: bigint, stop: bigint>>")
+    return spread.select("key", "mark", "first_doc", "text").mapInArrow(task, f"key long, mark long, first_doc {kind}, cuts array<struct<start: bigint, stop: bigint>>")
 
 
 def _found(rows: list[tuple], window: int, id_type: pa.DataType) -> pa.RecordBatch:
     """The fragments of one shard, indexed and searched."""
     order = {doc: i for i, doc in enumerate(sorted({r[2] for r in rows}))}
-    numbers = Numbers()
-    parts = [numbers.of(r[3].split(b" ")) for r in rows]
-    sizes = np.array([len(p) for p in parts])
+    words = Words(pa.array([r[3] for r in rows], pa.binary()))
+    sizes = np.diff(words.first)
     begin = np.cumsum(sizes + 1) - sizes - 1
-    symbols = np.zeros(int(sizes.sum()) + len(rows), np.int64)
-    for b, part in zip(begin, parts, strict=True):
-        symbols[b : b + len(part)] = part
+    symbols = np.zeros(len(words.row) + len(rows), np.int64)
+    symbols[np.arange(len(words.row)) + words.row] = np.unique(words.hashes(), return_inverse=True)[1] + 1
     owner = np.array([order[r[2]] for r in rows])
     index = FMIndex(symbols, np.repeat(owner, sizes + 1))
     query, low, high = earlier_matches(index, symbols, begin, begin + sizes, owner, window)
@@ -177,7 +137,7 @@ def _found(rows: list[tuple], window: int, id_type: pa.DataType) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], cuts], kinds, strict=True)], ["key", "mark", "first_doc", "cuts"])
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 25, crowd: int = 256, index_words: int = INDEX_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 12, crowd: int = 256, index_words: int = INDEX_WORDS) -> DataFrame:
     """(doc_id, th, spans): word stretches (start, stop) of a document that lie in windows an earlier document holds.
 
     ``th`` is the 64-bit hash of the text; a document that is listed has at least one stretch. A key
@@ -186,17 +146,15 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 25, crowd: int
     """
     own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     rough = stage(_fragments(own, window, gram), "fragments")
-    keys = _shared(_distinct(rough))
-    placed = rough.join(keys, "key")
-    fine = placed.filter(F.col("n_marks") <= crowd).drop("n_marks")
-    crowded = keys.filter(F.col("n_marks") > crowd)
+    fine = stage(_shared(rough), "shared-fragments")
+    crowded = stage(fine.select("key", "mark").distinct().groupBy("key").count().filter(F.col("count") > crowd).select("key"), "crowds")
     if not crowded.isEmpty():
-        wide = rough.join(crowded, "key").groupBy(*_IDENTITY).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+        wide = fine.join(crowded, "key").groupBy(*_IDENTITY).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
         windows = stage(_fragments(own.join(wide, _IDENTITY), window, window), "windows")
-        more = windows.join(_shared(_distinct(windows)).drop("n_marks"), "key")
-        fine = fine.unionByName(more.select(fine.columns))
-    fine = stage(fine, "shared-fragments")
-    found = stage(_searched(_texts(_distinct(fine).select("key", "mark", "rep"), own, window), window, index_words), "found")
+        fine = stage(fine.join(crowded, "key", "left_anti").unionByName(_shared(windows)), "shared-fragments")
+    first = F.min(F.struct("doc_id", "th", "start", "n"))
+    wanted = fine.groupBy("key", "mark").agg(first.alias("rep"))
+    found = stage(_searched(_texts(wanted, own, window), window, index_words), "found")
     # the first document of a fragment keeps what no lower one has, the others lose all of it
     spot = fine.join(found, ["key", "mark"])
     all_of = F.array(F.struct(F.col("start"), (F.col("start") + F.col("n") + window - 1).alias("stop")))
@@ -206,22 +164,16 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 25, crowd: int
     return listed.groupBy(*_IDENTITY).agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
-def _distinct(fragments: DataFrame) -> DataFrame:
-    """Each fragment once, with its first place and its last document."""
-    first = F.min(F.struct("doc_id", "th", "start", "n"))
-    return fragments.groupBy("key", "mark").agg(first.alias("rep"), F.max("doc_id").alias("last_doc"))
-
-
-def _shared(distinct: DataFrame) -> DataFrame:
-    """(key, n_marks) of the keys that several documents have."""
-    seen = distinct.groupBy("key").agg(F.min("rep.doc_id").alias("a"), F.max("last_doc").alias("b"), F.count("*").alias("n_marks"))
-    return seen.filter("a < b").select("key", "n_marks")
+def _shared(fragments: DataFrame) -> DataFrame:
+    """The fragments whose key several documents have."""
+    seen = fragments.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    return fragments.join(seen.filter("a < b").select("key"), "key")
 
 
 ADDED = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("kept_text", T.StringType())]
 
 
-def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int = 50, gram: int = 25, crowd: int = 256, index_words: int = INDEX_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int = 50, gram: int = 12, crowd: int = 256, index_words: int = INDEX_WORDS) -> DataFrame:
     """Documents without the words that lie in a window whose words also stand, in a row, in a document of lower id.
 
     Words are what stands between white space, unchanged; a window is ``window`` of them. Adds n_words,
@@ -242,7 +194,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
 def _without(piece: pa.RecordBatch) -> dict[str, list]:
     out: dict[str, list] = {f.name: [] for f in ADDED}
     for text, spans in zip(piece.column("text").to_pylist(), piece.column("spans").to_pylist(), strict=True):
-        words = _words(text)
+        words = (text or "").encode("utf-8", "surrogatepass").split()
         merged: list[list[int]] = []
         for span in spans or ():
             if merged and span["start"] <= merged[-1][1]:
