@@ -13,6 +13,7 @@ from siftbook.plans import inputs as I
 from siftbook.plans.inputs import q, sql_collapse, sql_rank, sql_title_key, with_
 from siftbook.plans.registry import Tables, query
 from siftbook.session import scratch_path, stage
+from siftbook.sources.concatenated import read_concatenated
 from siftbook.sources import articles as A
 from siftbook.sources import files as S
 from siftbook.sources import landed as L
@@ -50,7 +51,7 @@ def _pair_record(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "a3")
     _pair_record(t).select(F.to_json("r", {"pretty": "true"})).write.text(path)
-    read = S.read_concatenated(t.spark, path, PAIR)
+    read = read_concatenated(t.spark, path, PAIR)
     return read.select("source_chunk_id", "category", F.md5(read.messages[0].content).alias("u"), F.md5(read.messages[1].content).alias("a"))
 
 

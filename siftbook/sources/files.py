@@ -1,9 +1,8 @@
-"""JSON lines, JSON arrays, concatenated JSON, tab-separated tables, reports."""
+"""JSON lines, JSON arrays, tab-separated tables, reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,51 +31,6 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: str | T.
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-# a string, a bracket, or what stands between
-_JSON_TOKENS = r'"(?:\\.|[^"\\])*"|[{}\[\]]|[^"{}\[\]]+'
-_BORDER = "\x1e"  # cannot stand unescaped in JSON
-
-
-def _split_records(line: Column) -> Column:
-    """Parts of a line, cut where an object ends and the next one begins without a comma."""
-    tokens = F.regexp_extract_all(line, F.lit(_JSON_TOKENS), F.lit(0))
-
-    def ended(token: Column, i: Column) -> Column:
-        after = F.coalesce(F.get(tokens, i + 1), F.lit(""))
-        opens = (after == "{") | ((F.trim(after) == "") & (F.get(tokens, i + 2) == "{"))
-        return F.when((token == "}") & opens, F.lit("}" + _BORDER)).otherwise(token)
-
-    return F.split(F.array_join(F.transform(tokens, ended), ""), _BORDER)
-
-
-def read_concatenated(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Files of concatenated, possibly pretty-printed JSON objects.
-
-    Strings hold no raw line break and objects inside others are set off by commas, so a record
-    begins exactly where a part that opens an object follows one that closes one. Files are read as
-    lines in splits of any size; of each split only its last part and its number of records go on.
-    """
-    place = ["file", "block"]
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
-    )
-    parts = lines.select(*place, "at", F.posexplode(_split_records(F.col("value"))).alias("part", "value")).filter(F.trim(F.translate("value", "\t\r\n", "   ")) != "")
-    in_block = W.partitionBy(*place).orderBy("at", "part")
-    opens, closes = F.col("value").rlike(r"^\s*\{"), F.col("value").rlike(r"\}\s*$")
-    # null for the first part of a block: that is decided with the block before
-    parts = parts.withColumn("starts", opens & F.lag(closes).over(in_block)).withColumn("first_opens", F.when(F.col("starts").isNull(), opens)).withColumn("closes", closes)
-    blocks = parts.groupBy(*place).agg(F.count_if("starts").alias("n"), F.max_by("closes", F.struct("at", "part")).alias("closes"), F.bool_or("first_opens").alias("opens"))
-    in_file = W.partitionBy("file").orderBy("block")
-    begins = (F.coalesce("opens", F.lit(False)) & F.coalesce(F.lag("closes").over(in_file), F.lit(True))).cast("long")
-    blocks = blocks.withColumn("begins", begins)
-    blocks = blocks.withColumn("record", F.sum(F.col("n") + F.col("begins")).over(in_file) - F.col("n")).select(*place, "record")
-    so_far = F.count_if("starts").over(in_block.rowsBetween(W.unboundedPreceding, W.currentRow))
-    numbered = parts.withColumn("so_far", so_far).join(blocks, place).withColumn("record", F.col("record") + F.col("so_far"))
-    whole = F.array_sort(F.collect_list(F.struct("block", "at", "part", "value")))
-    records = numbered.groupBy("file", "record").agg(F.array_join(F.transform(whole, lambda p: p["value"]), "\n").alias("record_text"))
-    return records.select(F.from_json("record_text", schema).alias("r")).select("r.*")
-
-
 def read_tsv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Tab-separated file with a header and no quoting."""
     return spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").csv(path)

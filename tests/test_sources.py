@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siftbook.sources import articles as A
 from siftbook.sources import files as S
 from siftbook.sources import landed as L
+from siftbook.sources.concatenated import read_concatenated, record_texts
 from siftbook.streaming import incremental as K
 
 JATS = """<article><front><title-group><article-title>A <i>small</i> study</article-title></title-group>
@@ -52,7 +53,7 @@ def test_json_readers(spark, tmp_path):
     rows = S.read_jsonl_tolerant(spark, str(tmp_path / "lines.jsonl"), "id long").collect()
     assert [r["id"] for r in rows if r[S.CORRUPT] is None] == [1, 3] and sum(r[S.CORRUPT] is not None for r in rows) == 1
     (tmp_path / "joined.json").write_text(json.dumps({"id": 1}, indent=1) + json.dumps({"id": 2}) + "\n \n" + json.dumps({"id": 3}, indent=2))
-    assert sorted(r[0] for r in S.read_concatenated(spark, str(tmp_path / "joined.json"), "id long").collect()) == [1, 2, 3]
+    assert sorted(r[0] for r in read_concatenated(spark, str(tmp_path / "joined.json"), "id long").collect()) == [1, 2, 3]
     (tmp_path / "seeds.json").write_text(json.dumps([{"id": 1}, {"id": 2}], indent=1))
     assert S.read_json_array(spark, str(tmp_path / "seeds.json"), "id long").count() == 2
 
@@ -67,13 +68,51 @@ def test_concatenated_json_in_splits(spark, tmp_path, split):
     (tmp_path / "b.json").write_text("\n".join(texts[40:]))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
     try:
-        rows = S.read_concatenated(spark, str(tmp_path), "id long, text string, more struct<deep:array<struct<v:long>>>").collect()
+        rows = read_concatenated(spark, str(tmp_path), "id long, text string, more struct<deep:array<struct<v:long>>>").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {r["id"]: (r["text"], [d["v"] for d in r["more"]["deep"]]) for r in rows} == {r["id"]: (r["text"], [r["id"], None]) for r in records}
     assert len(rows) == 60
 
 
+@pytest.mark.parametrize("split", [1 << 30, 1000, 97])
+def test_concatenated_json_of_any_shape(spark, tmp_path, split):
+    """Random records in one line or many, escapes and braces in strings, cut by splits anywhere; the order of a file is kept."""
+    rng = random.Random(split)
+    marks = ["}", "{", '"', "\\", "\n", "a", "é", "}{", '\\"', "[", " ", "}}", '{"id": 1}']
+    records = [{"id": i, "text": "".join(rng.choice(marks) for _ in range(rng.randint(0, 40)))} for i in range(120)]
+    for name, part in (("a", records[:70]), ("b", records[70:119]), ("c", records[119:])):
+        (tmp_path / f"{name}.json").write_text("".join(json.dumps(r, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5) + rng.choice(["", "\n", "  \n\n"]) for r in part))
+    (tmp_path / "d.json").write_text("")
+    (tmp_path / "e.json").write_text(" \n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        rows = read_concatenated(spark, str(tmp_path), "id long, text string").collect()
+        order = record_texts(spark, str(tmp_path)).filter("file LIKE '%a.json'").orderBy("record").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["id"], r["text"]) for r in rows) == [(r["id"], r["text"]) for r in records]
+    assert [json.loads(r["record_text"])["id"] for r in order] == list(range(70)) and [r["record"] for r in order] == list(range(70))
+
+
+def test_long_strings_in_concatenated_json(spark, tmp_path):
+    """Strings of thousands and of ten million characters, and one of nothing but escapes."""
+    texts = ["x" * 3000, ("y" * 996 + "} {\"") * 10_000, '\\"' * 5000, ""]
+    (tmp_path / "long.json").write_text("\n".join(json.dumps({"id": i, "text": t}, indent=2) for i, t in enumerate(texts)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        rows = read_concatenated(spark, str(tmp_path), "id long, text string").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["id"]: r["text"] for r in rows} == dict(enumerate(texts))
+
+
+def test_a_file_that_breaks_off(spark, tmp_path):
+    (tmp_path / "broken.json").write_text('{"id": 1}\n{"id": 2, "text": "no end')
+    rows = record_texts(spark, str(tmp_path)).orderBy("record").collect()
+    assert [r["record_text"].strip() for r in rows] == ['{"id": 1}', '{"id": 2, "text": "no end']
+
+
 def test_titles_of_references_are_no_titles(spark):
     cited = "<article><front><abstract>Short.</abstract></front><back><ref-list><ref><article-title>Cited paper</article-title></ref></ref-list></back></article>"
     other = '<full xmlns:ce="c" xmlns:dc="http://purl.org/dc/elements/1.1/"><ce:title>Cited</ce:title></full>'
