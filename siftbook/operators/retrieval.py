@@ -1,187 +1,23 @@
-"""Exact nearest neighbours, retrieved context, the distance gate and selection scores.
-
-The neighbour search partitions the vectors around pivots, as in published kNN-join work. Every
-query meets only the cells that can hold one of its neighbours, by the triangle inequality, and the
-cells are cut into blocks of bounded size, so neither a large cell nor a group of equal vectors
-ends up in one task. A block returns the best ``k`` rows of each query; pairs are not written.
-"""
+"""Exact nearest neighbours, retrieved context, the distance gate and selection scores."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftbook.functions import fixed
-from siftbook.operators.ranking import hash_order, top_per_group
-from siftbook.session import stage
-
-MAX_PIVOTS = 1024
-SLACK = 1e-6  # room for rounding in the pruning bounds
-DIGITS = 9  # distances are compared after rounding
-
-
-def choose_pivots(vectors: DataFrame, key: str, vector: str, n: int, seed: int = 42) -> np.ndarray:
-    """At most ``MAX_PIVOTS`` distinct vectors in hash order; the only rows that reach the driver."""
-    n = min(n, MAX_PIVOTS)
-    rows = vectors.orderBy(hash_order(seed, key), key).limit(n).select(vector).collect()
-    return np.unique(np.array([r[0] for r in rows], dtype=np.float64), axis=0)
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    return np.sqrt(np.maximum(squared, 0.0))
-
-
-def _stack(s: pd.Series) -> np.ndarray:
-    return np.stack(s.to_numpy()).astype(np.float64)
-
-
-def assign_cells(vectors: DataFrame, key: str, vector: str, pivots: np.ndarray) -> DataFrame:
-    """(id, v, cell, to_pivot): nearest pivot of each vector."""
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                d = _distances(_stack(pdf["v"]), pivots)
-                yield pdf.assign(cell=d.argmin(1), to_pivot=d.min(1))
-
-    source = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    return source.mapInPandas(nearest, "id long, v array<float>, cell int, to_pivot double")
-
-
-def index_table(vectors: DataFrame, key: str, vector: str, n_cells: int, payload: list[str], seed: int = 42) -> DataFrame:
-    """Rows to store: payload, vector and cell."""
-    cells = assign_cells(vectors, key, vector, choose_pivots(vectors, key, vector, n_cells, seed))
-    return vectors.select(F.col(key).alias("id"), *payload).join(cells, "id")
-
-
-def _keyed(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v, h1, h2): two independent 64-bit hashes stand for the vector in joins and groups."""
-    v = F.col(vector)
-    return vectors.select(F.col(key).alias("id"), v.alias("v"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"))
-
-
-def _distinct(keyed: DataFrame) -> DataFrame:
-    """Equal vectors once, under their lowest id."""
-    return keyed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("v").alias("v"))
-
-
-def _nearest_distinct(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int, block: int, share: int, total: int, asked: int) -> DataFrame:
-    """(qid, id, distance) of the ``k`` nearest base rows per query; ids are unique on both sides."""
-    if len(pivots) == 1:
-        # one cell: every query looks into all of it
-        placed = base.select("id", "v", F.lit(0).alias("cell"))
-        routed = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.lit(0).alias("cell"))
-        sizes, busy = {0: total}, {0: asked}
-    else:
-        placed, routed, sizes, busy = _route(queries, base, pivots, k)
-
-    def pieces(counts: dict[int, int], size: int) -> Column:
-        """Number of pieces of at most about ``size`` rows a cell is cut into."""
-        return F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, max(1, -(-n // size)))])[F.col("cell")]
-
-    # the queries of a busy cell are cut as well; its blocks are repeated for each share of them
-    n_parts, n_shares = pieces(sizes, block), pieces(busy, share)
-    stored = placed.select(
-        "id", "v", "cell", F.pmod(F.xxhash64("id"), n_parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), n_shares - 1)).alias("share"),
-    )
-    routed = routed.select(
-        "qid", "qv", "cell", F.pmod(F.xxhash64("qid"), n_shares).cast("int").alias("share"), F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"),
-    )
-
-    def search(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(s):
-            return pd.DataFrame({"qid": [], "id": [], "distance": []}).astype({"qid": "int64", "id": "int64", "distance": "float64"})
-        s = s.sort_values("id", ignore_index=True)
-        ids, sv, out = s["id"].to_numpy(), _stack(s["v"]), []
-        norms = (sv * sv).sum(1)
-        for lo in range(0, len(q), 256):
-            part = q.iloc[lo:lo + 256]
-            qv = _stack(part["qv"])
-            d = (qv * qv).sum(1)[:, None] + norms[None, :] - 2.0 * qv @ sv.T
-            d = np.round(np.maximum(d, 0.0), DIGITS) + 0.0
-            # everything within the n-th smallest distance, in order, equals by lower id
-            n = min(k, d.shape[1])
-            rows, cols = np.nonzero(d <= np.partition(d, n - 1, axis=1)[:, n - 1:n])
-            order = np.lexsort((cols, d[rows, cols], rows))
-            rows, cols = rows[order], cols[order]
-            first = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(part)))[rows] < n
-            rows, cols = rows[first], cols[first]
-            out.append((part["qid"].to_numpy()[rows], ids[cols], d[rows, cols]))
-        return pd.DataFrame({name: np.concatenate(column) for name, column in zip(("qid", "id", "distance"), zip(*out))})
-
-    keys = ["cell", "part", "share"]
-    found = routed.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(search, "qid long, id long, distance double")
-    by = W.partitionBy("qid").orderBy("distance", "id")
-    return found.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
-
-
-def _route(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int) -> tuple[DataFrame, DataFrame, dict[int, int], dict[int, int]]:
-    """Base rows by cell, queries by the cells they have to visit, and how many of both a cell has."""
-    placed = stage(assign_cells(base, "id", "v", pivots), "cells")
-    # per cell: size, radius and the k members closest to the pivot; at most MAX_PIVOTS rows
-    near = top_per_group(placed.select("cell", "to_pivot", "id"), ["cell"], [F.col("to_pivot"), F.col("id")], k, bound=k)
-    near = near.groupBy("cell").agg(F.array_sort(F.collect_list("to_pivot")).alias("near"))
-    shape = placed.groupBy("cell").agg(F.max("to_pivot").alias("radius"), F.count("*").alias("n")).join(near, "cell").collect()
-    cells = np.array([r["cell"] for r in shape])
-    radius = np.array([r["radius"] for r in shape])
-    owner = np.concatenate([np.full(len(r["near"]), i) for i, r in enumerate(shape)])
-    reach = np.concatenate([np.array(r["near"]) for r in shape])
-    centres = pivots[cells]
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cells nearer to a query than a sure bound on its k-th distance."""
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(_stack(pdf["v"]), centres)
-            upper = d[:, owner] + reach
-            bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(d), np.inf)
-            q, c = np.nonzero(d - radius <= bound[:, None] + SLACK)
-            yield pd.DataFrame({"qid": pdf["id"].to_numpy()[q], "qv": pdf["v"].to_numpy()[q], "cell": cells[c]})
-
-    routed = queries.select("id", "v").mapInPandas(visits, "qid long, qv array<float>, cell int")
-    routed = stage(routed, "visits")
-    busy = {int(r["cell"]): int(r["count"]) for r in routed.groupBy("cell").count().collect()}
-    return placed, routed, {int(r["cell"]): int(r["n"]) for r in shape}, busy
+from siftbook.operators import metric_index
+from siftbook.session import scratch_path
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False,
-            n_pivots: int | None = None, block: int = 32768, share: int = 4096, seed: int = 42) -> DataFrame:
-    """(query_id, neighbour_id, distance, place): the ``k`` nearest base rows of each query.
+            cell_rows: int = metric_index.CELL_ROWS, block: int = 8192, share: int = 1024, seed: int = 42) -> DataFrame:
+    """(query_id, neighbour_id, distance, place): the ``k`` nearest base rows of each query, by an index that is built for them.
 
-    Distance is squared L2, rounded to nine digits; ties go to the lower id. Equal vectors are
-    searched once and expanded at the end. ``exclude_self`` drops a row as its own neighbour.
-    ``block`` base rows and ``share`` queries meet in one task at a time.
+    For a base that is searched more than once see :func:`siftbook.operators.metric_index.build`.
     """
-    need = k + 1 if exclude_self else k
-    stored = _keyed(base, key, vector)
-    distinct = _distinct(stored)
-    total = base.count()
-    n_queries = total if queries is base else queries.count()
-    if n_pivots is None:
-        n_pivots = min(MAX_PIVOTS, -(-total // block))
-    pivots = choose_pivots(base, key, vector, n_pivots, seed) if n_pivots > 1 else np.zeros((1, 1))
-    asked = stored if queries is base else _keyed(queries, key, vector)
-    wanted = distinct if queries is base else _distinct(asked)
-    found = _nearest_distinct(wanted, distinct, pivots, need, block, share, total, n_queries)
-    # the lowest ids behind each distinct vector
-    ids = top_per_group(stored.select("h1", "h2", "id"), ["h1", "h2"], [F.col("id")], need, bound=need)
-    members = ids.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    members = members.select(F.element_at("ids", 1).alias("id"), "ids")
-    expanded = found.join(members, "id").select("qid", F.transform("ids", lambda i: F.struct(F.col("distance").alias("distance"), i.alias("id"))).alias("hits"))
-    hits = expanded.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, need).alias("hits"))
-    owners = asked.select(F.col("id").alias("query_id"), "h1", "h2").join(wanted.select("h1", "h2", F.col("id").alias("qid")), ["h1", "h2"])
-    answered = owners.join(hits, "qid")
-    if exclude_self:
-        answered = answered.withColumn("hits", F.filter("hits", lambda h: h["id"] != F.col("query_id")))
-    rows = answered.select("query_id", F.posexplode_outer(F.slice("hits", 1, k)).alias("at", "h")).filter(F.col("h").isNotNull())
-    return rows.select("query_id", F.col("h.id").alias("neighbour_id"), F.col("h.distance").alias("distance"), (F.col("at") + 1).cast("long").alias("place"))
+    index = metric_index.build(base, key, vector, scratch_path(base.sparkSession, "index"), cell_rows=cell_rows, seed=seed)
+    return metric_index.search(index, queries, key, vector, k, exclude_self, block, share)
 
 
 def build_context(hits: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from siftbook.functions import fixed
 from siftbook.functions.grading import letter_at, shuffled_letters
 from siftbook.functions.text import provenance_header
+from siftbook.operators import metric_index
 from siftbook.operators.evaluation import grade
 from siftbook.plans.registry import Tables
+from siftbook.session import scratch_path
 
 CONDITIONS = ("base", "retrieval", "tuned")
 CATEGORIES = ("mechanism", "methodology_critique", "premise_correction", "result_interpretation")
@@ -233,3 +235,9 @@ def sql_title_key(c: str) -> str:
 def sql_rank(key: str, seed, within: str = "") -> str:
     part = f"PARTITION BY {within} " if within else ""
     return f"row_number() OVER ({part}ORDER BY md5('{seed}|' || {key}), {key})"
+
+
+def vector_index(t: Tables) -> metric_index.MetricIndex:
+    """The index of the vectors with what a hit shows."""
+    rows = t.embeddings.select("vec_id", "embedding", F.col("label").cast("string").alias("label"), F.lit("text").alias("content_type"))
+    return metric_index.build(rows, "vec_id", "embedding", scratch_path(t.spark, "index"), ["content_type", "label"])

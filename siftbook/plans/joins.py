@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftbook.functions import dates, fixed
 from siftbook.functions import text as X
 from siftbook.functions.layout import chapter_of
-from siftbook.operators import dedup, evaluation, lookups, packing, pairs, ranking, retrieval
+from siftbook.operators import dedup, evaluation, lookups, metric_index, packing, pairs, ranking, retrieval
 from siftbook.plans import inputs as I
 from siftbook.plans.inputs import q, sql_order, sql_rank, sql_title_key, with_
 from siftbook.plans.projections import entity_pairs, sql_entities, ENTITY_PAIRS_SQL
@@ -107,7 +107,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("d10_top_k_retrieval", with_(vectors=VECTORS_SQL, hits=sql_hits(fixed.TOP_K)) + "SELECT query_id, neighbour_id, round(distance, 6) AS distance, place FROM hits")
 def _(t: Tables) -> DataFrame:
-    hits = retrieval.nearest(t.embeddings, t.embeddings, "vec_id", "embedding", fixed.TOP_K, exclude_self=True)
+    hits = metric_index.search(I.vector_index(t), t.embeddings, "vec_id", "embedding", fixed.TOP_K, exclude_self=True)
     return hits.withColumn("distance", F.round("distance", 6))
 
 

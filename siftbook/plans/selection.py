@@ -267,10 +267,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("i4_index_table", "SELECT vec_id AS id, 'text' AS content_type, CAST(label AS VARCHAR) AS label, len(embedding) AS dims, true AS has_cell FROM embeddings")
 def _(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "index")
-    rows = t.embeddings.select("vec_id", "embedding", F.col("label").cast("string").alias("label"), F.lit("text").alias("content_type"))
-    retrieval.index_table(rows, "vec_id", "embedding", 16, ["content_type", "label"]).write.partitionBy("cell").parquet(path)
-    return t.spark.read.parquet(path).select("id", "content_type", "label", F.size("v").alias("dims"), F.col("cell").isNotNull().alias("has_cell"))
+    index = I.vector_index(t)
+    cells = index.table("vectors").select("h1", "h2", F.size("v").alias("dims"), F.col("fine").isNotNull().alias("has_cell"))
+    return index.table("rows").join(cells, ["h1", "h2"]).select("id", "content_type", "label", "dims", "has_cell")
 
 
 # -- record updates --------------------------------------------------------------------------

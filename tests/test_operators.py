@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftbook.functions.text import content_key
-from siftbook.operators import dedup, evaluation, packing, quality, ranking, records, retrieval
+from siftbook.operators import metric_index, dedup, evaluation, packing, quality, ranking, records, retrieval
 from siftbook.session import scratch_path
 from siftbook.streaming import incremental
 
@@ -228,8 +228,8 @@ def test_unseen_rows_do_not_depend_on_batches(spark):
     assert kept[0] == kept[1] == kept[2] == [(1,), (2,), (4,), (7,)]
 
 
-@pytest.mark.parametrize("exclude, pivots, block", [(True, 8, 4096), (False, 8, 16), (True, 1, 50)])
-def test_nearest_equals_brute_force(spark, exclude, pivots, block):
+@pytest.mark.parametrize("exclude, cell_rows, block", [(True, 5, 4096), (False, 9, 4), (True, 4096, 50)])
+def test_nearest_equals_brute_force(spark, exclude, cell_rows, block):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(120, 6)).astype(np.float32)
     v[::3] = v[0]  # a third are copies
@@ -239,10 +239,38 @@ def test_nearest_equals_brute_force(spark, exclude, pivots, block):
     for i in range(len(v)):
         best = sorted((d[i, j], j) for j in range(len(v)) if not (exclude and i == j))[:5]
         expected += [(i, p + 1, j) for p, (_, j) in enumerate(best)]
-    got = retrieval.nearest(df, df, "id", "v", 5, exclude_self=exclude, n_pivots=pivots, block=block, share=20)
+    got = retrieval.nearest(df, df, "id", "v", 5, exclude_self=exclude, cell_rows=cell_rows, block=block, share=20)
     assert pairs(got, "query_id", "place", "neighbour_id") == sorted(expected)
 
 
+def test_a_stored_index_answers_other_queries_and_prunes(spark):
+    """Queries that are no rows of the index, an index that is read again, few pairs compared; no vectors, one vector."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 8)) * 20
+    v = (centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 8))).astype(np.float32)
+    asked = (centres[rng.integers(0, 40, 50)] + rng.normal(size=(50, 8))).astype(np.float32)
+    schema = "id long, v array<float>, kind string"
+    df = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(v)] + [(5000, None, "a")], schema)
+    path, seen = scratch_path(spark, "index"), scratch_path(spark, "seen")
+    metric_index.build(df, "id", "v", path, ["kind"], cell_rows=25)
+    index = metric_index.MetricIndex(spark, path)
+    queries = spark.createDataFrame([(i, x.tolist(), "q") for i, x in enumerate(asked)], schema)
+    got = metric_index.search(index, queries, "id", "v", 3, examined=seen)
+    d = np.round(((asked[:, None].astype(float) - v[None].astype(float)) ** 2).sum(-1), 9)
+    expected = [(i, p + 1, int(j)) for i in range(50) for p, j in enumerate(np.lexsort((np.arange(2000), d[i]))[:3])]
+    assert pairs(got, "query_id", "place", "neighbour_id") == expected
+    assert index.table("rows").count() == 2000 and index.table("cells").count() > 50
+    assert spark.read.parquet(seen).agg(F.sum("n")).first()[0] < 0.2 * 50 * 2000
+    for n in (0, 1):
+        few = metric_index.build(df.limit(n), "id", "v", scratch_path(spark, "index"))
+        assert metric_index.search(few, queries, "id", "v", 3).count() == 50 * n
+
+
+def test_normalised(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "id long, v array<float>")
+    assert [r[0] for r in df.orderBy("id").select(metric_index.normalised("v")).collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+
+
 def test_gate(spark):
     df = spark.createDataFrame([(1, 0.05, "c"), (2, 0.0676, "c"), (3, 0.07, "c"), (4, None, "c")], "query_id long, top_distance double, context string")
     assert pairs(retrieval.gate(df), "query_id", "used_context", "context") == [(1, True, "c"), (2, True, "c"), (3, False, ""), (4, False, "")]
