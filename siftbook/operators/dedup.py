@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftbook.operators.graph import components
 from siftbook.operators.ranking import first_per_key
 from siftbook.session import shared_folder
 
@@ -36,56 +32,47 @@ def names_of(names: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.col(n) != "", F.concat(F.lit(f"{n}:"), F.col(n))) for n in names]))
 
 
-def first_seen_by_any_key(df: DataFrame, key: str, names: list[str], rounds: int = 3) -> DataFrame:
+def first_seen_by_any_key(df: DataFrame, key: str, names: list[str]) -> DataFrame:
     """Walk the rows by ``key``; a row is a copy when an earlier kept row shares any of its names.
 
-    Copies are not kept, so their other names hide nobody. In a round, a row that is the lowest open
-    one under all of its names is kept, and rows sharing a name with it are copies; that settles rows
-    without shared names and the hot names. What is still open after ``rounds`` is split into
-    connected components, and each component is walked as a sorted stream, so a chain of any length
-    ends. A round is two aggregations over (name, row) pairs; pairs of rows are never formed. Rows
-    without any name are left out.
+    Copies are not kept, so their other names hide nobody. A row waits for the earlier open rows under its
+    names. In a round, rows that wait for none are kept, and rows sharing a name with them are copies. A
+    row that waits for one row only is kept if that one is not; such rows form chains, and a chain of any
+    length is followed to its end by doubling the steps. Decided rows leave, so other rows wait for fewer.
+    A round is a few aggregations over (name, row) pairs and joins with one row for each name; neither
+    pairs of rows nor connected components are ever formed or walked. Rows without any name are left out.
     """
     shared_folder(df.sparkSession)
-    open_ = df.select(F.col(key).alias("k"), F.explode(names_of(names)).alias("name")).checkpoint()
-    settled = []
-    for _ in range(rounds):
-        lowest = open_.groupBy("name").agg(F.min("k").alias("low"))
-        # a row leads when it is the lowest under every name
-        leads = open_.join(lowest, "name").groupBy("k").agg(F.bool_and(F.col("k") == F.col("low")).alias("kept"))
-        kept = leads.filter("kept").select("k")
+    open_ = df.select(F.col(key).alias("k"), F.explode(names_of(names)).alias("name")).distinct().checkpoint()
+    every = open_.select("k", F.lit(False).alias("is_copy")).limit(0)
+    while not open_.isEmpty():
+        kept = _kept(open_)
         taken = open_.join(kept, "k", "left_semi").select("name", F.col("k").alias("owner"))
         copies = open_.join(taken, "name").filter(F.col("k") != F.col("owner")).select("k").distinct()
-        settled.append(kept.withColumn("is_copy", F.lit(False)).unionByName(copies.withColumn("is_copy", F.lit(True))).checkpoint())
-        open_ = open_.join(settled[-1], "k", "left_anti").checkpoint()
-        if open_.isEmpty():
-            break
-    else:
-        settled.append(_walked(open_))
-    every = settled[0]
-    for more in settled[1:]:
-        every = every.unionByName(more)
+        settled = kept.withColumn("is_copy", F.lit(False)).unionByName(copies.withColumn("is_copy", F.lit(True)))
+        every = every.unionByName(settled).checkpoint()
+        open_ = open_.join(every.select("k"), "k", "left_anti").checkpoint()
     return df.join(every, df[key] == every["k"]).drop("k")
 
 
-def _walked(open_: DataFrame) -> DataFrame:
-    """(k, is_copy) of rows with their names, one connected component after the other."""
-    lowest = open_.groupBy("name").agg(F.min("k").alias("low"))
-    edges = open_.join(lowest, "name").filter("k != low").select(F.col("k").alias("a"), F.col("low").alias("b"))
-    rows = open_.groupBy("k").agg(F.collect_set("name").alias("names")).join(components(edges).withColumnRenamed("node", "k"), "k", "left")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        component, seen = None, set()
-        for batch in batches:
-            copies = []
-            for own, names in zip(batch["component"], batch["names"], strict=True):
-                if own != component:
-                    component, seen = own, set()
-                copies.append(not seen.isdisjoint(names))
-                if not copies[-1]:
-                    seen.update(names)
-            yield pd.DataFrame({"k": batch["k"], "is_copy": copies})
-
-    together = rows.withColumn("component", F.coalesce("component", "k")).repartition("component").sortWithinPartitions("component", "k")
-    kind = dict(open_.dtypes)["k"]
-    return together.select("component", "k", "names").mapInPandas(walk, f"k {kind}, is_copy boolean").checkpoint()
+def _kept(open_: DataFrame) -> DataFrame:
+    """(k) of the open rows that are kept for sure: those that wait for none, and those at an even place behind them."""
+    low = open_.groupBy("name").agg(F.min("k").alias("low"))
+    marked = open_.join(low, "name")
+    second = marked.filter("k > low").groupBy("name").agg(F.min("k").alias("second"))
+    waits = marked.join(second, "name", "left").groupBy("k").agg(
+        F.min(F.when(F.col("k") > F.col("low"), F.col("low"))).alias("first"), F.max(F.when(F.col("k") > F.col("low"), F.col("low"))).alias("last"),
+        F.bool_or(F.col("k") > F.col("second")).alias("more"),
+    ).checkpoint()
+    free = waits.filter(F.col("first").isNull()).select("k")
+    links = waits.filter((F.col("first") == F.col("last")) & ~F.coalesce("more", F.lit(False))).select("k", F.col("first").alias("to"), F.lit(True).alias("odd"))
+    # a link to a row that has no link itself is at its end
+    while True:
+        ahead = links.select(F.col("k").alias("to"), F.col("to").alias("further"), F.col("odd").alias("flips"))
+        longer = links.join(ahead, "to", "left").select("k", F.coalesce("further", "to").alias("to"), (F.col("odd") != F.coalesce("flips", F.lit(False))).alias("odd"), F.col("further").isNotNull().alias("_moved"))
+        longer = longer.checkpoint()
+        links = longer.drop("_moved")
+        if longer.filter("_moved").isEmpty():
+            break
+    ends = free.select(F.col("k").alias("to"))
+    return free.unionByName(links.filter(~F.col("odd")).join(ends, "to", "left_semi").select("k")).checkpoint()

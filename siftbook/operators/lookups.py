@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +16,9 @@ from siftbook.functions.layout import chapter_of
 from siftbook.functions.text import token_set
 from siftbook.operators.ranking import first_per_key, top_per_group
 
+#: Bits of the filter that is sent to all tasks, 4 MB.
+BLOOM_BITS = 1 << 25
+
 
 def with_source(pairs: DataFrame, chunks: DataFrame, on: str) -> DataFrame:
     """Pairs with their source chunk and a flag for the ones that have none."""
@@ -108,24 +116,75 @@ def find_passages(questions: DataFrame, passages: DataFrame, document: str, k: i
 def shared_substrings(probes: DataFrame, texts: DataFrame, probe_key: str, text_key: str, text: str, width: int = 40, stride: int = 20) -> DataFrame:
     """(probe, text) pairs where a slice of the probe, taken every ``stride`` characters, occurs in the whole text.
 
-    As :func:`siftbook.functions.text.shares_substring`, without holding every pair: a slice is
-    looked up by the longest word that lies inside it between blanks, which a text that holds the
-    slice has as well, and only those texts are read for it. Slices without such a word are held
-    against all texts.
+    As :func:`siftbook.functions.text.shares_substring`, without holding every pair: the fingerprints of all
+    windows of a text are looked up in a Bloom filter of the slices' fingerprints, of fixed size. Only
+    windows that pass it leave their text, and they join slices of the same characters, so texts need no
+    blanks, nothing is joined by a common word, and no text moves.
     """
-    low = F.lower("text")
-    own = probes.select(F.col(probe_key).alias("_probe"), F.col(text).alias("text")).filter(F.length("text") >= width)
-    cuts = F.transform(F.sequence(F.lit(1), F.length("text") - (width - 1), F.lit(stride)), lambda i: F.substring(low, i, F.lit(width)))
-    slices = own.select("_probe", F.explode(F.array_distinct(cuts)).alias("_slice"))
-    parts = F.split("_slice", " ")
-    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    slices = slices.withColumn("_word", F.coalesce(longest, F.lit("")))
-    words = texts.select(F.col(text_key).alias("_text"), F.explode(F.array_distinct(F.concat(F.split(F.lower(text), " "), F.array(F.lit(""))))).alias("_word"))
-    candidates = words.join(slices, "_word").select("_text", "_probe", "_slice")
-    whole = texts.select(F.col(text_key).alias("_text"), F.lower(text).alias("_low"))
-    found = candidates.join(whole, "_text").filter(F.contains("_low", "_slice"))
-    return found.select(F.col("_probe").alias(probe_key), F.col("_text").alias(text_key)).distinct()
+    kinds = dict(probes.dtypes)[probe_key], dict(texts.dtypes)[text_key]
+    own = probes.select(F.col(probe_key).alias("_key"), F.lower(text).alias("text"))
+    slices = own.mapInArrow(windows_of(width, stride), f"_key {kinds[0]}, print long, part string").withColumnRenamed("_key", "_probe")
+    passes = texts.sparkSession.sparkContext.broadcast(_bloom_filter(slices))
+    held = texts.select(F.col(text_key).alias("_key"), F.lower(text).alias("text"))
+    found = held.mapInArrow(windows_of(width, 1, passes), f"_key {kinds[1]}, print long, part string")
+    same = found.join(slices, ["print", "part"])
+    return same.select(F.col("_probe").alias(probe_key), F.col("_key").alias(text_key)).distinct()
+
+
+def _bloom_filter(slices: DataFrame) -> np.ndarray:
+    """A bit field of ``BLOOM_BITS`` as 64-bit words, set from two parts of each fingerprint; made by tasks, put together here."""
+    modulo = lambda c: F.pmod(c, F.lit(BLOOM_BITS))
+    places = F.explode(F.array(modulo(F.col("print")), modulo(F.shiftrightunsigned("print", 32))))
+    word = F.shiftright("at", 6).cast("int").alias("word")
+    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
+    words = np.zeros(BLOOM_BITS // 64, np.int64)
+    for r in slices.select(places.alias("at")).groupBy(word).agg(F.bit_or(bit).alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    return words.view(np.uint64)
+
+
+def windows_of(width: int, stride: int, passes: Broadcast | None = None) -> Callable:
+    """A task that gives (_key, print, part) for windows of texts, each once for a text; with a filter only those that pass it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, prints, parts = [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                if text is None or len(text) < width:
+                    continue
+                values = window_prints(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), width)[::stride]
+                at = np.arange(len(values))
+                if passes is not None:
+                    for part in (values, values >> np.uint64(32)):
+                        place = (part % np.uint64(BLOOM_BITS))[at]
+                        at = at[(passes.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+                values, first = np.unique(values[at], return_index=True)
+                rows += [row] * len(values)
+                prints.append(values.view(np.int64))
+                parts += [text[i * stride : i * stride + width] for i in at[first].tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(rows, pa.int64())), pa.array(np.concatenate(prints) if prints else [], pa.int64()), pa.array(parts, pa.string())], ["_key", "print", "part"])
+
+    return task
+
+
+def window_prints(points: np.ndarray, width: int) -> np.ndarray:
+    """64-bit fingerprints of all windows of ``width`` code points, put together from windows of 1, 2, 4, ... points."""
+    base, size = np.uint64(0x9E3779B97F4A7C15), 1
+    held = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    held ^= held >> np.uint64(32)
+    power, out, have, left = base, None, 0, width
+    with np.errstate(over="ignore"):
+        while True:
+            if left & size:
+                # the part of this size follows what there is already
+                out = held if out is None else out[: len(held) - have] * power + held[have:][: len(out)]
+                have += size
+                left -= size
+            if not left:
+                break
+            held, size, power = held[: len(held) - size] * power + held[size:], 2 * size, power * power
+    out = out[: len(points) - width + 1]
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def pair_outputs(first: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftbook.functions.text import content_key
-from siftbook.operators import metric_index, dedup, evaluation, packing, quality, ranking, records, retrieval
+from siftbook.operators import dedup, evaluation, lookups, metric_index, packing, quality, ranking, records, retrieval
 from siftbook.session import scratch_path
 from siftbook.streaming import incremental
 
@@ -102,6 +102,33 @@ def test_any_key_duplicates_along_a_chain(spark):
     assert got == {i: i % 2 == 1 for i in range(5000)}
 
 
+def test_any_key_duplicates_in_one_large_component(spark):
+    """Chains, rows that wait for several rows and a name that a third of all rows have, all connected."""
+    rng = random.Random(11)
+    rows = [(i, f"n{i // 2}", f"m{(i + 1) // 2}", "hot" if i % 3 == 2 and i > 40 else f"h{rng.randrange(150)}") for i in range(400)]
+    rows += [rows[7], (500, None, "", None), (501, "", None, "hot")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, a string, b string, c string")
+    got = {r["id"]: r["is_copy"] for r in dedup.first_seen_by_any_key(df, "id", ["a", "b", "c"]).collect()}
+    assert got == dict(greedy_first_seen(sorted(set(rows), key=lambda r: r[0])))
+    assert dedup.first_seen_by_any_key(df.limit(0), "id", ["a", "b", "c"]).count() == 0
+
+
+def test_shared_substrings_equal_all_pairs(spark):
+    """Slices in texts without blanks, in other scripts, at both ends, short and null texts, many copies of one text."""
+    rng = random.Random(12)
+    letters = "ab 漢字é\U0001f600"
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    probes = [(i, text(rng.randrange(0, 60))) for i in range(25)] + [(90, None), (91, ""), (92, "A" * 45)]
+    cut = lambda p: p[rng.randrange(0, 3) * 5:][: rng.randrange(8, 30)]
+    texts = [(i, text(rng.randrange(0, 30)) + cut(rng.choice(probes[:25])[1]).upper() + text(rng.randrange(0, 30))) for i in range(80)]
+    texts += [(100 + i, "a" * 30) for i in range(40)] + [(200, None), (201, "")]
+    p, t = spark.createDataFrame(probes, "p long, text string"), spark.createDataFrame(texts, "t long, text string").repartition(5)
+    slices = {i: {x.lower()[k : k + 8] for k in range(0, len(x) - 7, 5)} for i, x in probes if x}
+    expected = sorted((i, j) for i, own in slices.items() for j, y in texts if y and any(c in y.lower() for c in own))
+    assert expected and pairs(lookups.shared_substrings(p, t, "p", "t", "text", width=8, stride=5), "p", "t") == expected
+
+
 def test_equal_choices_keep_their_letters(spark):
     choices = "map('A', 'same', 'B', 'other', 'C', 'same', 'D', 'last')"
     questions = spark.range(1).selectExpr("'q' AS id", "'C' AS correct", f"{choices} AS choices")
