@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftbook.functions.stats import sign_p, student_p
 from siftbook.functions import fixed
 from siftbook.functions.grading import (
     answer_letter, is_right, letter_at, original_letter, penalised, present_choices, shuffled_letters,
@@ -181,7 +182,10 @@ def flip_table(scored: DataFrame, one: str, two: str) -> DataFrame:
 
 
 def paired_tests(scored: DataFrame, one: str, two: str, metric: str) -> DataFrame:
-    """McNemar statistic on changed answers and paired t statistic on one judge score."""
+    """McNemar statistic on changed answers and paired t statistic on one judge score, each with its p-value.
+
+    The p-value of the changes is the exact binomial one, that of the gap is two-sided for Student's t.
+    """
     a, b = F.col("is_correct_1"), F.col("is_correct_2")
     gap = F.col(f"{metric}_1") - F.col(f"{metric}_2")
     sums = _both(scored, one, two, ["is_correct", metric]).agg(
@@ -190,9 +194,10 @@ def paired_tests(scored: DataFrame, one: str, two: str, metric: str) -> DataFram
     )
     changed = F.col("b") + F.col("c")
     margin = F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0))
-    return sums.withColumn("mcnemar", F.try_divide(margin * margin, changed)).withColumn(
+    tested = sums.withColumn("mcnemar", F.try_divide(margin * margin, changed)).withColumn(
         "t", F.try_divide(F.col("mean_gap"), F.col("sd_gap") / F.sqrt("n"))
     )
+    return tested.withColumns({"mcnemar_p": sign_p(F.col("b"), F.col("c")), "t_p": student_p(F.col("t"), F.col("n") - 1)})
 
 
 def accuracy_by(scored: DataFrame, *keys: str | Column) -> DataFrame:

@@ -274,8 +274,14 @@ def _(t: Tables) -> DataFrame:
     return E.flip_table(I.scored(t), "base", "retrieval")
 
 
-@query("e18_paired_tests", with_("scored", z=_BOTH_SQL) + """SELECT b, c, n, round(mean_gap, 6) AS mean_gap, round(sd_gap, 6) AS sd_gap, round(greatest(abs(b - c) - 1, 0) * greatest(abs(b - c) - 1, 0) / (b + c), 6) AS mcnemar, round(mean_gap / (sd_gap / sqrt(n)), 6) AS t
-    FROM (SELECT count(*) FILTER (WHERE x AND NOT y) AS b, count(*) FILTER (WHERE NOT x AND y) AS c, count(gap) AS n, avg(gap) AS mean_gap, stddev_samp(gap) AS sd_gap FROM z)""")
+_HALF = "atan(abs(t) / sqrt(n - 1))"
+_TERMS = f"list_sum(list_transform(range(0, ((n - 1) - (n - 1) % 2) // 2), lambda j: CASE (n - 1) % 2 WHEN 1 THEN exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos({_HALF}), 2 * j + 1) ELSE exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(cos({_HALF}), 2 * j) END))"
+
+
+# whole degrees of freedom have a finite series of cosines, the exact test a finite sum
+@query("e18_paired_tests", with_("scored", z=_BOTH_SQL, s="SELECT count(*) FILTER (WHERE x AND NOT y) AS b, count(*) FILTER (WHERE NOT x AND y) AS c, count(gap) AS n, avg(gap) AS mean_gap, stddev_samp(gap) AS sd_gap FROM z", u="SELECT *, mean_gap / (sd_gap / sqrt(n)) AS t FROM s") + f"""SELECT b, c, n, round(mean_gap, 6) AS mean_gap, round(sd_gap, 6) AS sd_gap, round(greatest(abs(b - c) - 1, 0) * greatest(abs(b - c) - 1, 0) / (b + c), 6) AS mcnemar, round(t, 6) AS t,
+    round(least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))))), 6) AS mcnemar_p,
+    round(1 - CASE (n - 1) % 2 WHEN 1 THEN ({_HALF} + sin({_HALF}) * coalesce({_TERMS}, 0)) * 2 / pi() ELSE sin({_HALF}) * {_TERMS} END, 6) AS t_p FROM u""")
 def _(t: Tables) -> DataFrame:
     return rounded(E.paired_tests(I.scored(t), "base", "retrieval", "coherence"))
 

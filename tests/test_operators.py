@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftbook.functions import stats
 from siftbook.functions.text import content_key
 from siftbook.operators import dedup, evaluation, lookups, metric_index, packing, quality, ranking, records, retrieval
 from siftbook.session import scratch_path
@@ -129,6 +130,29 @@ def test_shared_substrings_equal_all_pairs(spark):
     assert expected and pairs(lookups.shared_substrings(p, t, "p", "t", "text", width=8, stride=5), "p", "t") == expected
 
 
+def test_p_values(spark):
+    """Against published tables and exact fractions: quantiles of Student's t, binomial sums, closed forms of the beta function."""
+    from fractions import Fraction
+    from math import atan, comb, pi, sqrt
+
+    def one(c):
+        return spark.range(1).select(c).first()[0]
+
+    lit = lambda x: F.lit(float(x))
+    for t, df, p in ((12.706204736432095, 1, 0.05), (2.228138851964939, 10, 0.05), (1.9839715184496334, 100, 0.05), (3.169272667175838, 10, 0.01)):
+        assert abs(one(stats.student_p(lit(t), F.lit(df))) - p) < 1e-9
+    for t in (0.0, 0.5, 3.0):  # one and two degrees of freedom
+        assert abs(one(stats.student_p(lit(t), F.lit(1))) - (1 - 2 * atan(t) / pi)) < 1e-12
+        assert abs(one(stats.student_p(lit(-t), F.lit(2))) - (1 - t / sqrt(2 + t * t))) < 1e-12
+    for b, c in ((0, 0), (3, 3), (0, 5), (12, 4), (48, 53), (400, 460), (2, 900)):
+        exact = min(Fraction(1), 2 * Fraction(sum(comb(b + c, k) for k in range(min(b, c) + 1)), 2 ** (b + c)))
+        assert abs(one(stats.sign_p(F.lit(b), F.lit(c))) - float(exact)) < 1e-9
+    for x in (0.0, 0.1, 0.5, 0.99, 1.0):  # I_x(a, 1) = x ** a
+        assert abs(one(stats.incomplete_beta(lit(x), lit(3.5), lit(1))) - x**3.5) < 1e-12
+    assert one(stats.student_p(lit(1), F.lit(0))) is None
+    assert abs(one(stats.sign_p(F.lit(100_200), F.lit(100_000))) - 0.6565) < 1e-3
+
+
 def test_equal_choices_keep_their_letters(spark):
     choices = "map('A', 'same', 'B', 'other', 'C', 'same', 'D', 'last')"
     questions = spark.range(1).selectExpr("'q' AS id", "'C' AS correct", f"{choices} AS choices")
