@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftbook.session import shared_folder
+from siftbook.session import shared_folder, stage
 
 Keys = tuple[str, ...] | list[str]
 
@@ -192,11 +192,54 @@ def sample_per_category(df: DataFrame, category: str, key: Keys, n: int, seed: i
     return picked.join(totals, category)
 
 
+def select_nth(df: DataFrame, value: Column, n: int, buckets: int = 4096, small: int = 10_000) -> tuple:
+    """The ``n``-th smallest of numbers without null and NaN, and its place among those equal to it.
+
+    In each round the numbers between two bounds are counted in equal steps, with the least and the greatest
+    of each step; the step that holds the ``n``-th gives the next bounds. Only counts are shuffled, at most
+    ``buckets`` rows reach the driver, and numbers are sorted once no more than ``small`` are left.
+    """
+    rows = df.select(value.alias("_x"))
+    low, high, count = rows.agg(F.min("_x"), F.max("_x"), F.count("_x")).first()
+    while low != high and count > small:
+        inside = rows.filter(F.col("_x").between(low, high)).groupBy(_step(F.col("_x"), low, high, buckets).alias("step"))
+        for _, least, most, held in sorted(map(tuple, inside.agg(F.min("_x"), F.max("_x"), F.count("*")).collect())):
+            if n <= held:
+                low, high, count = least, most, held
+                break
+            n -= held
+    if low == high:
+        return low, n
+    left = rows.filter(F.col("_x").between(low, high))
+    found = left.orderBy("_x").offset(n - 1).limit(1).first()[0]
+    return found, n - left.filter(F.col("_x") < F.lit(found)).count()
+
+
+def _step(x: Column, low: float, high: float, buckets: int) -> Column:
+    """A number that never falls as x grows from ``low`` to ``high``, with few values and two at least."""
+    if isinstance(low, int):
+        above = x.cast("decimal(20,0)") - F.lit(low)
+        return above - above % F.lit((high - low) // (buckets - 1) + 1)
+    if width := high / 2 - low / 2:  # halves, as the difference of two doubles may be too large for one
+        return F.floor((x.cast("double") / 2 - F.lit(low / 2)) / F.lit(width) * (buckets - 1))
+    return F.when(x > F.lit(low), 1).otherwise(0)
+
+
+def first_rows(df: DataFrame, value: Column, key: str, n: int) -> Column:
+    """Condition that holds for the first ``n`` rows by (value, key), both numbers; no row is moved for it."""
+    if n <= 0:
+        return F.lit(False)
+    last, place = select_nth(df, value, n)
+    ties = df.filter(value == F.lit(last))
+    last_key, _ = select_nth(ties, F.col(key), place)
+    return (value < F.lit(last)) | ((value == F.lit(last)) & (F.col(key) <= F.lit(last_key)))
+
+
 def top_fraction(df: DataFrame, score: str, key: str, fraction: float) -> DataFrame:
-    """The ``int(n * fraction)`` highest scores. NaN and null never count or get chosen."""
+    """The ``int(n * fraction)`` highest scores, ties to the lower key. NaN and null never count or get chosen."""
     scored = df.filter(F.col(score).isNotNull() & ~F.isnan(score))
-    ranked = ordered_rank(scored, [F.col(score).desc(), F.col(key)])
-    return ranked.filter(F.col("rank") <= F.floor(row_total(scored) * fraction))
+    narrow = stage(scored.select((-F.col(score)).alias("_s"), F.col(key).alias("_k")), "scores")
+    return scored.withColumns({"_s": -F.col(score), "_k": F.col(key)}).filter(first_rows(narrow, F.col("_s"), "_k", int(narrow.count() * fraction))).drop("_s", "_k")
 
 
 def usable_sample(df: DataFrame, usable: Column, key: Keys, n: int, seed: int = 42) -> DataFrame:
@@ -211,24 +254,25 @@ def sequence_ids(df: DataFrame, group: Keys, order: list[Column], prefix: Column
     return ranked.withColumn(name, F.concat(prefix, F.format_string(f"%0{width}d", number))).drop("_rank")
 
 
-def tiles(df: DataFrame, order: list[Column], n: int, name: str = "tile") -> DataFrame:
-    """``ntile`` over all rows: sizes differ by at most one, larger tiles first."""
-    total = row_total(df)
-    small = F.floor(total / n)
-    wide = F.pmod(total, F.lit(n))
-    r = F.col("_rank")
-    cut = wide * (small + 1)
-    tile = F.when(r <= cut, F.ceil(r / (small + 1))).otherwise(wide + F.ceil((r - cut) / F.greatest(small, F.lit(1))))
-    return ordered_rank(df, order, name="_rank").withColumn(name, tile.cast("long")).drop("_rank")
-
-
-def exact_median(df: DataFrame, value: str, key: str) -> DataFrame:
-    """Median of a column as one row, from the one or two middle ranks."""
-    known = df.filter(F.col(value).isNotNull()).select(value, key)
-    n = row_total(known)
-    ranked = ordered_rank(known, [F.col(value), F.col(key)])
-    middle = F.col("rank").between(F.floor((n + 1) / 2), F.floor((n + 2) / 2))
-    return ranked.filter(middle).agg(F.avg(value).alias("median"))
+def tiles(df: DataFrame, value: str, key: str, n: int, name: str = "tile") -> DataFrame:
+    """``ntile`` over all rows by (value, key): sizes differ by at most one, larger tiles first.
+
+    The last row of each tile is selected, then every row is compared with those; nothing is sorted.
+    """
+    total, place, before = df.count(), 0, F.lit(1)
+    for tile in range(n - 1):
+        place += total // n + (tile < total % n)
+        before = before + F.when(first_rows(df, F.col(value), key, place), 0).otherwise(1)
+    return df.withColumn(name, before.cast("long"))
+
+
+def exact_median(df: DataFrame, value: str) -> float | None:
+    """Median of a column, from the one or two middle values; null if there are none."""
+    known = df.filter(F.col(value).isNotNull())
+    n = known.count()
+    middle = {(n + 1) // 2, n // 2 + 1} if n else ()
+    found = [select_nth(known, F.col(value), i)[0] for i in middle]
+    return sum(found) / len(found) if found else None
 
 
 def few_shot(records: DataFrame, seeds: DataFrame, record_key: str, seed_key: str, category: str, n: int = 8, seed: int = 42) -> DataFrame:

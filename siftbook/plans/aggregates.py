@@ -298,8 +298,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     hits = retrieval.nearest(t.embeddings, t.embeddings, "vec_id", "embedding", 1, exclude_self=True)
     hits = stage(hits.select("query_id", "distance"), "hits")
-    threshold = ranking.exact_median(hits, "distance", "query_id").scalar()
-    cut = ranking.tiles(hits, [F.col("distance"), F.col("query_id")], 3, "tercile")
+    threshold = F.lit(ranking.exact_median(hits, "distance")).cast("double")
+    cut = ranking.tiles(hits, "distance", "query_id", 3, "tercile")
     return rounded(cut.groupBy("tercile").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high")).withColumn("threshold", threshold))
 
 

@@ -200,7 +200,7 @@ def _(t: Tables) -> DataFrame:
        f"SELECT query_id, CAST(label AS BIGINT) AS label, tercile FROM (SELECT *, {sql_rank('query_id', 3, 'label, tercile')} AS r FROM c) WHERE r <= 7")
 def _(t: Tables) -> DataFrame:
     hits = retrieval.nearest(t.embeddings, t.embeddings, "vec_id", "embedding", 1, exclude_self=True).select("query_id", "distance")
-    cut = ranking.tiles(stage(hits, "hits"), [F.col("distance"), F.col("query_id")], 3, "tercile")
+    cut = ranking.tiles(stage(hits, "hits"), "distance", "query_id", 3, "tercile")
     cells = cut.join(t.embeddings.select(F.col("vec_id").alias("query_id"), "label"), "query_id").select("query_id", "label", "tercile")
     return ranking.top_per_group(cells, ["label", "tercile"], [ranking.hash_order(3, "query_id"), F.col("query_id")], F.lit(7), bound=7).drop("pick")
 

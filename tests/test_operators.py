@@ -37,7 +37,7 @@ def test_ranks_equal_window_ranks(skewed, within):
 
 def test_tiles_equal_ntile(skewed):
     expected = skewed.withColumn("tile", F.ntile(7).over(W.orderBy("v", "id")).cast("long"))
-    assert pairs(ranking.tiles(skewed, [F.col("v"), F.col("id")], 7), "id", "tile") == pairs(expected, "id", "tile")
+    assert pairs(ranking.tiles(skewed, "v", "id", 7), "id", "tile") == pairs(expected, "id", "tile")
 
 
 def test_top_per_group(skewed):
@@ -62,8 +62,26 @@ def test_top_fraction_ignores_nan(spark):
 
 def test_median(spark):
     df = spark.createDataFrame([(i, float(i * i)) for i in range(10)], "id long, v double")
-    assert ranking.exact_median(df, "v", "id").first()[0] == (16 + 25) / 2
-    assert ranking.exact_median(df.filter("id < 9"), "v", "id").first()[0] == 16
+    assert ranking.exact_median(df, "v") == (16 + 25) / 2
+    assert ranking.exact_median(df.filter("id < 9"), "v") == 16
+
+
+def test_selection_without_a_sort(spark):
+    """Outliers, hot values, long numbers and few steps a round, against sorted lists; the plan of the result moves no rows."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice([0.0, -1e308, 1e308, 5e-324, 2.5, 2.5, 2.5, rng.gauss(0, 1)])) for i in range(600)]
+    rows += [(2**62 + i, 2.5) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(5).cache()
+    ordered = sorted((v, i) for i, v in rows)
+    for n in (1, 7, 300, 451, 620):
+        value, place = ranking.select_nth(df, F.col("v"), n, buckets=5, small=3)
+        assert value == ordered[n - 1][0] and place == n - sum(v < value for v, _ in ordered)
+        assert ranking.select_nth(df, F.col("id"), n, buckets=5, small=3) == (sorted(i for i, _ in rows)[n - 1], 1)
+        assert pairs(df.filter(ranking.first_rows(df, F.col("v"), "id", n)), "v", "id") == ordered[:n]
+    best = ranking.top_fraction(df, "v", "id", 0.3)
+    assert pairs(best, "id") == sorted((i,) for _, i in sorted((-v, i) for i, v in rows)[:186])
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert ranking.top_fraction(df.limit(0), "v", "id", 0.3).count() == 0
 
 
 def test_few_shot(spark):
