@@ -42,20 +42,20 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     out, checkpoint = scratch_path(t.spark, "k4"), scratch_path(t.spark, "k4-checkpoint")
     K.running_counts(_events(t), "event_type", out, checkpoint)
-    return t.spark.read.parquet(out)
+    return K.latest_counts(t.spark, out)
 
 
 @query("k4_target_stop", "SELECT count(*) AS n, count(*) >= 100 AS reached FROM events WHERE event_type = 'purchase'")
 def _(t: Tables) -> DataFrame:
     out, checkpoint = scratch_path(t.spark, "k4"), scratch_path(t.spark, "k4-checkpoint")
     K.running_counts(_events(t), "event_type", out, checkpoint)
-    return K.target_reached(t.spark.read.parquet(out), "event_type", "purchase", 100)
+    return K.target_reached(K.latest_counts(t.spark, out), "event_type", "purchase", 100)
 
 
 @query("k4_first_accepted", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' ORDER BY event_id LIMIT 100")
 def _(t: Tables) -> DataFrame:
     log, checkpoint = scratch_path(t.spark, "k4-log"), scratch_path(t.spark, "k4-checkpoint")
-    K.append_log(_events(t).select("event_id", "user_id", "event_type"), log, checkpoint)
+    K.collect_until(_events(t).select("event_id", "user_id", "event_type"), "event_type", "purchase", 100, log, scratch_path(t.spark, "k4"), checkpoint)
     return K.first_accepted(K.read_log(t.spark, log), "event_type", "purchase", "event_id", 100).select("event_id", "user_id")
 
 

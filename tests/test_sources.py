@@ -152,7 +152,27 @@ def test_incremental_runs_read_only_new_files(spark, tmp_path):
     K.running_counts(stream(), "status", out + "4", check + "4")
     assert sorted(r[0] for r in spark.read.parquet(out).select("id").collect()) == [1, 2, 3, 4, 5]
     assert sorted(r["id"] for r in K.read_log(spark, log).collect()) == [1, 2, 5]
-    assert {r["status"]: r["n"] for r in spark.read.parquet(out + "4").collect()} == {"open": 3, "done": 2}
+    assert {r["status"]: r["n"] for r in K.latest_counts(spark, out + "4").collect()} == {"open": 3, "done": 2}
     log3 = K.read_log(spark, log + "3")
     state = K.upserted(spark, log + "3", "key", "id", ["id"], ["status"])
     assert log3.count() == 5 and {(r["key"], r["id"], r["status"]) for r in state.collect()} == {("a", 1, "done"), ("b", 2, "done"), ("c", 5, "open")}
+
+
+def test_a_stream_stops_at_its_target(spark, tmp_path):
+    """Files behind the one that reaches the target stay unread, a second run reads nothing, totals are kept for each batch."""
+    schema = "id long, status string"
+    for part in range(6):
+        rows = [(10 * part + i, "ok" if i % 2 else "bad") for i in range(10)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/part-{part}"))
+    places = [str(tmp_path / name) for name in ("log", "counts", "state")]
+    stream = lambda: K.landed(spark, str(tmp_path / "in/*"), spark.createDataFrame([], schema).schema, "*.parquet", files_per_batch=1)
+    for _ in range(2):
+        assert K.collect_until(stream(), "status", "ok", 12, *places)
+        assert K.read_log(spark, places[0]).count() == 30
+    assert [r[0] for r in K.first_accepted(K.read_log(spark, places[0]), "status", "ok", "id", 12).collect()] == list(range(1, 24, 2))
+    assert {tuple(r) for r in K.latest_counts(spark, places[1]).collect()} == {("ok", 15), ("bad", 15)}
+    # a target that was out of reach is reached by the files that are left
+    assert K.collect_until(stream(), "status", "ok", 30, *places) and K.read_log(spark, places[0]).count() == 60
+    assert not K.collect_until(stream(), "status", "ok", 31, *places)
+    K.running_counts(stream(), "status", str(tmp_path / "all"), str(tmp_path / "all-state"))
+    assert {tuple(r) for r in K.latest_counts(spark, str(tmp_path / "all")).collect()} == {("ok", 30), ("bad", 30)}
