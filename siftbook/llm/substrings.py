@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,8 +149,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 12, crowd: int
     fine = stage(_shared(rough), "shared-fragments")
     crowded = stage(fine.select("key", "mark").distinct().groupBy("key").count().filter(F.col("count") > crowd).select("key"), "crowds")
     if not crowded.isEmpty():
-        wide = fine.join(crowded, "key").groupBy(*_IDENTITY).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-        windows = stage(_fragments(own.join(wide, _IDENTITY), window, window), "windows")
+        wide = stage(fine.join(crowded, "key").groupBy(*_IDENTITY).agg(F.collect_set(F.struct("start", "n")).alias("spans")), "crowded")
+        windows = stage(_fragments(own.filter(_among(wide)).join(wide, _IDENTITY), window, window), "windows")
         fine = stage(fine.join(crowded, "key", "left_anti").unionByName(_shared(windows)), "shared-fragments")
     first = F.min(F.struct("doc_id", "th", "start", "n"))
     wanted = fine.groupBy("key", "mark").agg(first.alias("rep"))
@@ -164,6 +164,16 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 12, crowd: int
     return listed.groupBy(*_IDENTITY).agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
+def _among(rows: DataFrame, bits: int = 1 << 18) -> Column:
+    """Condition that holds for all documents in ``rows`` and few others, so that a join moves fewer texts."""
+    words = [0] * (bits // 64)
+    for r in rows.select(F.pmod("th", F.lit(bits)).alias("bit")).distinct().collect():
+        words[r["bit"] >> 6] |= 1 << (r["bit"] & 63)
+    own = F.pmod("th", F.lit(bits))
+    signed = [F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words]
+    return F.getbit(F.get(F.array(*signed), (own / 64).cast("int")), (own % 64).cast("int")) == 1
+
+
 def _shared(fragments: DataFrame) -> DataFrame:
     """The fragments whose key several documents have."""
     seen = fragments.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
