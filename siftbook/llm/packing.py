@@ -61,8 +61,13 @@ class WordIds:
         if len(self.cache) > KEPT_WORDS:
             self.cache = dict(itertools.islice(self.cache.items(), KEPT_WORDS))
 
+    @staticmethod
+    def _plain(word: str) -> bool:
+        """Letters that the tokenizer's normaliser leaves as they are; others may become letters and marks."""
+        return word.isalpha() and (word.isascii() or word == word.lower() and unicodedata.is_normalized("NFC", word))
+
     def _learn(self, words: list[str]) -> None:
-        letters = [w for w in words if w.isalpha() and (w.isascii() or w == w.lower() and unicodedata.is_normalized("NFC", w))]
+        letters = list(filter(self._plain, words))
         spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in letters]
         self.cache |= zip(letters, map(self._packed, self.merges(spelled, add_special_tokens=False)), strict=True)
         others = list(set(words).difference(letters))
@@ -79,7 +84,7 @@ class WordIds:
             self.trim()
             cache = self.cache
         new = words.difference(cache)
-        ended = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]
+        ended = [w for w in new if w[-1] in ".," and self._plain(w[:-1])]
         self._learn(list({w[:-1] for w in ended}.difference(cache) | new.difference(ended)))
         for w in ended:
             cache[w] = cache[w[:-1]] + self.marks[w[-1]]

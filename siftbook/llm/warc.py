@@ -99,17 +99,27 @@ class Inflated:
     """The bytes of a gzip file, inflated once from start to end, whatever members it has."""
 
     def __init__(self, source):
-        self.source, self.gz, self.held = source, zlib.decompressobj(31), bytearray()
+        self.source, self.held, self.rest, self.inside = source, bytearray(), b"", False
+        self.gz = zlib.decompressobj(31)
 
     def _more(self) -> bool:
-        data = self.gz.unconsumed_tail or self.source.read(BLOCK)
-        if not data:
-            return False
-        self.held += self.gz.decompress(data, BLOCK)
-        if self.gz.eof:
-            rest, self.gz = self.gz.unused_data, zlib.decompressobj(31)
-            if rest:
-                self.held += self.gz.decompress(rest, BLOCK)
+        """Some more bytes, false at the end of the file; a file may end behind a member only."""
+        self.rest = self.rest or self.source.read(BLOCK)
+        while not self.inside and not (rest := self.rest.lstrip(b"\0")):  # zeros may fill up a member's place
+            self.rest = self.source.read(BLOCK)
+            if not self.rest:
+                return False
+        if not self.inside:
+            self.rest = rest
+        made = self.gz.decompress(self.rest, BLOCK)
+        if not (made or self.rest or self.gz.eof):
+            raise ValueError("the archive ends inside a gzip member")
+        self.held += made
+        self.inside = not self.gz.eof
+        if self.inside:
+            self.rest = self.gz.unconsumed_tail
+        else:
+            self.rest, self.gz = self.gz.unused_data, zlib.decompressobj(31)
         return True
 
     def header(self) -> bytes | None:

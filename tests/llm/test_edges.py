@@ -266,6 +266,38 @@ def test_archives(spark, some_pages):
     assert {r.record_type for r in warc.marked(some_pages, 1).select(F.when(F.col("refers_to").isNull(), "response").alias("record_type")).collect()} == {"response"}
 
 
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_members_of_an_archive(monkeypatch, block):
+    """Many members in one block, zeros between them, records over several members, a file that breaks off."""
+    import io
+
+    monkeypatch.setattr(warc, "BLOCK", block)
+    records = [warc.page_record(i, "u", b"x" * i, None) for i in range(10)]
+    data = b"".join(records)
+    parts = [data[at : at + 100] for at in range(0, len(data), 100)]
+    for packed in (b"".join(map(gzip.compress, records)), b"\0\0".join(map(gzip.compress, parts)) + b"\0", gzip.compress(data) + gzip.compress(b"")):
+        stream, seen = warc.Inflated(io.BytesIO(packed)), []
+        while (head := stream.header()) is not None:
+            size = int(warc.fields_of(head)["content-length"])
+            seen.append(head + b"".join(stream.pieces(size + 4)))
+        assert seen == records
+    broken = warc.Inflated(io.BytesIO(gzip.compress(data)[:-20]))
+    with pytest.raises(ValueError, match="ends inside"):
+        while (head := broken.header()) is not None:
+            list(broken.pieces(int(warc.fields_of(head)["content-length"]) + 4))
+
+
+def test_ids_of_every_letter_before_a_mark():
+    from tokenizers import Tokenizer
+
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha() and not 0x3400 <= c < 0xD7A4 and c < 0x20000]
+    texts = [f"a{c}. {c}, a{c}b" for c in letters]
+    ids = packing.WordIds(queries.vocabulary())
+    got = [bytes(x) for at in range(0, len(texts), 1000) for x in ids(texts[at : at + 1000])]
+    expected = [packing.WordIds._packed(e) for e in Tokenizer.from_file(queries.vocabulary()).encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, expected, strict=True) if a != b] == []
+
+
 def test_inflating_in_small_steps(monkeypatch):
     import io
 
