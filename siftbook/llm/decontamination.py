@@ -18,18 +18,20 @@ SHARD_WORDS = 1 << 20
 
 
 class SuffixArray:
-    """Suffixes of a sequence of word numbers, sorted by their first twelve words.
+    """Suffixes of a sequence of word numbers, sorted by their first ``depth`` words at least.
 
-    Number 0 ends a document. Three rounds of sorting pack 3, 6 and 12 words in one key.
+    Number 0 ends a document. Rounds of sorting pack 3, 6, 12, ... words in one key.
     """
 
-    def __init__(self, words: np.ndarray):
-        self.words = np.concatenate([words, np.zeros(12, np.int64)])
+    def __init__(self, words: np.ndarray, depth: int = 12):
+        self.words = np.concatenate([words, np.zeros(max(depth, 2), np.int64)])
         n = len(words)
         w = self.words
         rank = self._ranks((w[:n] << 42) | (w[1 : n + 1] << 21) | w[2 : n + 2])
-        rank = self._ranks(self._joined(rank, 3))
-        self.order = np.argsort(self._joined(rank, 6))
+        covered = 3
+        while 2 * covered < depth:
+            rank, covered = self._ranks(self._joined(rank, covered)), 2 * covered
+        self.order = np.argsort(self._joined(rank, covered))
 
     @staticmethod
     def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -127,7 +129,7 @@ def search(texts: list[list[bytes]], tests: Tests) -> tuple[list[np.ndarray], li
         joined = np.zeros(int(sizes.sum()), np.int64)
         for begin, (_, _, part) in zip(begins, shard, strict=True):
             joined[begin : begin + len(part)] = part
-        array = SuffixArray(joined)
+        array = SuffixArray(joined, tests.window)
         low, high = array.find(tests.rows, tests.depth)
         for q in np.flatnonzero(low < high):
             at = np.sort(array.order[low[q] : high[q]])

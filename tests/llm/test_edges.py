@@ -298,6 +298,30 @@ def test_ids_of_every_letter_before_a_mark():
     assert [t for t, a, b in zip(texts, got, expected, strict=True) if a != b] == []
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 12, 13, 20, 40])
+def test_windows_of_any_length(window):
+    """Hit words and items against a search of every window."""
+    import random
+
+    rng = random.Random(window)
+    for _ in range(12):
+        words = lambda n: [b"w%d" % rng.randrange(3) for _ in range(n)]
+        texts = [words(rng.randrange(0, 150)) for _ in range(6)]
+        items = [(str(i), rng.choice(texts)[:70][rng.randrange(0, 9):] + words(rng.randrange(0, 3))) for i in range(5)]
+        tests = decontamination.Tests([(n, b" ".join(own).decode()) for n, own in items], window)
+        hit, found, _ = decontamination.search(texts, tests)
+        for text, bits, names in zip(texts, hit, found, strict=True):
+            expected, wanted = [False] * len(text), set()
+            for name, own in items:
+                size = min(window, len(own))
+                parts = {tuple(own[k : k + size]) for k in range(len(own) - size + 1)} if own else set()
+                for k in range(len(text) - size + 1):
+                    if tuple(text[k : k + size]) in parts:
+                        wanted.add(name)
+                        expected[k : k + size] = [True] * size
+            assert bits.tolist() == expected and names == wanted
+
+
 def test_inflating_in_small_steps(monkeypatch):
     import io
 
