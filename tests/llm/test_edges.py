@@ -169,6 +169,19 @@ def test_shards(spark, docs):
     assert sharding.shards(docs.filter("false")).count() == 0 and sharding.shards(docs.limit(1)).count() == 1
 
 
+@pytest.mark.parametrize(("hot", "groups", "copies", "loose"), [(1000, 300, 2, 1400), (0, 60, 50, 200), (900, 20, 70, 700)])
+def test_no_text_that_fits_a_shard_is_split(spark, hot, groups, copies, loose):
+    texts = ["hot"] * hot + [f"group {g}" for g in range(groups) for _ in range(copies)] + [f"alone {n}" for n in range(loose)]
+    docs = spark.createDataFrame([(i * 7 + 3, text) for i, text in enumerate(texts)], "doc_id long, text string")
+    placed = sharding.shards(docs).toPandas().merge(docs.toPandas(), on="doc_id")
+    sizes = placed.groupby("shard").size()
+    assert len(placed) == len(texts) and sizes.max() - sizes.min() <= 1
+    assert all(sorted(part.slot) == list(range(len(part))) for _, part in placed.groupby("shard"))
+    spread = placed.groupby("text").shard.nunique()
+    assert (spread.drop("hot", errors="ignore") > 1).sum() == 0
+    assert not hot or spread["hot"] <= hot // (len(texts) // 8) + 2
+
+
 def test_classifier(spark, docs):
     labels = spark.createDataFrame([(1, 1), (2, 1), (10, 0), (12, 0), (12, 1), (None, 1), (5, None)], "doc_id long, quality int")
     net = classifier.learn(docs, labels, "quality")
