@@ -15,6 +15,7 @@ from siftbook.functions import fixed
 from siftbook.functions.layout import chapter_of
 from siftbook.functions.text import token_set
 from siftbook.operators.ranking import first_per_key, top_per_group
+from siftbook.session import stage
 
 #: Bits of the filter that is sent to all tasks, 4 MB.
 BLOOM_BITS = 1 << 25
@@ -91,19 +92,20 @@ def find_passages(questions: DataFrame, passages: DataFrame, document: str, k: i
     """Passage of a question: its own chunk when it exists, else the ``k`` with most shared words.
 
     ``questions`` has id, ``document``, source_chunk_id and ``needle``; ``passages`` has
-    ``document``, chunk_id, ``order`` and body. Shared words are found by a join on (document, word),
-    so narrow rows are counted, a long document spreads over its words, and a question never meets a
-    chunk it shares nothing with, but for the first ``k`` of its document, which fill up its places.
+    ``document``, chunk_id, ``order`` and body. The score is the number of shared words through the root of
+    the passage's words. Candidates come from :func:`passage_candidates`, which leaves out the common words
+    of a question; their whole word sets are then compared. The first ``k`` of the document fill up places.
     """
-    q = questions.select("id", document, "source_chunk_id", token_set(F.col("needle")).alias("_q"))
-    c = passages.select(document, "chunk_id", "order", token_set(F.col("body")).alias("_c")).withColumn("_size", F.size("_c"))
+    # words are taken once, each side is read several times
+    q = stage(questions.select("id", document, "source_chunk_id", token_set(F.col("needle")).alias("_q")), "questions")
+    c = stage(passages.select(document, "chunk_id", "order", token_set(F.col("body")).alias("_c")).withColumn("_size", F.size("_c")), "passages")
     exact = q.join(c.select(document, F.col("chunk_id").alias("source_chunk_id")), [document, "source_chunk_id"])
     exact = exact.select("id", F.col("source_chunk_id").alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("place"), F.lit(True).alias("exact"))
     rest = q.join(exact.select("id").distinct(), "id", "left_anti")
     chunk = ["chunk_id", "order", "_size"]
     worded = c.filter("_size > 0")
-    shared = rest.select("id", document, F.explode("_q").alias("_word")).join(worded.select(document, *chunk, F.explode("_c").alias("_word")), [document, "_word"])
-    counted = shared.groupBy("id", *chunk).agg(F.count("*").alias("_n"))
+    found = passage_candidates(rest, worded, document, k).join(rest.select("id", "_q"), "id").join(worded.select(document, "chunk_id", "order", "_c"), [document, "chunk_id", "order"])
+    counted = found.select("id", *chunk, F.size(F.array_intersect("_q", "_c")).cast("long").alias("_n"))
     first = top_per_group(worded.select(document, *chunk), [document], [F.col("order")], F.lit(k), bound=k)
     spare = rest.select("id", document).join(first, document).select("id", *chunk, F.lit(0).cast("long").alias("_n"))
     scored = counted.unionByName(spare).groupBy("id", *chunk).agg(F.round(F.max("_n") / F.sqrt(F.col("_size")), 9).alias("score"))
@@ -113,6 +115,43 @@ def find_passages(questions: DataFrame, passages: DataFrame, document: str, k: i
     return exact.unionByName(fuzzy)
 
 
+def passage_candidates(questions: DataFrame, passages: DataFrame, document: str, k: int) -> DataFrame:
+    """(id, ``document``, chunk_id, order, _size) that may be among the ``k`` best of a question; none of those is left out.
+
+    ``questions`` has id, ``document`` and words ``_q``; ``passages`` has ``document``, chunk_id, order, words ``_c`` and
+    their number ``_size``. The words of a question are put in order, those in the fewest passages of its document
+    first. The rarer half is joined; the k-th score among the best so reached is the least a result has. A passage with none of the
+    words before one shares at most the words from there on, so a common word is joined only while that number,
+    through the root of the passage's size, is not below the least score. Candidates are held to it in the same way.
+    """
+    chunk = ["chunk_id", "order", "_size"]
+    words = questions.select("id", document, F.explode("_q").alias("_word"))
+    asked = words.select(document, "_word").distinct()
+    postings = passages.select(document, *chunk, F.explode("_c").alias("_word")).join(asked, [document, "_word"], "left_semi")
+    postings = stage(postings, "postings")
+    often = postings.groupBy(document, "_word").agg(F.count("*").alias("_often"))
+    smallest = postings.groupBy(document).agg(F.min("_size").alias("_smallest"))
+    mine = W.partitionBy("id")
+    placed = words.join(often, [document, "_word"]).withColumn("_at", F.row_number().over(mine.orderBy("_often", "_word")))
+    # ``_left``: words from this one on, itself included
+    placed = stage(placed.withColumn("_all", F.count("*").over(mine)).withColumn("_left", F.col("_all") - F.col("_at") + 1), "placed")
+    rare = 2 * F.col("_at") <= F.col("_all") + 1
+    reached = placed.filter(rare).join(postings, [document, "_word"]).groupBy("id", document, *chunk).agg(F.count("*").alias("_n"), F.max("_all").alias("_all"))
+    reached = stage(reached.withColumn("_score", F.col("_n") / F.sqrt("_size")), "reached")
+    # few of the best so far are compared in full; scores are rounded to nine digits in the end
+    best = reached.withColumn("_k", F.row_number().over(mine.orderBy(F.desc("_score")))).filter(F.col("_k") <= 4 * k)
+    whole = best.select("id", document, "chunk_id", "order").join(questions.select("id", "_q"), "id").join(passages, [document, "chunk_id", "order"])
+    scores = F.sort_array(F.collect_list(F.size(F.array_intersect("_q", "_c")) / F.sqrt("_size")), asc=False)
+    least = stage(whole.groupBy("id").agg((F.get(scores, F.lit(k - 1)) - 1e-8).alias("_least")), "least")
+    common = placed.filter(~rare).join(least, "id", "left").join(smallest, document).withColumn("_least", F.coalesce("_least", F.lit(0.0)))
+    common = common.filter(F.col("_left") >= F.col("_least") * F.sqrt("_smallest"))
+    late = common.join(postings, [document, "_word"]).filter(F.col("_left") >= F.col("_least") * F.sqrt("_size"))
+    late = late.groupBy("id", document, *chunk).agg(F.max("_left").alias("_most"))
+    early = reached.select("id", document, *chunk, (F.col("_n") + F.floor(F.col("_all") / 2)).alias("_most"))
+    either = early.unionByName(late).groupBy("id", document, *chunk).agg(F.max("_most").alias("_most")).join(least, "id", "left")
+    return either.filter(F.col("_most") >= F.coalesce("_least", F.lit(0.0)) * F.sqrt("_size")).select("id", document, *chunk)
+
+
 def shared_substrings(probes: DataFrame, texts: DataFrame, probe_key: str, text_key: str, text: str, width: int = 40, stride: int = 20) -> DataFrame:
     """(probe, text) pairs where a slice of the probe, taken every ``stride`` characters, occurs in the whole text.
 

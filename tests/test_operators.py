@@ -385,3 +385,36 @@ def test_cutoff_ties_and_imprecise_years(spark):
         (3, "EXCLUDE", "PRE_CUTOFF_EPUBLICATION", "index.pubYear(day-imprecise)"), (4, "AMBIGUOUS", "AMBIGUOUS_DATE", None),
         (5, "EXCLUDE", "PRE_CUTOFF_PREPRINT", "registry.preprint"),
     ]
+
+
+def test_passages_equal_all_pairs_without_joining_common_words(spark):
+    rng = random.Random(11)
+    common, rare = [f"common{i}" for i in range(8)], [f"rare{i}" for i in range(400)]
+    chunks = [(d, f"c{n}", n, " ".join(rng.sample(common, rng.choice([7, 8])) + rng.sample(rare, rng.randrange(2, 9)))) for d, many in (("hot", 300), ("b", 20), (None, 4)) for n in range(many)]
+    chunks += [("b", "c20", 20, ""), ("b", "c21", 21, None), ("b", "c22", 22, "rare1")]
+    asked = []
+    for i in range(60):
+        d, chunk, _, body = rng.choice(chunks[:320])
+        words = body.split()
+        asked.append((i, d, chunk if i % 7 == 0 else "none", " ".join(words[: 8 if i % 9 == 0 else None] if i % 2 else words + rng.sample(rare, 3))))
+    asked += [(60, "b", "none", ""), (61, "b", "none", None), (62, "gone", "none", "common1"), (63, None, "c1", "common1"), (64, "b", "none", "unheard"), (65, "hot", "none", "common0 common1 common2")]
+    questions = spark.createDataFrame(asked, "id long, doc string, source_chunk_id string, needle string")
+    passages = spark.createDataFrame(chunks, "doc string, chunk_id string, order long, body string")
+
+    expected = set()
+    for i, d, source, needle in asked:
+        near = [(c, n, set((body or "").split())) for dd, c, n, body in chunks if d is not None and dd == d]
+        if any(c == source for c, _, _ in near):
+            expected.add((i, source, 1, True))
+            continue
+        own = set((needle or "").split())
+        best = sorted((-round(len(own & words) / len(words) ** 0.5, 9), n, c) for c, n, words in near if words)[:3]
+        expected |= {(i, c, place, False) for place, (_, _, c) in enumerate(best, 1)}
+    found = lookups.find_passages(questions, passages, "doc")
+    assert {(r.id, r.chunk_id, r.place, r.exact) for r in found.collect()} == expected
+
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    worded = passages.filter("doc = 'hot'").select("doc", "chunk_id", "order", words("body").alias("_c")).withColumn("_size", F.size("_c"))
+    hot = questions.filter("doc = 'hot' AND id % 2 = 0 AND id < 60").select("id", "doc", words("needle").alias("_q"))
+    # every pair shares common words
+    assert lookups.passage_candidates(hot, worded, "doc", 3).count() < 0.5 * hot.count() * worded.count()
