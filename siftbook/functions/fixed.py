@@ -10,11 +10,15 @@ SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# Names of an answer that its passage lacks, as many as a report lists.
+UNGROUNDED_LISTED = 12
+
 # Chunk size and input limits, in characters.
 MAX_SECTION_CHARS = 4000
 PRETRAIN_MIN_CHARS = 100
 GENERATION_MIN_CHARS = 300
 MCQ_PASSAGE_CHARS = 2000
+NOTE_CHARS = 2000
 VERIFY_PASSAGE_CHARS = 3000
 MIN_ABSTRACT_CHARS = 80
 

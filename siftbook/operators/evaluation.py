@@ -133,11 +133,13 @@ def leaderboard(scored: DataFrame, questions: DataFrame, flagged: DataFrame, lev
     )
 
 
-def valid_reviews(reviews: DataFrame, questions: DataFrame) -> DataFrame:
-    """Reviews of known questions by a named reviewer with a known verdict; notes are cut to 2000."""
+def valid_reviews(reviews: DataFrame, questions: DataFrame, note_chars: int | None = fixed.NOTE_CHARS) -> DataFrame:
+    """Reviews of known questions by a named reviewer with a known verdict; notes are cut to ``note_chars``, unless it is None."""
     named = F.trim(F.coalesce("reviewer", F.lit(""))) != ""
     ok = reviews.filter(named & F.col("verdict").isin(*fixed.REVIEW_VERDICTS))
-    return ok.join(questions.select("qid").distinct(), "qid", "left_semi").withColumn("notes", F.left(F.coalesce("notes", F.lit("")), F.lit(2000)))
+    notes = F.coalesce("notes", F.lit(""))
+    notes = notes if note_chars is None else F.left(notes, F.lit(note_chars))
+    return ok.join(questions.select("qid").distinct(), "qid", "left_semi").withColumn("notes", notes)
 
 
 def review_state(reviews: DataFrame, key: str = "qid", verdict: str = "verdict") -> DataFrame:

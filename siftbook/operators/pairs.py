@@ -43,17 +43,18 @@ def to_messages(turns: DataFrame, key: str, order: str, role: str, text: str) ->
     return turns.groupBy(key).agg(F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 
-def auto_checks(answer: Column, passage: Column) -> dict[str, Column]:
-    """Quality columns of an answer against its passage."""
+def auto_checks(answer: Column, passage: Column, listed: int | None = fixed.UNGROUNDED_LISTED) -> dict[str, Column]:
+    """Quality columns of an answer against its passage; names not in it are listed up to ``listed``, all if it is None."""
     found = entities(answer)
     grounded = let(F.lower(passage), lambda p: F.filter(found, lambda e: F.contains(p, F.lower(e))))
     ratio = F.round(F.size(grounded) / F.size(found), 2)
+    missing = F.array_sort(F.array_except(found, grounded))
     return {
         "words": word_count(answer),
         "meta_leak": meta_leak(answer),
         "n_entities": F.size(found).cast("long"),
         "entity_grounding": F.when(F.size(found) > 0, ratio),
-        "ungrounded_entities": F.slice(F.array_sort(F.array_except(found, grounded)), 1, 12),
+        "ungrounded_entities": missing if listed is None else F.slice(missing, 1, listed),
     }
 
 

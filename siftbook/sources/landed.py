@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftbook.functions import fixed
 from siftbook.functions.grading import is_right, letter_or_null, penalised
 from siftbook.functions.text import blank_to_null, canonical_doi, canonical_pmcid, last_segment, strip, title_key
 
@@ -84,11 +85,13 @@ def scored_responses(scores: DataFrame, requests: DataFrame) -> DataFrame:
     ).drop("custom_id", "problem")
 
 
-def nested_reviews(reviews: DataFrame) -> DataFrame:
+def nested_reviews(reviews: DataFrame, note_chars: int | None = fixed.NOTE_CHARS) -> DataFrame:
     """Reviews (qid, reviewer, verdict, notes, ts) as one JSON object per question.
 
-    Together the rows are the export document: each holds the reviewers of one question.
+    Together the rows are the export document: each holds the reviewers of one question. Notes are cut to
+    ``note_chars``, or kept whole if it is None.
     """
-    entry = F.struct("verdict", F.left("notes", F.lit(2000)).alias("notes"), "ts")
+    notes = F.col("notes") if note_chars is None else F.left("notes", F.lit(note_chars)).alias("notes")
+    entry = F.struct("verdict", notes, "ts")
     by_name = F.map_from_entries(F.array_sort(F.collect_list(F.struct("reviewer", entry.alias("e")))))
     return reviews.groupBy("qid").agg(F.to_json(by_name).alias("reviews"))

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftbook.functions import stats
+from siftbook.functions import fixed, stats
 from siftbook.functions.text import content_key
 from siftbook.operators import dedup, evaluation, lookups, metric_index, packing, quality, ranking, records, retrieval
 from siftbook.session import scratch_path
+from siftbook.sources import landed
 from siftbook.streaming import incremental
 
 
@@ -418,3 +419,12 @@ def test_passages_equal_all_pairs_without_joining_common_words(spark):
     hot = questions.filter("doc = 'hot' AND id % 2 = 0 AND id < 60").select("id", "doc", words("needle").alias("_q"))
     # every pair shares common words
     assert lookups.passage_candidates(hot, worded, "doc", 3).count() < 0.5 * hot.count() * worded.count()
+
+
+def test_notes_are_whole_without_a_limit(spark):
+    reviews = spark.createDataFrame([("q", "ann", fixed.REVIEW_VERDICTS[0], "n" * 5000, "t")], "qid string, reviewer string, verdict string, notes string, ts string")
+    questions = spark.createDataFrame([("q",)], "qid string")
+    for limit, length in [({}, 2000), ({"note_chars": 7}, 7), ({"note_chars": None}, 5000)]:
+        assert len(evaluation.valid_reviews(reviews, questions, **limit).first().notes) == length
+        assert landed.nested_reviews(reviews, **limit).first().reviews.count("n" * length) == 1
+        assert "n" * (length + 1) not in landed.nested_reviews(reviews, **limit).first().reviews
