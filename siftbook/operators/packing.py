@@ -1,22 +1,19 @@
 """Sections and chunks of a document.
 
-Sections are filled forward in blocks of a document. Packing is sequential inside a document, which is
-walked as a stream, so memory does not grow with it.
+Sections are filled forward in blocks of a document; chunks are found in splits that a document may run
+through, so neither needs a document in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftbook.functions import fixed
 from siftbook.functions.layout import chapter_of, fence_code, is_caption, is_stop_section, is_top_level
 from siftbook.functions.text import page_range, provenance_header, strip
+from siftbook.operators import chunk_splits
 from siftbook.operators.quality import drop_repeated
 
 BODY = "Body"
@@ -119,55 +116,15 @@ def pack_elements(elements: DataFrame, document: str, order: str, content: str,
     With ``page`` a chunk gets its first_page and last_page. ``run`` tells sections of one name apart
     that stand in different places.
 
-    The rows of a document follow each other in one task, which holds the chunk it is building and
-    nothing else of the document, however long that is. Chunks close as in :func:`chunk_starts`.
+    Rows are sorted over all tasks, so a document of any length is packed in many: see
+    :mod:`siftbook.operators.chunk_splits`. Chunks close as in :func:`chunk_starts`. Rows without a
+    document are one document.
     """
-    fields = ["kind", "chapter", "section_title", "run", "page", "content"]
     rows = elements.select(F.col(document).alias("d"), F.col(order).alias("o"), F.col(kind).alias("kind"), F.col(content).alias("content"), "chapter", "section_title",
                            (F.col(page) if page else F.lit(None)).cast("long").alias("page"), (F.col(run) if run else F.lit(None)).cast("long").alias("run"))
-    schema = rows.select(F.col("d").alias(document)).schema
-    for name, type_ in (("chunk", "long"), ("content_type", "string"), ("chapter", "string"), ("section_title", "string"), ("text", "string"), ("n_elements", "long"), *([("first_page", "long"), ("last_page", "long")] if page else [])):
-        schema = schema.add(name, type_)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        document_, number, head, held, pages, used, done = _NOTHING, 0, None, [], [], 0, []
-
-        def close() -> None:
-            if held:
-                known = [p for p in pages if p is not None]
-                ends = (min(known, default=None), max(known, default=None)) if page else ()
-                done.append((document_, number, *head[:3], "\n\n".join(c for c in held if c is not None), len(held), *ends))
-                held.clear()
-                pages.clear()
-
-        for batch in batches:
-            for d, *head_, at, text in zip(batch.column("d").to_pylist(), *(batch.column(c).to_pylist() for c in fields), strict=True):
-                size = len(text or "")
-                if d != document_:
-                    close()
-                    document_, number, head = d, 0, None
-                fits = head is not None and "table" not in (head[0], head_[0]) and head_[1:] == head[1:] and used + size <= limit
-                if not fits:
-                    close()
-                    number, head, used = number + 1, head_, 0
-                held.append(text)
-                pages.append(at)
-                used += size
-            yield _arrow(done, types)
-            done.clear()
-        close()
-        yield _arrow(done, types)
-
-    types = to_arrow_schema(schema)
-    placed = rows.repartition("d").sortWithinPartitions("d", "o")
-    return placed.select("d", *fields).mapInArrow(pack, schema)
-
-
-_NOTHING = object()
-
-
-def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+    chunks = chunk_splits.pack(rows, limit)
+    return chunks.select(F.col("d").alias(document), "chunk", F.col("kind").alias("content_type"), "chapter", "section_title", "text", "n_elements",
+                         *(["first_page", "last_page"] if page else []))
 
 
 def layout_chunks(blocks: DataFrame, document: str, order: str, page: str, text: str, heading: str, mono: str, limit: int = fixed.MAX_SECTION_CHARS) -> DataFrame:

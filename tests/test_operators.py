@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftbook.functions import fixed, stats
 from siftbook.functions.text import content_key
-from siftbook.operators import dedup, evaluation, lookups, metric_index, packing, quality, ranking, records, retrieval
+from siftbook.operators import chunk_splits, dedup, evaluation, lookups, metric_index, packing, quality, ranking, records, retrieval
 from siftbook.session import scratch_path
 from siftbook.sources import landed
 from siftbook.streaming import incremental
@@ -210,6 +210,58 @@ def test_packing(spark):
     assert got == expected
 
 
+def test_steps_of_rows_without_a_cut():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        sizes, limit = rng.integers(0, rng.choice([3, 9, 30]), rng.integers(1, 40)), 20
+        upto, times, ends = chunk_splits.steps(sizes, limit)
+        for used in range(0, 45):
+            step = next((i for i, u in enumerate(upto) if used > limit or u > limit - used), None)
+            now, begun = used, 0
+            for size in sizes:
+                begun, now = (begun + 1, size) if now + size > limit else (begun, now + size)
+            assert (begun, now) == ((0, used + sizes.sum()) if step is None else (times[step], ends[step]))
+
+
+@pytest.mark.parametrize("splits", [2, 7, 40])
+def test_a_long_document_is_packed_in_many_splits(spark, splits):
+    rng = random.Random(splits)
+    rows, expected = [], {}
+    for doc, n, sections in ((None, 40, 3), (1, 30, 2), (2, 900, 1), (3, 500, 4), (4, 3, 1), (5, 1, 1), (6, 60, 60)):
+        items = []
+        for i in range(n):
+            text = rng.choice([None, "", "x", "y" * 40, "z" * 90, "w" * 250] if doc != 6 else ["", None])
+            items.append(("table" if doc == 3 and rng.random() < 0.02 else rng.choice(["text", "note"]), text, f"s{i * sections // n}" if doc != 6 else "s"))
+        rows += [(doc, i, k, c, s, s, i // 10) for i, (k, c, s) in enumerate(items)]
+        expected[doc] = packed_by_hand(items, 200)
+    df = spark.createDataFrame(rows, "doc long, no long, kind string, content string, chapter string, section_title string, page long").repartition(8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", splits)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {}
+        for r in packing.pack_elements(df, "doc", "no", "content", "kind", 200, page="page").orderBy("doc", "chunk").collect():
+            got.setdefault(r["doc"], []).append((r["chunk"], r["content_type"], r["section_title"], r["text"], r["n_elements"], r["first_page"], r["last_page"]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == expected
+    assert packing.pack_elements(df.limit(0), "doc", "no", "content", "kind", 200).count() == 0
+
+
+def packed_by_hand(items, limit):
+    """Chunks of (kind, text, section) rows, ten rows a page."""
+    chunks = []
+    for i, (kind, text, section) in enumerate(items):
+        size, last = len(text or ""), chunks[-1] if chunks else None
+        if last is None or "table" in (kind, last["kind"]) or last["section"] != section or last["used"] + size > limit:
+            chunks.append({"kind": kind, "section": section, "used": 0, "texts": [], "rows": []})
+        chunks[-1]["used"] += size
+        chunks[-1]["texts"] += [text] if text is not None else []
+        chunks[-1]["rows"].append(i)
+    return [(n, c["kind"], c["section"], "\n\n".join(c["texts"]), len(c["rows"]), c["rows"][0] // 10, c["rows"][-1] // 10) for n, c in enumerate(chunks, 1)]
+
+
 @pytest.mark.parametrize("block", [3, 10_000])
 def test_fill_forward(spark, block):
     rng = random.Random(8)
