@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftbook.functions import fixed
 from siftbook.functions.text import mentions, strip, strip_header
+from siftbook.operators import languages
 
 
 def regroup(df: DataFrame, document: str, order: str, text: str, sep: str = " ") -> DataFrame:
@@ -43,13 +44,19 @@ def detect_language(c: Column, stop_words: dict[str, tuple[str, ...]] | None = N
 
 
 def decide_documents(chunks: DataFrame, document: str, text: str, language: str = "en", topic: str = fixed.TOPIC,
-                     least: int = fixed.MIN_MENTIONS, stop_words: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+                     least: int = fixed.MIN_MENTIONS, stop_words: dict[str, tuple[str, ...]] | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """Reason to drop each document, null to keep it; language is judged first.
 
     Mentions and language votes of all chunks are added up in one aggregate, so no document is put
-    together in one place. Chunks without a document name are judged together.
+    together in one place. Chunks without a document name are judged together. With ``profiles`` of
+    :func:`siftbook.operators.languages.learn` these decide the language instead of stop words.
     """
     body = chunks.select(document, strip_header(F.col(text)).alias("_body"))
+    if profiles is not None:
+        counts = body.groupBy(document).agg(F.coalesce(F.sum(mentions(F.col("_body"), topic)), F.lit(0)).alias("mentions"), F.count("*").alias("n_chunks"))
+        found = languages.detect(body, document, "_body", profiles).withColumnRenamed(document, "_found")
+        judged = counts.join(found, counts[document].eqNullSafe(found["_found"]))
+        return judged.select(document, _reason(language, least).alias("reason"), "detected_lang", "mentions", "n_chunks")
     votes = language_votes(F.col("_body"), stop_words)
     parts = body.select(document, mentions(F.col("_body"), topic).alias("_mentions"), F.length("_body").alias("_chars"), *[n.alias(f"_votes_{lang}") for lang, n in votes.items()])
     # as long as the bodies joined by blanks
@@ -59,8 +66,11 @@ def decide_documents(chunks: DataFrame, document: str, text: str, language: str
         *[F.sum(f"_votes_{lang}").alias(f"_votes_{lang}") for lang in votes],
     )
     judged = counts.withColumn("detected_lang", elected({lang: F.coalesce(f"_votes_{lang}", F.lit(0)) for lang in votes}, F.col("_chars")))
-    reason = F.when(F.col("detected_lang") != language, "NON_ENGLISH").when(F.coalesce("mentions", F.lit(0)) < least, "OFF_TOPIC_LOW_MENTIONS")
-    return judged.select(document, reason.alias("reason"), "detected_lang", "mentions", "n_chunks")
+    return judged.select(document, _reason(language, least).alias("reason"), "detected_lang", "mentions", "n_chunks")
+
+
+def _reason(language: str, least: int) -> Column:
+    return F.when(F.col("detected_lang") != language, "NON_ENGLISH").when(F.coalesce("mentions", F.lit(0)) < least, "OFF_TOPIC_LOW_MENTIONS")
 
 
 def split_by_decision(chunks: DataFrame, decisions: DataFrame, document: str) -> DataFrame:

@@ -10,13 +10,13 @@ from siftbook.functions.text import content_key, strip_header, word_count
 from siftbook.operators import evaluation as E
 from siftbook.operators import pairs as P
 from siftbook.operators import quality as Q
-from siftbook.operators import ranking, records, retrieval
+from siftbook.operators import languages, ranking, records, retrieval
 from siftbook.operators.dedup import drop_copies
 from siftbook.plans import inputs as I
 from siftbook.plans.inputs import q, sql_digit, sql_mentions, sql_rank, sql_strip_header, sql_words, with_
 from siftbook.plans.joins import PICKED_SQL, VECTORS_SQL, VIEWS_SQL, sql_hits, views
 from siftbook.plans.projections import (
-    AUDIT_FLAGS, AUDIT_RECORDS_SQL, AUDIT_SQL, ENTITY_PAIRS_SQL, audited, entity_pairs, leaky_pairs, LEAKY_SQL, sql_entities, sql_language,
+    AUDIT_FLAGS, AUDIT_RECORDS_SQL, AUDIT_SQL, ENTITY_PAIRS_SQL, LEARNED_CTES, audited, entity_pairs, leaky_pairs, LEAKY_SQL, sql_detected, sql_entities, sql_language,
 )
 from siftbook.plans.registry import Tables, query
 from siftbook.session import scratch_path, stage
@@ -51,6 +51,15 @@ def _(t: Tables) -> DataFrame:
     return decisions(t)
 
 
+LEARNED_SQL = f"""SELECT document_name, CASE WHEN detected_lang <> 'en' THEN 'NON_ENGLISH' WHEN mentions < {LEAST} THEN 'OFF_TOPIC_LOW_MENTIONS' END AS reason, detected_lang, mentions, n_chunks
+    FROM (SELECT document_name, sum({sql_mentions('body', TOPIC)})::BIGINT AS mentions, count(*) AS n_chunks FROM bodies GROUP BY document_name) JOIN ({sql_detected('bodies', 'document_name', 'body')}) ON key = document_name"""
+
+
+@query("e2_learned_language", with_("chunks", doc_chunks=DOC_CHUNKS_SQL, bodies=f"SELECT document_name, {sql_strip_header('text')} AS body FROM doc_chunks", **LEARNED_CTES) + LEARNED_SQL)
+def _(t: Tables) -> DataFrame:
+    return Q.decide_documents(doc_chunks(t), "document_name", "text", topic=TOPIC, least=LEAST, profiles=languages.learn(t.documents, "text", "lang"))
+
+
 @query("e2_chunks_follow_document", with_("chunks", doc_chunks=DOC_CHUNKS_SQL, d=DECISIONS_SQL) + "SELECT ord, coalesce(reason, 'kept') AS outcome FROM doc_chunks JOIN d USING (document_name)")
 def _(t: Tables) -> DataFrame:
     return Q.split_by_decision(doc_chunks(t), decisions(t), "document_name").select("ord", F.coalesce("reason", F.lit("kept")).alias("outcome"))

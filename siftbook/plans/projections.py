@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftbook.functions import dates, fixed, grading, layout
 from siftbook.functions import text as X
+from siftbook.operators import languages
 from siftbook.operators import lookups as J
 from siftbook.operators import records as R
 from siftbook.operators.pairs import audit_flags, chat_messages, content_of, parse_numbered, to_messages
@@ -524,6 +525,32 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", detect_language(F.col("text")).alias("detected"))
 
 
+# trigrams of the words of a text, one empty trigram carries characters and letters; profiles learned from all labelled documents
+def sql_grams(rows: str, key: str, text: str) -> str:
+    cut = f"SELECT {key} AS key, length(trim(coalesce({text}, ''))) AS chars, regexp_extract_all(lower(coalesce({text}, '')), '\\p{{L}}+') AS words FROM {rows}"
+    return f"""SELECT key, 0 AS chars, 1 AS n, substr(' ' || word || ' ', i, 3) AS gram FROM (SELECT key, word, unnest(range(1, length(word) + 1)) AS i FROM (SELECT key, unnest(words) AS word FROM ({cut})))
+    UNION ALL SELECT key, chars, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS n, '' AS gram FROM ({cut})"""
+
+
+PROFILES_SQL = f"""SELECT gram, lang, round(1000 * ln((c + 1) / mass))::BIGINT - round(-1000 * ln(mass))::BIGINT AS weight FROM learned JOIN masses USING (lang)
+    UNION ALL SELECT '' AS gram, lang, round(-1000 * ln(mass))::BIGINT FROM masses"""
+LEARNED_CTES = {
+    "learned": f"SELECT lang, gram, count(*) AS c FROM ({sql_grams('documents', 'lang', 'text')}) g(lang, chars, n, gram) WHERE lang IS NOT NULL AND gram <> '' GROUP BY ALL",
+    "masses": "SELECT lang, sum(c) + (SELECT count(DISTINCT gram) FROM learned) AS mass FROM learned GROUP BY lang",
+    "profiles": PROFILES_SQL,
+}
+
+
+def sql_detected(rows: str, key: str, text: str) -> str:
+    return f"""SELECT key, CASE WHEN max(chars) > 20 AND max(letters) > 0 THEN coalesce(arg_min(lang, (-score, lang)), 'unknown') ELSE 'unknown' END AS detected_lang
+    FROM (SELECT key, lang, sum(g.n * weight) AS score, sum(chars) AS chars, sum(CASE WHEN gram = '' THEN g.n END) AS letters FROM ({sql_grams(rows, key, text)}) g LEFT JOIN profiles USING (gram) GROUP BY ALL) GROUP BY key"""
+
+
+@query("c41_learned_language", with_(**LEARNED_CTES) + f"SELECT key AS doc_id, detected_lang AS detected FROM ({sql_detected('documents', 'doc_id', 'text')})")
+def _(t: Tables) -> DataFrame:
+    return languages.detect(t.documents, "doc_id", "text", languages.learn(t.documents, "text", "lang"), "detected")
+
+
 @query("c43_source_card", "SELECT doc_id, coalesce(source, '?') AS document_name, CASE doc_id % 3 WHEN 0 THEN 'p' || doc_id WHEN 1 THEN doc_id::VARCHAR ELSE '?' END AS page, replace(substr(text, 1, 200), chr(10), ' ') AS snippet FROM documents")
 def _(t: Tables) -> DataFrame:
     n = F.col("doc_id") % 3

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftbook.functions import fixed, stats
 from siftbook.functions.text import content_key
-from siftbook.operators import chunk_splits, dedup, evaluation, lookups, metric_index, packing, quality, ranking, records, retrieval
+from siftbook.operators import chunk_splits, dedup, evaluation, languages, lookups, metric_index, packing, quality, ranking, records, retrieval
 from siftbook.session import scratch_path
 from siftbook.sources import landed
 from siftbook.streaming import incremental
@@ -326,6 +326,34 @@ def test_layout_chunks(spark):
     assert packing.layout_chunks(df, "d", "o", "p", "t", "h", "m").count() == 8
 
 
+def test_learned_languages_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    profiles = languages.learn(docs.filter(~held_out), "text", "lang")
+    got = languages.detect(docs.filter(held_out), "doc_id", "text", profiles)
+    right = docs.filter("length(trim(text)) > 20 AND lang IS NOT NULL").join(got, "doc_id").filter("detected_lang != 'unknown'")
+    total, hits = right.agg(F.count("*"), F.count_if(F.col("lang") == F.col("detected_lang"))).first()
+    assert total > 200 and hits / total > 0.98
+    assert got.count() == docs.filter(held_out).count()
+
+
+def test_languages_of_odd_texts(spark):
+    taught = spark.createDataFrame([("aaaa bbbb " * 9, "x"), ("cccc dddd " * 9, "y"), ("cccc dddd " * 9, "z"), ("\u4e2d\u6587" * 20, "zh"), (None, "x"), ("!!", "w"), ("eeee", None)], "text string, lang string")
+    profiles = languages.learn(taught, "text", "lang")
+    assert {r["lang"] for r in profiles.collect()} == {"x", "y", "z", "zh"}
+    rows = [(1, "aaaa " * 9), (2, "cccc " * 9), (3, None), (4, ""), (5, "aaaa"), (6, "12 " * 30), (7, "\u4e2d\u6587" * 15), (8, "aaaa "), (8, "aaaa " * 4), (None, "bbbb " * 9), (9, "a" * 200_000)]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    got = {r["id"]: r["detected_lang"] for r in languages.detect(texts, "id", "text", profiles).collect()}
+    # y and z are as likely for 2; the chunks of 8 are judged together
+    assert got == {1: "x", 2: "y", 3: "unknown", 4: "unknown", 5: "unknown", 6: "unknown", 7: "zh", 8: "x", None: "x", 9: "x"}
+    none = languages.learn(taught.limit(0), "text", "lang")
+    assert {r["detected_lang"] for r in languages.detect(texts, "id", "text", none).collect()} == {"unknown"}
+    assert languages.detect(texts.limit(0), "id", "text", profiles).count() == 0
+    kept = quality.decide_documents(texts, "id", "text", language="x", topic="aaaa", least=1, profiles=profiles)
+    reasons = {r["id"]: (r["reason"], r["n_chunks"]) for r in kept.collect()}
+    assert reasons[1] == (None, 1) and reasons[8] == (None, 2) and reasons[2][0] == "NON_ENGLISH" and reasons[None][0] == "OFF_TOPIC_LOW_MENTIONS"
+
+
 def test_rows_without_document_or_order_are_filled(spark):
     df = spark.createDataFrame([("d", 1, "v"), ("d", 2, None), (None, 1, "n"), (None, 2, None), ("d", None, None)], "d string, o long, v string")
     got = packing.fill_forward(df, "d", "o", {"filled": F.col("v")}).collect()
