@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftbook.llm.batches import mapped
+from siftbook.llm.tree_match import Shapes
 from siftbook.session import stage
 
 #: A node is template if at least so many other pages of the host were aligned with it, and this share of them have its text.
@@ -192,39 +193,26 @@ def plain(leaves: list[Leaf]) -> list:
 
 def align(ours: list[Leaf], seed: list, path: str, found: list[tuple[Leaf, str | None, bool]]) -> None:
     """Simple tree matching: pair children in order so that most nodes are paired, and go down the pairs."""
-    sizes = _matches(ours, seed)
-    i, j = len(ours), len(seed)
-    pairs = {}
-    while i and j:
-        if sizes[i][j] == sizes[i - 1][j]:
-            i -= 1
-        elif sizes[i][j] == sizes[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs[i] = j
-    for k, leaf in enumerate(ours):
-        other = seed[pairs[k]] if k in pairs else ["", None, []]
-        own = f"{path}/{pairs[k]}" if k in pairs else None
-        if leaf.texts:
-            found.append((leaf, own, zlib.crc32("\n".join(leaf.texts).encode("utf-8", "surrogatepass")) == other[1]))
-        if leaf.children:
-            align(leaf.children, other[2], own or "", found)
-
-
-def _matches(ours: list[Leaf], seed: list) -> list[list[int]]:
-    """Paired nodes of every two prefixes of children."""
-    table = [[0] * (len(seed) + 1)]
-    for leaf in ours:
-        above, row = table[-1], [0]
-        for j, other in enumerate(seed):
-            best = above[j + 1] if above[j + 1] >= row[j] else row[j]
-            if leaf.label == other[0]:
-                both = above[j] + 1 + (_matches(leaf.children, other[2])[-1][-1] if leaf.children and other[2] else 0)
-                best = both if both > best else best
-            row.append(best)
-        table.append(row)
-    return table
+    shapes = Shapes()
+
+    def ours_below(leaves: list[Leaf]) -> tuple[int, ...]:
+        return tuple(shapes.add(x.label, ours_below(x.children)) for x in leaves)
+
+    def seed_below(nodes: list) -> tuple[int, ...]:
+        return tuple(shapes.add(x[0], seed_below(x[2])) for x in nodes)
+
+    def down(leaves: list[Leaf], own: tuple[int, ...], nodes: list, others: tuple[int, ...], path: str) -> None:
+        pairs = shapes.pairs(own, others)
+        for k, leaf in enumerate(leaves):
+            at = pairs.get(k)
+            other = ["", None, []] if at is None else nodes[at]
+            slot = None if at is None else f"{path}/{at}"
+            if leaf.texts:
+                found.append((leaf, slot, zlib.crc32("\n".join(leaf.texts).encode("utf-8", "surrogatepass")) == other[1]))
+            if leaf.children:
+                down(leaf.children, shapes.below(own[k]), other[2], () if at is None else shapes.below(others[at]), slot or "")
+
+    down(ours, ours_below(ours), seed, seed_below(seed), path)
 
 
 @functools.lru_cache(maxsize=256)
