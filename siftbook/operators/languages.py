@@ -53,8 +53,9 @@ def detect(texts: DataFrame, key: str, text: str, profiles: DataFrame, name: str
     body = F.coalesce(F.col(text), F.lit(""))
     cut = texts.select(F.col(key).alias("_key"), F.length(F.trim(body)).cast("long").alias("_chars"), _words(body).alias("_words"))
     # the empty word, one for each text, carries its characters and letters
-    letters = F.aggregate("_words", F.lit(0).cast("long"), lambda n, w: n + F.length(w))
-    words = cut.select("_key", "_chars", letters.alias("_letters"), F.explode(F.concat(F.array(F.lit("")), "_words")).alias("_word"))
+    # counted in a step of its own: beside explode it would be counted again for every word
+    cut = cut.withColumn("_letters", F.aggregate("_words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)))
+    words = cut.select("_key", "_chars", "_letters", F.explode(F.concat(F.array(F.lit("")), "_words")).alias("_word"))
     whole = F.col("_word") == ""
     grams = words.select(
         "_key", F.when(whole, F.col("_chars")).otherwise(0).alias("_chars"), F.when(whole, F.col("_letters")).otherwise(1).alias("_n"),
