@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,9 +82,27 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def clean_markup_full(c: Column) -> Column:
-    """As :func:`clean_markup` with every named and numbered entity."""
-    return strip(strip_tags(_unescape(strip_tags(c))))
+_CLOSED = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _decoded(found: re.Match) -> str:
+    entity = found[0]
+    return html.unescape(entity) if entity[1] == "#" or entity[1:] in html.entities.html5 else entity
+
+
+@F.pandas_udf(T.StringType())
+def _unescape_closed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: _CLOSED.sub(_decoded, x), na_action="ignore")
+
+
+def clean_markup_full(c: Column, closed_only: bool = False) -> Column:
+    """As :func:`clean_markup` with every named and numbered entity.
+
+    HTML readers decode some names without a semicolon too, also at the front of a longer word (``&ampThe``);
+    with ``closed_only`` those stay as they are.
+    """
+    decode = _unescape_closed if closed_only else _unescape
+    return strip(strip_tags(decode(strip_tags(c))))
 
 
 def title_key(c: Column) -> Column:

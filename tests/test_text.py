@@ -121,6 +121,12 @@ def test_full_entity_table(spark):
     assert value(spark, X.clean_markup_full(F.lit("&lt;i&gt;M.&lt;/i&gt; <b>x</b>&alpha;&#945;&eacute;"))) == "M. xααé"
 
 
+def test_entities_without_semicolon(spark):
+    raw = F.lit("a &ampThe &ampp; &amp{x} &copyb &amp;lt; &lt;b&gt; &#945; &#x3b1; &eacute;")
+    assert value(spark, X.clean_markup_full(raw, closed_only=True)) == "a &ampThe &ampp; &amp{x} &copyb &lt;  α α é"
+    assert value(spark, X.clean_markup_full(raw)) == "a &The &p; &{x} ©b &lt;  α α é"
+
+
 def test_published_counts():
     assert 607 + 120 + 167 + 66 == 960
     assert round((607 + 167) / 960, 4) == 0.8063 and round((607 + 66) / 960, 4) == 0.7010
