@@ -434,6 +434,29 @@ def test_no_vector_is_moved_for_the_cells_of_others(spark):
     assert pairs(got, "query_id", "place", "neighbour_id") == [(i, p + 1, int(j)) for i in range(3000) for p, j in enumerate(best[i])]
 
 
+def test_a_text_leaves_its_task_as_one_row_for_each_language(spark):
+    """No row for a word or trigram; profiles in many blocks and trigrams found by search give the same result."""
+    texts = spark.createDataFrame([(1, "Das ist ein Haus, und das Haus ist alt.", "de"), (2, "The house is old and the roof is new.", "en"), (3, "\U0001d4d0 the 12 &  Über-Haus!" * 3, None),
+                                   (4, None, None), (None, "ein altes Haus ist das Haus", None), (5, "x" * 30 + " the house", "en")], "id long, text string, lang string")
+    profiles = languages.learn(texts, "text", "lang")
+    counts = {(r["lang"], r["gram"]) for r in profiles.collect()}
+    assert {("de", " da"), ("de", "us "), ("en", "the"), ("en", "")} <= counts and ("en", "e h") not in counts and all(len(g) in (0, 3) for _, g in counts)
+    got = languages.detect(texts, "id", "text", profiles)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    found = {r["id"]: r["detected_lang"] for r in got.collect()}
+    assert found == {1: "de", 2: "en", 3: "de", 4: "unknown", None: "de", 5: "en"}
+    assert {r["id"]: r["detected_lang"] for r in languages.detect(texts, "id", "text", profiles, block=20).collect()} == found
+    points = np.frombuffer(" Haus the xyz ".encode("utf-32-le"), np.uint32)
+    own = languages._Profile.of(profiles.toArrow(), ["de", "en"])
+    table, languages.TABLE = languages.TABLE, 0
+    try:
+        searched = languages._Profile.of(profiles.toArrow(), ["de", "en"])
+    finally:
+        languages.TABLE = table
+    grams = np.stack([points[:-2], points[1:-1], points[2:]])
+    assert own.size and not searched.size and (own.rows(grams) == searched.rows(grams)).all()
+
+
 def test_normalised(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "id long, v array<float>")
     assert [r[0] for r in df.orderBy("id").select(metric_index.normalised("v")).collect()] == [[0.6, 0.8], [0.0, 0.0], None]
