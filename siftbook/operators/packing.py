@@ -139,11 +139,11 @@ def layout_chunks(blocks: DataFrame, document: str, order: str, page: str, text:
     rows = drop_repeated(rows.filter("_t != ''"), "_d", "_t").filter(~is_caption(F.col("_t")))
     # headings are few, so a document's meet in one task
     before = F.coalesce(F.lag("_t").over(W.partitionBy("_d").orderBy("_o")), F.lit("Introduction"))
-    opened = rows.filter("_h").withColumn("_new", F.col("_t") != before).select(F.col("_d").alias("_hd"), F.col("_o").alias("_ho"), "_new")
+    opened = rows.filter("_h").withColumn("_new", F.col("_t") != before)
+    # names of sections come with the headings, so that filling them in does not move the other texts once more
+    opened = opened.select(F.col("_d").alias("_hd"), F.col("_o").alias("_ho"), "_new", F.when(F.col("_new"), F.col("_t")).alias("_title"), F.when(is_stop_section(F.col("_t")), True).alias("_stop"))
     marked = rows.join(opened, rows["_d"].eqNullSafe(opened["_hd"]) & (rows["_o"] == opened["_ho"]), "left")
-    title = F.when(F.col("_new"), F.col("_t"))
-    stop = F.when(F.col("_h") & is_stop_section(F.col("_t")), True)
-    filled = fill_forward(marked.drop("_hd", "_ho"), "_d", "_o", {"_section": title, "_run": F.when(F.col("_new"), F.col("_o")), "_stopped": stop})
+    filled = fill_forward(marked.drop("_hd", "_ho"), "_d", "_o", {"_section": F.col("_title"), "_run": F.when(F.col("_new"), F.col("_o")), "_stopped": F.col("_stop")})
     body = filled.filter(F.col("_stopped").isNull() & ~F.col("_h")).select(
         "_d", "_o", "_p", F.lit("text").alias("kind"), fence_code(F.col("_t"), F.coalesce("_m", F.lit(0.0))).alias("content"), "_run",
         F.coalesce("_section", F.lit("Introduction")).alias("section_title"), F.when(F.col("_section").isNull(), "Chapter 1").otherwise(chapter_of(F.col("_section"))).alias("chapter"),

@@ -80,12 +80,17 @@ def split_by_decision(chunks: DataFrame, decisions: DataFrame, document: str) ->
 
 
 def drop_repeated(blocks: DataFrame, document: str, text: str) -> DataFrame:
-    """Drop short blocks that a document repeats, such as running heads; blanks around them do not count."""
+    """Drop short blocks that a document repeats, such as running heads; blanks around them do not count.
+
+    Only short blocks are counted and compared, longer ones are not shuffled.
+    """
     stripped = blocks.withColumn("_text", strip(F.col(text)))
-    counts = stripped.groupBy(F.col(document).alias("_document"), F.col("_text").alias("_block")).agg(F.count("*").alias("_times"))
-    noisy = counts.filter((F.col("_times") > fixed.REPEAT_LIMIT) & (F.length("_block") < fixed.REPEAT_CHARS))
-    same = stripped[document].eqNullSafe(noisy["_document"]) & (stripped["_text"] == noisy["_block"])
-    return stripped.join(noisy, same, "left_anti").drop("_text")
+    short = F.length("_text") < fixed.REPEAT_CHARS
+    shorts, others = stripped.filter(short), blocks.filter(F.coalesce(F.length(strip(F.col(text))) >= fixed.REPEAT_CHARS, F.lit(True)))
+    counts = shorts.groupBy(F.col(document).alias("_document"), F.col("_text").alias("_block")).agg(F.count("*").alias("_times"))
+    noisy = counts.filter(F.col("_times") > fixed.REPEAT_LIMIT)
+    same = shorts[document].eqNullSafe(noisy["_document"]) & (shorts["_text"] == noisy["_block"])
+    return shorts.join(noisy, same, "left_anti").drop("_text").unionByName(others)
 
 
 def upper_median(df: DataFrame, group: list[str], value: str) -> DataFrame:

@@ -457,6 +457,16 @@ def test_a_text_leaves_its_task_as_one_row_for_each_language(spark):
     assert own.size and not searched.size and (own.rows(grams) == searched.rows(grams)).all()
 
 
+def test_long_blocks_are_not_shuffled_to_find_repeated_ones(spark):
+    rows = [(1, "head ")] * 4 + [(1, "x" * 500)] * 5 + [(2, " head"), (None, "foot"), (None, "foot"), (None, "foot"), (None, "foot"), (1, None), (None, None)]
+    df = spark.createDataFrame(rows, "d long, t string")
+    got = quality.drop_repeated(df, "d", "t")
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(1, "x" * 500)] * 5 + [(2, " head"), (1, None), (None, None)], "d long, t string").collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = plan[plan.index("Aggregate"):]
+    assert "length" in aggregate and "Union" in plan
+
+
 def test_normalised(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "id long, v array<float>")
     assert [r[0] for r in df.orderBy("id").select(metric_index.normalised("v")).collect()] == [[0.6, 0.8], [0.0, 0.0], None]
