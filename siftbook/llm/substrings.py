@@ -27,10 +27,15 @@ PIECE_BYTES = 4 << 20
 
 
 def _fragments(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, th, start, n, key, mark) of all fragments; with a column ``spans`` only of windows inside them."""
+    """(doc_id, th, starts, n, key, mark) of all fragments; with a column ``spans`` only of windows inside them.
+
+    Equal fragments of a document are one row with all their starts, so a text of few words over and
+    over has few rows, however its windows are cut.
+    """
     spanned = "spans" in docs.columns
     id_type = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(c, T.LongType()) for c in ("th", "start", "n", "key", "mark"))])
+    kinds = {"th": T.LongType(), "starts": T.ArrayType(T.LongType()), "n": T.LongType(), "key": T.LongType(), "mark": T.LongType()}
+    schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(c, t) for c, t in kinds.items())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,7 +46,8 @@ def _fragments(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     inside = np.zeros(len(open_), bool)
                     for first, own in zip(words.first.tolist(), piece.column("spans").to_pylist()):  # noqa: B905
                         for span in own:
-                            inside[first + span["start"] : first + span["start"] + span["n"]] = True
+                            for start in span["starts"]:
+                                inside[first + start : first + start + span["n"]] = True
                     open_ &= inside
                 at = np.flatnonzero(open_)
                 if not len(at):
@@ -52,9 +58,13 @@ def _fragments(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 new[1:] = (np.diff(at) > 1) | (least[1:] != least[:-1]) | (np.diff(words.row[at]) > 0)
                 new = np.flatnonzero(new)
                 size, first = np.diff(np.append(new, len(at))), at[new]
-                taken = piece.select(_IDENTITY).take(pa.array(words.row[first]))
-                columns = (first - words.first[words.row[first]], size, least[new].view(np.int64), runs.of(first, first + size + window - 1, 1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*taken.columns, *map(pa.array, columns)], schema.names)
+                row, key, mark = words.row[first], least[new].view(np.int64), runs.of(first, first + size + window - 1, 1).view(np.int64)
+                by = np.lexsort((first, mark, key, row))
+                row, key, mark, size, start = row[by], key[by], mark[by], size[by], (first - words.first[row])[by]
+                kind = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(key) != 0) | (np.diff(mark) != 0)))
+                taken = piece.select(_IDENTITY).take(pa.array(row[kind]))
+                starts = pa.ListArray.from_arrays(pa.array(np.append(kind, len(row)), pa.int32()), pa.array(start))
+                yield pa.RecordBatch.from_arrays([*taken.columns, starts, *(pa.array(x[kind]) for x in (size, key, mark))], schema.names)
 
     return docs.select("doc_id", "th", "text", *["spans"] * spanned).mapInArrow(task, schema)
 
@@ -149,19 +159,20 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 12, crowd: int
     fine = stage(_shared(rough), "shared-fragments")
     crowded = stage(fine.select("key", "mark").distinct().groupBy("key").count().filter(F.col("count") > crowd).select("key"), "crowds")
     if not crowded.isEmpty():
-        wide = stage(fine.join(crowded, "key").groupBy(*_IDENTITY).agg(F.collect_set(F.struct("start", "n")).alias("spans")), "crowded")
+        wide = stage(fine.join(crowded, "key").groupBy(*_IDENTITY).agg(F.collect_set(F.struct("starts", "n")).alias("spans")), "crowded")
         windows = stage(_fragments(own.filter(_among(wide)).join(wide, _IDENTITY), window, window), "windows")
         fine = stage(fine.join(crowded, "key", "left_anti").unionByName(_shared(windows)), "shared-fragments")
-    first = F.min(F.struct("doc_id", "th", "start", "n"))
+    first = F.min(F.struct("doc_id", "th", F.get("starts", F.lit(0)).alias("start"), "n"))
     wanted = fine.groupBy("key", "mark").agg(first.alias("rep"))
     found = stage(_searched(_texts(wanted, own, window), window, index_words), "found")
     # the first document of a fragment keeps what no lower one has, the others lose all of it
     spot = fine.join(found, ["key", "mark"])
-    all_of = F.array(F.struct(F.col("start"), (F.col("start") + F.col("n") + window - 1).alias("stop")))
-    moved = F.transform("cuts", lambda c: F.struct((c["start"] + F.col("start")).alias("start"), (c["stop"] + F.col("start")).alias("stop")))
+    all_of = F.transform("starts", lambda a: F.struct(a.alias("start"), (a + F.col("n") + window - 1).alias("stop")))
+    moved = F.flatten(F.transform("starts", lambda a: F.transform("cuts", lambda c: F.struct((c["start"] + a).alias("start"), (c["stop"] + a).alias("stop")))))
     spans = F.when(F.col("doc_id") == F.col("first_doc"), moved).otherwise(all_of)
-    listed = spot.select(*_IDENTITY, F.explode(spans).alias("span"))
-    return listed.groupBy(*_IDENTITY).agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    listed = spot.select(*_IDENTITY, spans.alias("spans")).filter(F.size("spans") > 0)
+    # a repeated row of the table lists its stretches again
+    return listed.groupBy(*_IDENTITY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
 def _among(rows: DataFrame, bits: int = 1 << 18) -> Column:

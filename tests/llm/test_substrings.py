@@ -88,5 +88,18 @@ def test_removal_equals_brute_force(spark, crowd, index_words):
     assert any(r.n_removed for r in got)
 
 
+def test_words_over_and_over_are_few_fragments(spark):
+    """A text of two words in turn has as many windows as words, but only two different ones; each is one row with its starts."""
+    docs = spark.createDataFrame([(i, " ".join(["ab", "cd"] * (100 + i) + [f"w{i}"])) for i in range(30)], "doc_id long, text string")
+    keyed = docs.selectExpr("doc_id", "xxhash64(text) AS th", "text")
+    rows = substrings._fragments(keyed, 8, 8).collect()
+    assert sum(len(r.starts) for r in rows) == sum(2 * (100 + i) + 1 - 7 for i in range(30))
+    # two windows in turn, and seven or eight at the end that hold the last word
+    assert len(rows) <= 30 * 10
+    for crowd in (256, 2):
+        got = substrings.remove_repeats(docs, window=8, gram=4, crowd=crowd).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.kept_text) for r in got) == expected([(r.doc_id, r.text) for r in got], 8)
+
+
 def test_no_rows(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
