@@ -19,6 +19,8 @@ from siftbook.session import stage
 
 #: Bits of the filter that is sent to all tasks, 4 MB.
 BLOOM_BITS = 1 << 25
+#: Up to so many questions of a document are compared with all its passages; beyond, words are joined first.
+FEW_QUESTIONS = 4
 
 
 def with_source(pairs: DataFrame, chunks: DataFrame, on: str) -> DataFrame:
@@ -88,12 +90,13 @@ def table_sections(tables: DataFrame, headings: DataFrame, last_sections: DataFr
     return joined.withColumn("section_title", section).withColumn("chapter", chapter_of(F.col("section_title"))).drop("_first")
 
 
-def find_passages(questions: DataFrame, passages: DataFrame, document: str, k: int = 3) -> DataFrame:
+def find_passages(questions: DataFrame, passages: DataFrame, document: str, k: int = 3, few: int = FEW_QUESTIONS) -> DataFrame:
     """Passage of a question: its own chunk when it exists, else the ``k`` with most shared words.
 
     ``questions`` has id, ``document``, source_chunk_id and ``needle``; ``passages`` has
     ``document``, chunk_id, ``order`` and body. The score is the number of shared words through the root of
-    the passage's words. Candidates come from :func:`passage_candidates`, which leaves out the common words
+    the passage's words. A document with at most ``few`` questions has each compared with all its passages, which move once
+    by their document. For the others candidates come from :func:`passage_candidates`, which leaves out the common words
     of a question; their whole word sets are then compared. The first ``k`` of the document fill up places.
     """
     # words are taken once, each side is read several times
@@ -104,11 +107,18 @@ def find_passages(questions: DataFrame, passages: DataFrame, document: str, k: i
     rest = q.join(exact.select("id").distinct(), "id", "left_anti")
     chunk = ["chunk_id", "order", "_size"]
     worded = c.filter("_size > 0")
-    found = passage_candidates(rest, worded, document, k).join(rest.select("id", "_q"), "id").join(worded.select(document, "chunk_id", "order", "_c"), [document, "chunk_id", "order"])
-    counted = found.select("id", *chunk, F.size(F.array_intersect("_q", "_c")).cast("long").alias("_n"))
-    first = top_per_group(worded.select(document, *chunk), [document], [F.col("order")], F.lit(k), bound=k)
-    spare = rest.select("id", document).join(first, document).select("id", *chunk, F.lit(0).cast("long").alias("_n"))
-    scored = counted.unionByName(spare).groupBy("id", *chunk).agg(F.round(F.max("_n") / F.sqrt(F.col("_size")), 9).alias("score"))
+    rest = stage(rest.select("id", document, "_q"), "unanswered")
+    asked = stage(rest.groupBy(document).agg(F.count("*").alias("_asked")), "asked")
+    shared = F.size(F.coalesce(F.array_intersect("_q", "_c"), F.array().cast("array<string>"))).cast("long").alias("_n")
+    counted = rest.join(asked.filter(F.col("_asked") <= few), document).join(worded, document).select("id", *chunk, shared)
+    if not asked.filter(F.col("_asked") > few).isEmpty():
+        many = stage(rest.join(asked.filter(F.col("_asked") > few), document).drop("_asked"), "many-questions")
+        found = passage_candidates(many, worded, document, k).join(many.select("id", "_q"), "id").join(worded.select(document, "chunk_id", "order", "_c"), [document, "chunk_id", "order"])
+        counted = counted.unionByName(found.select("id", *chunk, shared))
+        first = top_per_group(worded.select(document, *chunk), [document], [F.col("order")], F.lit(k), bound=k)
+        spare = many.select("id", document).join(first, document).select("id", *chunk, F.lit(0).cast("long").alias("_n"))
+        counted = counted.unionByName(spare)
+    scored = counted.groupBy("id", *chunk).agg(F.round(F.max("_n") / F.sqrt(F.col("_size")), 9).alias("score"))
     by = W.partitionBy("id").orderBy(F.col("score").desc(), "order")
     ranked = scored.withColumn("place", F.row_number().over(by).cast("long")).filter(F.col("place") <= k)
     fuzzy = ranked.select("id", "chunk_id", F.round("score", 2).alias("score"), "place", F.lit(False).alias("exact"))
