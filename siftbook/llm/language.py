@@ -43,23 +43,35 @@ class Profiles:
     the vectors of its n-grams (bundling). Runs of other characters count as one blank.
     """
 
-    LIMIT = 60_000
+    #: N-gram and letter vectors remembered at a time; they go with the object, that is at the end of a task.
+    LIMIT, LETTERS = 60_000, 20_000
+    #: N-gram vectors multiplied at a time.
+    BLOCK = 2048
 
     def __init__(self, dimensions: int = DIMENSIONS):
-        self.dimensions, self.known = dimensions, {}
+        self.dimensions, self.known, self.drawn = dimensions, {}, {}
+        # memory is only taken by rows that are filled, and goes back as a whole
+        self.table = np.empty((self.LIMIT, dimensions), np.int8)
 
-    @functools.lru_cache(maxsize=20_000)  # noqa: B019  lives as long as the task
     def letter(self, code: int) -> np.ndarray:
-        seed = hashlib.blake2b(f"letter {code}".encode(), digest_size=8).digest()
-        return np.random.default_rng(int.from_bytes(seed, "little")).integers(0, 2, self.dimensions).astype(np.float32) * 2 - 1
-
-    def gram(self, code: int) -> np.ndarray:
-        if code not in self.known:
-            if len(self.known) >= self.LIMIT:
-                self.known.clear()
+        if code not in self.drawn:
+            if len(self.drawn) >= self.LETTERS:
+                self.drawn.clear()
+            seed = hashlib.blake2b(f"letter {code}".encode(), digest_size=8).digest()
+            self.drawn[code] = np.random.default_rng(int.from_bytes(seed, "little")).integers(0, 2, self.dimensions).astype(np.int8) * np.int8(2) - np.int8(1)
+        return self.drawn[code]
+
+    def vectors(self, codes: list[int]) -> np.ndarray:
+        """A row for each of at most ``LIMIT`` different n-grams."""
+        new = [code for code in codes if code not in self.known]
+        if len(self.known) + len(new) > self.LIMIT:
+            self.known.clear()
+            new = codes
+        for code in new:
             a, b, c = code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF
-            self.known[code] = (np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)).astype(np.int8)
-        return self.known[code]
+            self.known[code] = at = len(self.known)
+            self.table[at] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
+        return self.table[[self.known[code] for code in codes]].astype(np.float32)
 
     @staticmethod
     def grams(text: str) -> tuple[np.ndarray, bool]:
@@ -89,13 +101,13 @@ class Profiles:
                 rows.append((kinds, counts))
                 codes.append(kinds)
             kinds = np.unique(np.concatenate(codes))
-            for low in range(0, len(kinds), 8192):  # so many n-gram vectors at a time
-                some = kinds[low : low + 8192]
+            for low in range(0, len(kinds), self.BLOCK):
+                some = kinds[low : low + self.BLOCK]
                 matrix = np.zeros((len(rows), len(some)), np.float32)
                 for i, (own, counts) in enumerate(rows):
                     a, b = np.searchsorted(own, [some[0], some[-1] + 1])
                     matrix[i, np.searchsorted(some, own[a:b])] = counts[a:b]
-                out[start : start + len(rows)] += matrix @ np.stack([self.gram(k) for k in some.tolist()]).astype(np.float32)
+                out[start : start + len(rows)] += matrix @ self.vectors(some.tolist())
         return out, lettered
 
 

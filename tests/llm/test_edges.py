@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, for every operator and stage."""
 
+import gc
 import gzip
+import weakref
 import zlib
 
 import pytest
@@ -48,6 +50,25 @@ def test_bundles_do_not_depend_on_chunks(monkeypatch):
     assert (profiles.bundles([PLAIN, "a", "ab  cd", "Ünïcode — «text» 漢字"])[0] == whole).all()
 
 
+def test_profiles_go_with_their_task():
+    """Nothing outside keeps a task's vectors, or a worker would hold those of all tasks before."""
+    profiles = language.Profiles(64)
+    profiles.bundles([PLAIN])
+    gone = weakref.ref(profiles)
+    del profiles
+    gc.collect()
+    assert gone() is None
+
+
+def test_forgotten_vectors_are_drawn_again(monkeypatch):
+    texts = [PLAIN, "Ünïcode — «text» 漢字", PLAIN[::-1]]
+    whole, _ = language.Profiles(64).bundles(texts)
+    for name, value in (("LIMIT", 40), ("LETTERS", 3), ("BLOCK", 7)):
+        monkeypatch.setattr(language.Profiles, name, value)
+    few = language.Profiles(64)
+    assert (few.bundles(texts, block=1)[0] == whole).all() and len(few.known) <= 40 and len(few.drawn) <= 3
+
+
 def test_quality(spark, docs):
     rows = quality.judged(docs, keep=["doc_id", "text", "kept", "n_words"]).collect()
     assert len(rows) == len(ROWS)
